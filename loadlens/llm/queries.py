@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from loadlens.llm import exact_dedup, mixing, secrets
+from loadlens.llm import exact_dedup, html_extract, mixing, secrets, simhash, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_html": html_extract.op3_html,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_warc": warc.op9_warc,
     "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
