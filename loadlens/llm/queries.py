@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loadlens.llm import exact_dedup, html_extract, langid, mixing, secrets, simhash, toxicity, warc
+from loadlens.llm import decontaminate, exact_dedup, html_extract, langid, mixing, secrets, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
     "op3_html": html_extract.op3_html,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_langid": langid.op8_langid,
     "op9_warc": warc.op9_warc,
