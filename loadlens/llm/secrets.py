@@ -16,7 +16,7 @@ BASE = (
 #: What the models judge: unbroken runs that could be keys. A digit and a letter must be among them.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 LEAST = 20
-#: Rows whose words train the model of identifiers (chosen by hash; texts are read whole), and random strings generated for the other model.
+#: About so many rows train the model of identifiers (chosen by the text's hash; texts are read whole), and random strings generated for the other model.
 TRAIN_ROWS = 2000
 TRAIN_STRINGS = 4000
 #: Mean log-likelihood ratio per character pair (nats) from which a candidate is a secret.
@@ -57,15 +57,18 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, strings: int = TRAIN_STRINGS)
     """Log-likelihood ratio of each character pair (random over ordinary), as one row with an array of 128 x 128 numbers.
 
     Labelled samples: random strings are generated (base 64 and hex of digests of 0, 1, ...), ordinary
-    identifiers are the words without digits of at most ``rows`` documents, chosen by hash. Add-one smoothing over
+    identifiers are the words without digits of about ``rows`` documents, chosen by hash where they lie, and
+    the names of Spark's own functions. Add-one smoothing over
     the characters that candidates can have.
     """
     spark = docs.sparkSession
     digests = spark.range(strings).select(F.sha2(F.concat(F.lit("s"), F.col("id")), 512).alias("h"))
     one = digests.select(F.explode(F.array(F.regexp_replace(F.base64(F.unhex("h")), "=", ""), F.substring("h", 1, 48))).alias("w"), F.lit(1).alias("y"))
-    picked = docs.select("text").where("text is not null").orderBy(F.xxhash64("text")).limit(rows)
+    share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.lit(docs.count())
+    picked = docs.select("text").where(F.col("text").isNotNull() & (share < rows * 1_000_000))
     plain = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z][A-Za-z_-]+(?![A-Za-z0-9+/_-])"), F.lit(0))).alias("w"), F.lit(0).alias("y"))
-    counts = one.unionByName(plain).select("y", F.explode(_pairs(F.col("w"))).alias("b")).groupBy("b").agg(F.count_if(F.col("y") == 1).alias("r"), F.count_if(F.col("y") == 0).alias("o"))
+    names = spark.sql("SHOW FUNCTIONS").where(F.col("function").rlike("^[A-Za-z][A-Za-z_0-9]+$")).select(F.explode(F.array_repeat("function", 8)).alias("w"), F.lit(0).alias("y"))
+    counts = one.unionByName(plain).unionByName(names).select("y", F.explode(_pairs(F.col("w"))).alias("b")).groupBy("b").agg(F.count_if(F.col("y") == 1).alias("r"), F.count_if(F.col("y") == 0).alias("o"))
     alphabet = 65.0  # letters, digits, and three of + / _ -
     first = F.expr(f"cast(b div {_CODES} as int)")
     by = counts.groupBy(first.alias("a")).agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"), F.collect_list(F.struct("b", "r", "o")).alias("cells"))  # at most 128 cells
