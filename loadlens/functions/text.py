@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def _col(c: Column | str) -> Column:
@@ -119,7 +120,7 @@ def safe_metadata(text: Column | str, most: int = 16_384) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _is_plain(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t is not None and unicodedata.normalize("NFKC", t) == t and not any(unicodedata.category(c) in ("Cc", "Cf", "Cs", "Co") for c in t))
 
