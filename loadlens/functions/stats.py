@@ -70,7 +70,8 @@ def relative_delta_percent(candidate: Column | str, baseline: Column | str) -> C
 def intervals_overlap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
     """Whether two intervals meet; one without finite bounds meets everything."""
     a, b, c, d = (finite(x) for x in (low_a, high_a, low_b, high_b))
-    return F.coalesce((a <= d) & (c <= b), F.lit(True))
+    open_ended = a.isNull() | b.isNull() | c.isNull() | d.isNull()
+    return open_ended | ((a <= d) & (c <= b))
 
 
 def close(a: Column | str, b: Column | str, rel: float = 1e-6, least: float = 1e-9) -> Column:
