@@ -226,11 +226,11 @@ def f01(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
-@query("j08_similar_prompts", r"""WITH p AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS w FROM conversations WHERE role = 'user')
-SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS similarity FROM p a JOIN p b ON a.id < b.id AND least(len(a.w), len(b.w)) >= greatest(len(a.w), len(b.w)) * 0.3 AND len(list_intersect(a.w, b.w)) >= 0.3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) WHERE len(a.w) > 0""")
+@query("j08_similar_prompts", r"""WITH p AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
+c AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM p a JOIN p b ON a.id < b.id AND least(len(a.w), len(b.w)) >= greatest(len(a.w), len(b.w)) * 0.8 WHERE len(a.w) > 0)
+SELECT a, b, round(k / (n - k), 6) AS similarity FROM c WHERE k >= 0.8 * (n - k)""")
 def j08(spark, d):
-    p = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return similarity.similar_pairs(p, "id", "text", 0.3).select("a", "b", r6("similarity").alias("similarity"))
+    return similarity.similar_pairs(table(spark, d, "documents"), "doc_id", "text", 0.8).select("a", "b", r6("similarity").alias("similarity"))
 
 
 @query("j09_shared_identities", "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE source = 'src3') AND source <> 'src3'")
