@@ -27,6 +27,10 @@ THRESHOLD = 0.5
 #: Share of the question's and of the answer's word trigrams that the passage must hold.
 OVERLAP = 0.5
 GRAM = 3
+#: Passages of a document whose bounds are computed at once.
+PASSAGES = 512
+#: Wide blocks whose maxima are summed for all passages of a document at once, and cells of their table.
+WIDE_BLOCKS, WIDE_CELLS = 64, 25_000_000
 #: Items per posting block, and items per index; more items are searched index by index, so no more than these are broadcast at once.
 BLOCK, ITEMS = 8, 20_000
 
@@ -69,6 +73,14 @@ class Index:
     block_starts: np.ndarray | None = None  # blocks of a term and their maxima
     blocks: np.ndarray | None = None
     maxima: np.ndarray | None = None
+    coarse: np.ndarray | None = None  # per term (the last row for words outside) the maxima of a few wide blocks
+
+
+class _Ids(dict):
+    """Term numbers; words outside have the number after the last."""
+
+    def __missing__(self, word: str) -> int:
+        return self.outside
 
 
 def build(rows: list[tuple[int, str | None]]) -> Index:
@@ -99,6 +111,9 @@ def build(rows: list[tuple[int, str | None]]) -> Index:
         counts.append(len(best))
     index.blocks, index.maxima = np.array([b for b, _ in block_rows], np.int64), np.array([x for _, x in block_rows], np.float64)
     index.block_starts = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    wide = -(-max(1, n) // int(max(1, min(n or 1, WIDE_BLOCKS, WIDE_CELLS // (len(df) + 1)))))
+    index.coarse = np.zeros((len(df) + 1, -(-max(1, n) // wide)), np.float32)
+    np.maximum.at(index.coarse, (np.repeat(np.arange(len(df)), np.diff(index.starts)), index.items // wide), index.impacts.astype(np.float32) * np.float32(1 + 1e-6))
     return index
 
 
@@ -144,25 +159,45 @@ def leaks(index: Index, text: str | None, threshold: float = THRESHOLD, least: f
     if not words or not index.ids:
         return found
     outside = len(index.vocab)
-    ids = np.array([index.vocab.get(w, outside) for w in words], np.int64)
-    sums = np.concatenate(([0.0], np.cumsum(index.upper[ids])))
+    lookup = _Ids(index.vocab) if not isinstance(index.vocab, _Ids) else index.vocab
+    lookup.outside, index.vocab = outside, lookup
+    ids = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
     step = index.window // 2
-    for start in range(0, max(1, len(words) - step), step):
-        end = min(len(words), start + index.window)
-        if sums[end] - sums[start] < threshold - 1e-6:
+    count = max(1, -(-(len(words) - step) // step))
+    for first in range(0, count, PASSAGES):
+        last = min(count, first + PASSAGES)
+        part = ids[first * step : (last + 1) * step]
+        inside = np.flatnonzero(part < outside)
+        piece = inside // step
+        known = part[inside]
+        # A passage is two pieces: each word counts once for the passage that its piece begins and once for the one before.
+        pairs = np.unique(np.concatenate((piece * outside + known, (piece - 1) * outside + known)))
+        pairs = pairs[(pairs >= 0) & (pairs < (last - first) * outside)]
+        if not len(pairs):
             continue
-        terms = np.unique(ids[start:end])
-        terms = terms[terms < outside]
-        hits = search(index, terms, threshold)
-        if hits:
-            grams = {n: {tuple(words[i : i + n]) for i in range(start, end - n + 1)} for n in range(1, GRAM + 1)}
-            for item, score in hits:
-                q, a = (overlap(p, grams) for p in index.parts[item])
-                if q >= least and a >= least and (item not in found or score > found[item][0]):
-                    found[item] = (score, q, a)
+        passage, terms_of = np.divmod(pairs, outside)
+        heads = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+        bounds = np.add.reduceat(index.coarse[terms_of], heads, axis=0).max(axis=1)
+        ends = np.append(heads[1:], len(pairs))
+        for h in np.flatnonzero(bounds >= threshold - 1e-4).tolist():
+            start = (first + int(passage[heads[h]])) * step
+            end = min(len(words), start + index.window)
+            terms = terms_of[heads[h] : ends[h]]
+            _verify(index, words, start, end, terms, threshold, least, found)
     return found
 
 
+def _verify(index: Index, words: list[str], start: int, end: int, terms: np.ndarray, threshold: float, least: float, found: dict[int, tuple[float, float, float]]) -> None:
+    """Search one passage in full and keep the items whose question and answer it holds."""
+    hits = search(index, terms, threshold)
+    if hits:
+        grams = {n: {tuple(words[i : i + n]) for i in range(start, end - n + 1)} for n in range(1, GRAM + 1)}
+        for item, score in hits:
+            q, a = (overlap(p, grams) for p in index.parts[item])
+            if q >= least and a >= least and (item not in found or score > found[item][0]):
+                found[item] = (score, q, a)
+
+
 def indexes(benchmark: DataFrame, items: int = ITEMS) -> list[Index]:
     """Indexes of at most ``items`` items each over the whole benchmark table; null ids and null texts match nothing."""
     rows = staged(benchmark.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(), "items")
