@@ -192,3 +192,14 @@ def test_text_functions(spark):
     df = spark.createDataFrame([(" A b B\u001cc ", '{"model":"m","stream":true,"messages":[],"a":1}')], "t string, r string")
     r = df.select(text.tokens("t"), text.scope_key("r"), text.jaccard(F.array(F.lit(1)), F.array(F.lit(1), F.lit(2))), text.jaccard(F.array().cast("array<int>"), F.array().cast("array<int>")), text.pieces(F.lit("abcdefghijkl"))).first()
     assert list(r) == [["a", "b", "b", "c"], '{"a":"1","model":"m"}', 0.5, 0.0, ["abcdefghij", "kl"]]
+
+
+def test_preflight_codes(spark):
+    from loadlens.operators import reports
+    from loadlens.plans import report_samples
+
+    cases = report_samples.cases()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(-1, "{"), (-2, "{}")], "i int, report string")
+    got = {r["i"]: r["code"] for r in reports.preflight(df).select("i", "code").collect()}
+    assert {i: got[i] for i in range(len(cases))} == {i: code for i, (_, code) in enumerate(cases)}
+    assert got[-1] == "report_structure_non_json_type" and got[-2] == "unsupported_schema"

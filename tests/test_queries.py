@@ -2,7 +2,7 @@
 
 import pytest
 
-from loadlens.plans import more_queries, queries  # noqa: F401
+from loadlens.plans import more_queries, queries, report_queries  # noqa: F401
 from tests.conftest import SF
 from tests.helpers import assert_same
 
