@@ -444,8 +444,7 @@ def c05(spark, d):
     return cache.in_flight(request_log(spark, d).withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("s", F.col("e2e_seconds") * 3600), ["user_id"], "request_id", "arrival", "s")
 
 
-@query("c06_window_counts", "SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("c06_window_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def c06(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.timestamp_micros(F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.lit("UTC")))))
-    at = F.unix_micros("ts")
-    return e.groupBy((at - F.pmod(at, F.lit(86_400_000_000))).alias("start_us"), "event_type").agg(F.count("*").alias("n"))
+    got = cache.windowed_counts(table(spark, d, "events").withColumn("ts", F.to_timestamp_ltz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))), "ts", ["event_type"])
+    return got.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type").agg(F.sum("n").alias("n"))
