@@ -48,10 +48,23 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(right[: n - width + 1], left[width - 1 : n])
 
 
-def anchors(grams: np.ndarray) -> np.ndarray:
-    """Positions whose n-gram hash is the least of some window of SPAN n-grams."""
-    if len(grams) < SPAN:
-        return np.empty(0, np.int64)
+def anchors(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors and the strings they own: positions, first and last start.
+
+    The anchor of a string of LENGTH bytes is the leftmost of its least n-gram hashes, so every string has one anchor,
+    equal strings have it at the same place, and an anchor's strings start at neighbouring bytes.
+    """
+    n = len(grams) - SPAN + 1
+    if n <= 0:
+        none = np.empty(0, np.int64)
+        return none, none, none
     least = _slide(grams, SPAN, np.minimum)
     edge = np.zeros(SPAN - 1, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate((edge, least, edge)), SPAN, np.maximum) == grams)
+    places = np.flatnonzero(_slide(np.concatenate((edge, least, edge)), SPAN, np.maximum) == grams)
+    owner = np.searchsorted(places, np.arange(n))
+    wrong = np.flatnonzero(grams[places[owner]] != least)
+    while len(wrong):
+        owner[wrong] += 1
+        wrong = wrong[grams[places[owner[wrong]]] != least[wrong]]
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    return places[owner[first]], first, np.append(first[1:], n) - 1

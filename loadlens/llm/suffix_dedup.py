@@ -1,7 +1,8 @@
 """Suffix-array dedup of byte strings: every byte covered by a 200-byte string that also starts elsewhere is removed.
 
-Two occurrences of a 200-byte string hold the same content-defined anchor at the same place, so what surrounds equal anchors is
-all that can repeat. Surroundings that are equal as a whole are counted, and resolved, by their hash; those that share
+Every 200-byte string has one content-defined anchor, and equal strings have it at the same place, so only strings of equal
+anchors can be equal. The strings that an anchor owns start at neighbouring bytes: together they are its surroundings.
+Surroundings that are equal as a whole are counted, and resolved, by their hash; those that share
 an anchor and a longer run but differ are brought together in shards, whose suffixes are sorted by induced sorting
 (``suffix_sort``). Text without a repeated anchor is read but never sorted.
 """
@@ -20,13 +21,12 @@ from loadlens.llm.anchors import GRAM, LENGTH, anchors, hashes, mixed, prefix_su
 from loadlens.llm.common import identified, staged, table
 from loadlens.llm.suffix_sort import packed, repeated, shard_text, sort_suffixes
 
-REACH = LENGTH - GRAM
-#: Lengths to the left of an anchor by which longer shared runs are keyed; with the rest to the right each run has KEYED bytes.
+#: Strings of an anchor that start within STEP bytes share a run of KEYED bytes, which keys them.
 STEP = 40
 KEYED = LENGTH - STEP
 #: Different surroundings of an anchor from which they are dealt out by their longer runs.
 HOT = 64
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RID = "struct<f:long,i:long>"
 _rid = pa.struct([("f", pa.int64()), ("i", pa.int64())])
 
@@ -36,7 +36,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each anchor's position, reach to both sides, hash, and hash of its surroundings."""
+    """Each anchor's position, the reach of the strings it owns to both sides, its hash, and the hash of those strings together."""
     for batch in batches:
         rids, rows = batch.column("_rid"), batch.column("text").to_pylist()
         index, cols = [], []
@@ -48,8 +48,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, inverse = prefix_sums(data)
             starts = np.arange(n - GRAM + 1)
             grams = hashes(sums, inverse, starts, starts + GRAM)
-            at = anchors(grams)
-            left, right = np.minimum(at, REACH), np.minimum(n - at, LENGTH)
+            at, first, last = anchors(grams)
+            left, right = at - first, last + LENGTH - at
             around = hashes(sums, inverse, at - left, at + right) ^ mixed(left.astype(np.uint64))
             index.append(np.full(len(at), k))
             cols.append((at, left, right, grams[at].view(np.int64), around.view(np.int64)))
@@ -68,9 +68,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pos, left, right = p["pos"], p["left"], p["right"]
                 data = raw[pos - left : pos + right]
                 keys = []
-                for back in range(0, REACH, STEP):
+                near = left + LENGTH - len(data)  # bytes from the last owned start to the anchor
+                for back in range(near // STEP * STEP, left + 1, STEP):  # of strings that start back to back + STEP - 1 bytes before the anchor
                     a = left - back
-                    if a >= 0 and a + KEYED <= len(data):
+                    if a >= 0:
                         keys.append(int.from_bytes(hashlib.blake2b(data[a : a + KEYED], digest_size=8, salt=bytes([back])).digest(), "big", signed=True))
                 out.append({"a": p["a"], "c": p["c"], "hot": p["hot"], "place": row + pos - left, "data": data, "keys": keys})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("a", pa.int64()), ("c", pa.int64()), ("hot", pa.bool_()), ("place", pa.int64()), ("data", pa.binary()), ("keys", pa.list_(pa.int64()))]))
@@ -130,7 +131,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = kinds.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     known = staged(kinds.join(shared, "a").select("a", "c", "n", "kinds", "one"), "shared")
     again = staged(seen.join(known.select("a", "c", "n", "kinds"), ["a", "c"]), "again")
-    whole = again.where((F.col("n") > 1) & (F.col("left") + F.col("right") >= LENGTH)).select("_rid", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e"))
+    whole = again.where("n > 1").select("_rid", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e"))
     # Different surroundings of one anchor: fetch one of each kind, keep those that share a longer run with another, sort the suffixes.
     points = known.where("kinds > 1").select(F.col("one._rid").alias("_rid"), F.struct("one.pos", "one.left", "one.right", "a", "c", (F.col("kinds") > HOT).alias("hot")).alias("p"))
     points = points.groupBy("_rid").agg(F.collect_list("p").alias("points"))  # at most one document's anchors
