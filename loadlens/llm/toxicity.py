@@ -20,12 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.llm.common import staged, table
+from loadlens.llm.simhash import shingle_hashes
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: At most so many labelled rows of each class train the dictionaries and the calibration; they are chosen by hash.
 TRAIN_ROWS = 4000
 #: A toxic window is trained on if its word, or a prefix of four letters or more, occurs in this share of the toxic rows (and in LEAST_DOCS), this many times as often as in ordinary rows.
 SHARE, LEAST_DOCS, LIFT, DEVIATIONS = 0.015, 4, 4.0, 4.0
+#: A prefix must occur in so many times the toxic rows of its most frequent word.
+STEM = 1.4
+#: Least hashes by which copies among the training rows are found.
+SKETCH = 8
 #: Most frequent ordinary words in both dictionaries, and most words and marks (words or prefixes) of the toxic one.
 ORDINARY_WORDS, TOXIC_WORDS, TOXIC_MARKS = 8000, 4000, 2000
 #: Bytes saved from which a window is a hit.
@@ -70,6 +75,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least hashes of each text's three-word shingles under SKETCH orders."""
+    for batch in batches:
+        out = []
+        for text in batch.column("text").to_pylist():
+            h = shingle_hashes(text, 3)
+            out.append([int((h * np.uint64(2 * i + 1) ^ (h >> np.uint64(7 + i))).min().view(np.int64)) for i in range(SKETCH)] if len(h) else [])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "keys"])
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The rows of a bounded sample of which fewer than half of the sketch belongs to an earlier row: words of one copied text count once."""
+    keys = staged(sample.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("i", "k")), "sketch")
+    owner = keys.groupBy("i", "k").agg(F.min("doc_id").alias("o"))
+    copies = keys.join(owner, ["i", "k"]).groupBy("doc_id").agg(F.count_if(F.col("o") != F.col("doc_id")).alias("n")).where(F.col("n") >= SKETCH // 2)
+    return sample.join(copies, "doc_id", "left_anti")
+
+
 @dataclass
 class Model:
     """Contents of the dictionaries, the fixed words around a window, and the calibrated weights."""
@@ -150,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     named = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(held_out_part("doc_id", 5) != 0)
     order = F.xxhash64("doc_id")
     picked = staged(named.where("toxic = 1").orderBy(order, "doc_id").limit(rows).unionByName(named.where("toxic = 0").orderBy(order, "doc_id").limit(rows)), "picked")
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "sample")
+    sample = staged(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "sample")
+    sample = staged(without_copies(sample), "distinct")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     nt, no = sizes.get(1, 0), sizes.get(0, 0)
     if not nt or not no:
@@ -159,9 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     share = (F.col("t") + F.col("o")) / (nt + no)
     deviation = (F.col("t") - share * nt) / F.sqrt(share * nt * (1 - share) + 1e-9)
     lift = (F.col("t") + 0.5) / (nt + 1) / ((F.col("o") + 0.5) / (no + 1))
-    strong = {r["unit"] for r in counts.where((F.col("t") >= max(LEAST_DOCS, SHARE * nt)) & (deviation >= DEVIATIONS) & (lift >= LIFT)).orderBy(deviation.desc(), "unit").limit(TOXIC_MARKS).select("unit").collect()}
     word = ~F.col("unit").endswith("*")
     stems = F.transform(F.sequence(F.lit(4), F.greatest(F.length("unit") - 1, F.lit(4))), lambda k: F.concat(F.substring("unit", F.lit(1), k), F.lit("*")))
+    likely = staged(counts.where((F.col("t") >= max(LEAST_DOCS, SHARE * nt)) & (deviation >= DEVIATIONS) & (lift >= LIFT)).orderBy(deviation.desc(), "unit").limit(TOXIC_MARKS).select("unit", "t"), "likely")
+    # A prefix is a mark of its own only if no single word makes up most of it: the stem of many words, not the start of one.
+    tops = counts.where(word & (F.col("t") > 0)).select(F.explode(stems).alias("unit"), F.col("t").alias("w")).join(F.broadcast(likely.select("unit")), "unit").groupBy("unit").agg(F.max("w").alias("top"))
+    strong = {r["unit"] for r in likely.join(tops, "unit", "left").where(word | (F.col("t") >= STEM * F.col("top"))).select("unit").collect()}
     marks = F.array(*[F.lit(u) for u in sorted(strong)]).cast("array<string>")
     toxic = [r["unit"] for r in counts.where(word & (F.col("tn") > 0) & F.arrays_overlap(F.concat(F.array("unit"), stems), marks)).orderBy(F.desc("tn"), "unit").limit(TOXIC_WORDS).select("unit").collect()]
     common = [r["unit"] for r in counts.where(word & (F.col("on") > 0)).orderBy(F.desc("on"), "unit").limit(ORDINARY_WORDS).select("unit").collect()]
