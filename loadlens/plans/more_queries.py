@@ -142,7 +142,7 @@ def j04(spark, d):
 
 
 @query("r01_regime", f"""WITH {RL}, p AS (SELECT user_id % 20 AS run, concurrency, count(*) AS attempted, count(*) FILTER (ok) AS valid, sum(completion_tokens) FILTER (gpu) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0) AS tp, avg(ttft_seconds * 1000.0) FILTER (gpu) AS ttft, avg((e2e_seconds - ttft_seconds) * 1000.0) FILTER (gpu) AS tpot FROM g GROUP BY ALL),
-f AS (SELECT run, sum(valid) AS v, sum(attempted) AS a, count(*) FILTER (valid > 0 AND tp IS NOT NULL) AS n, max_by(tp, concurrency) / min_by(tp, concurrency) / (max(concurrency) / min(concurrency)) AS eff, avg(ttft) / (avg(ttft) + avg(tpot)) AS dom, stddev_samp(tpot) / avg(tpot) AS cv, stddev_samp(ttft) / avg(ttft) AS tcv FROM p GROUP BY run)
+f AS (SELECT run, sum(valid) AS v, sum(attempted) AS a, count(*) FILTER (valid > 0 AND tp IS NOT NULL) AS n, max_by(tp, concurrency) / greatest(min_by(tp, concurrency), 0.001::DOUBLE) / (max(concurrency) / min(concurrency)) AS eff, avg(ttft) / (avg(ttft) + avg(tpot)) AS dom, stddev_samp(tpot) / avg(tpot) AS cv, stddev_samp(ttft) / avg(ttft) AS tcv FROM p GROUP BY run)
 SELECT run, CASE WHEN v < 10 OR (a - v) / a > 0.5 OR cv > 1 OR tcv > 1 THEN 'inconclusive' WHEN eff < 0.5 AND dom > 0.6 AND dom <= 0.7 THEN 'dispatch-bound' WHEN eff < 0.6 AND dom < 0.4 THEN 'orchestration-bound' WHEN cv < 0.25 AND eff > 0.7 THEN 'compute-bound' WHEN dom > 0.7 AND eff < 0.45 THEN 'memory-bound' ELSE 'mixed' END AS classification, round(eff, 3) AS scaling_efficiency, round(dom, 3) AS ttft_dominance, round(cv, 3) AS tpot_cv FROM f""")
 def r01(spark, d):
     log = request_log(spark, d).withColumn("run", F.col("user_id") % 20).withColumn("tpot_seconds", F.when(runs.generated(), F.col("e2e_seconds") - F.col("ttft_seconds")))
