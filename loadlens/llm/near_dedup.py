@@ -4,11 +4,12 @@ Sign bits cannot serve here: texts that share 80 % of their five-word shingles d
 to 15 on the test tables, so no byte of two fingerprints need be equal. The fingerprint is therefore one
 byte of each of 64 min-wise hashes: two texts of similarity s agree in a position with probability s + (1 - s) / 256. The
 index is keyed by four positional bytes, shared positional bytes are tallied, pairs below the minimum fall out, and the
-exact similarity of the rest is computed from all their shingles.
+exact similarity of the rest is computed from all their shingles. Members of large postings are compared by their shingles at once.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ WORDS, SIMILARITY = 5, 0.8
 POSITIONS, KEYED = 64, 4
 #: Positions in which two texts of similarity 0.8 agree, less 4.3 standard deviations.
 LEAST = 38
-#: Postings up to this size are compared pairwise. Larger ones are split by four more bytes, and each member is compared with the posting's leaders.
-POSTING, LEADERS = 64, 2
+#: Postings up to this size are compared by their signatures. The members of larger ones are compared by their shingles, in blocks.
+POSTING = 64
+#: Members and shingles that a block should have, and leaders that every block of a posting is given first.
+BLOCK, BLOCK_SHINGLES, LEADERS = 1024, 2_000_000, 2
 RID = "struct<f:long,i:long>"
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,12 +54,13 @@ def minwise(shingles: np.ndarray) -> bytes:
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, signs = [], []
+            sets, signs, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
                 sets.append(int((s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29))).sum(dtype=np.uint64) ^ np.uint64(len(s))))
                 signs.append(minwise(s))
-            yield pa.RecordBatch.from_arrays([batch.column("_rid"), batch.column("doc_id"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(signs, pa.binary())], ["_rid", "doc_id", "set", "sign"])
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column("_rid"), batch.column("doc_id"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(signs, pa.binary()), pa.array(sizes, pa.int64())], ["_rid", "doc_id", "set", "sign", "size"])
 
     return run
 
@@ -77,43 +81,102 @@ def _pairs_within(least: int):
     return run
 
 
-def _pairs_with(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("sign", "sign2")]
-            near = (sides[0] == sides[1]).sum(axis=1) >= least
-            arr = np.sort(np.stack([batch.column("set").to_numpy()[near], batch.column("set2").to_numpy()[near]], axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(arr[:, 0]), pa.array(arr[:, 1])], ["a", "b"])
+def spanning(sets: np.ndarray, shingles: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of at least ``similarity`` that link all that such pairs link; members of one root count as linked.
+
+    A member is compared with all that no link has reached yet, so what is alike as a whole takes one comparison each.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in shingles], np.int64)
+    flat = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(n), sizes)[order]
+    starts = np.searchsorted(flat[order], np.arange(flat.max(initial=-1) + 2))
+    ends = np.cumsum(sizes)
+    _, group, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    groups = np.split(np.argsort(group, kind="stable"), np.cumsum(counts)[:-1])
+    waiting, left, out = np.ones(n, bool), n, []
+    for g in np.argsort(-counts, kind="stable"):
+        if not waiting[groups[g][0]]:
+            continue
+        queue = deque(groups[g].tolist())
+        waiting[groups[g]] = False
+        left -= len(groups[g])
+        while queue and left:
+            i = queue.popleft()
+            terms = flat[ends[i] - sizes[i] : ends[i]]
+            common = np.bincount(np.concatenate([holders[starts[t] : starts[t + 1]] for t in terms] or [holders[:0]]), minlength=n)
+            for j in np.flatnonzero(waiting & (common >= similarity * (sizes[i] + sizes - common) - 1e-9)).tolist():
+                if waiting[j]:
+                    out.append((int(sets[i]), int(sets[j])))
+                    queue.extend(groups[group[j]].tolist())
+                    waiting[groups[group[j]]] = False
+                    left -= len(groups[group[j]])
+        if not left:
+            break
+    return out
+
+
+def _forest(similarity: float):
+    def run(piece: pa.Table) -> pa.Table:
+        s = piece.column("s").combine_chunks()
+        found = spanning(piece.column("set").to_numpy(), [x.values.to_numpy() for x in s], piece.column("root").to_numpy(), similarity)
+        arr = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"a": arr[:, 0], "b": arr[:, 1]})
 
     return run
 
 
-def _buckets(postings: DataFrame) -> DataFrame:
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return staged(postings.join(sizes, "key"), "buckets")
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, n, shingles, set, sign) of the members of each posting of two or more, with the members and shingles of the posting."""
+    part = lambda i: F.substring("sign", i * KEYED + 1, KEYED)
+    keys = F.array(*[F.xxhash64(F.lit(i), part(i)) for i in range(POSITIONS // KEYED)])
+    postings = classes.select("set", "sign", "size", F.explode(keys).alias("key"))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    return staged(postings.join(sizes, "key").select("key", "n", "shingles", "set", "sign"), "buckets")
 
 
-def _led(large: DataFrame, least: int) -> DataFrame:
-    """Pairs of each member of a large posting with its leaders: its members of least hash under LEADERS orders."""
-    leaders = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("set", F.lit(i)).alias("h"), "set", "sign")).alias(f"l{i}") for i in range(LEADERS)])
-    leaders = leaders.select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"l{i}.set", f"l{i}.sign") for i in range(LEADERS)]))).alias("l"))
-    met = large.join(leaders, "key").where(F.col("set") != F.col("l.set"))
-    return met.select("set", "sign", F.col("l.set").alias("set2"), F.col("l.sign").alias("sign2")).mapInArrow(_pairs_with(least), "a long, b long")
+def candidates(small: DataFrame, least: int = LEAST) -> DataFrame:
+    """Pairs (a, b) of members (key, set, sign) of small postings that share at least ``least`` positional bytes."""
+    return small.groupBy("key").agg(F.collect_list(F.struct("set", "sign")).alias("members")).select("members").mapInArrow(_pairs_within(least), "a long, b long").distinct()
 
 
-def candidates(classes: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pairs (a, b) of classes (set, sign) that share a posting and at least ``least`` positional bytes."""
-    part = lambda i: F.substring("sign", i * KEYED + 1, KEYED)
-    n = POSITIONS // KEYED
-    keys = F.array(*[F.xxhash64(F.lit(i), part(i)) for i in range(n)])
-    found = _buckets(classes.select("set", "sign", F.explode(keys).alias("key")))
-    small = found.where(F.col("n") <= POSTING)
-    large = found.where(F.col("n") > POSTING).drop("n")
-    more = F.explode(F.array(*[F.xxhash64("key", F.lit(i), part(i)) for i in range(n)]))
-    split = _buckets(large.select("set", "sign", more.alias("key")))
-    within = small.drop("n").unionByName(split.where(F.col("n") <= POSTING).drop("n"))
-    pairs = within.groupBy("key").agg(F.collect_list(F.struct("set", "sign")).alias("members")).select("members").mapInArrow(_pairs_within(least), "a long, b long")
-    return pairs.unionByName(_led(large, least)).unionByName(_led(split.where(F.col("n") > POSTING).drop("n"), least)).distinct()
+def linked(large: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of at least ``similarity`` that link all that such pairs inside a posting of ``large`` (key, n, shingles, set) link.
+
+    Postings are dealt into blocks. Each block is compared in itself, with the leaders of its posting: first its members of
+    least hash, then those with most links. Where a posting of several blocks is still not one group, each two of its blocks are compared.
+    """
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    members = staged(large.select("key", "set", blocks.alias("g"), F.pmod(F.xxhash64("set"), blocks).cast("int").alias("i"), F.col("set").alias("root")), "members")
+    several = members.where("g > 1").drop("root")
+
+    def compare(pieces: DataFrame) -> DataFrame:
+        return staged(pieces.join(sets, "set").select("key", "i", "j", "set", "root", "s").groupBy("key", "i", "j").applyInArrow(_forest(similarity), "a long, b long").distinct(), "links")
+
+    def led(parts: DataFrame) -> DataFrame:
+        best = F.array(*[F.min(F.struct("rank", F.xxhash64("set", F.lit(k)).alias("h"), "set", "root")) for k in range(LEADERS)])
+        leaders = parts.groupBy("key", "g").agg(best.alias("l")).select("key", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), "l").select("key", "i", F.explode("l").alias("l"))
+        return parts.select("key", "i", "set", "root").unionByName(leaders.select("key", "i", "l.set", "l.root")).distinct().withColumn("j", F.col("i"))
+
+    def apart(links: DataFrame) -> DataFrame:
+        """Members of the postings that ``links`` do not make one group, with their groups."""
+        now = several.join(components(links).withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        open_keys = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return staged(now.join(open_keys, "key"), "apart")
+
+    whole = members.where("g = 1").select("key", "i", "set", "root", F.col("i").alias("j"))
+    found = compare(whole.unionByName(led(members.where("g > 1").withColumn("rank", F.lit(0).cast("long")))))
+    if several.isEmpty():
+        return found
+    rest = apart(found)
+    if not rest.isEmpty():
+        links = found.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg((-F.count("*")).alias("rank"))
+        found = found.unionByName(compare(led(rest.join(links, "set", "left").fillna(0, ["rank"]))))
+        rest = apart(found)
+    if not rest.isEmpty():
+        other = rest.select("key", "i", "set", "root", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")).where("i <> o")
+        found = found.unionByName(compare(other.select("key", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), "set", "root")))
+    return found.distinct()
 
 
 def _shingled(k: int):
@@ -129,20 +192,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SIMILAR
 
     Rows of equal shingle sets are one class, and only classes are compared. The smallest doc_id of a group stays (null
     last, then the first row). Null and empty texts are alike. Postings above POSTING members are not expanded into
-    pairs; a member is linked through the posting's leaders, through the split postings, or through its other postings.
+    pairs: blocks of them are searched for links by their shingles, until all pairs are compared or in one group.
     """
     rows = identified(docs).select("_rid", "doc_id", "text")
-    signs = staged(rows.mapInArrow(_signatures(k), f"_rid {RID}, doc_id long, set long, sign binary"), "signs")
+    signs = staged(rows.mapInArrow(_signatures(k), f"_rid {RID}, doc_id long, set long, sign binary, size long"), "signs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_rid").alias("r")))
-    classes = staged(signs.groupBy("set").agg(first.alias("first"), F.min("sign").alias("sign")), "classes")
-    pairs = staged(candidates(classes.select("set", "sign")), "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    classes = staged(signs.groupBy("set").agg(first.alias("first"), F.min("sign").alias("sign"), F.max("size").alias("size")), "classes")
+    postings = _buckets(classes)
+    small, large = postings.where(F.col("n") <= POSTING), postings.where(F.col("n") > POSTING)
+    pairs = staged(candidates(small), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(large.select("set")).distinct()
     wanted = classes.join(met, "set").select("set", F.col("first.r").alias("_rid"))
     sets = staged(rows.select("_rid", "text").join(wanted, "_rid").select("set", "text").mapInArrow(_shingled(k), "set long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("set").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9
-    roots = components(both.where(alike).select("a", "b"))
+    roots = components(both.where(alike).select("a", "b").unionByName(linked(large, sets, similarity)))
     grouped = staged(classes.select("set", "first").join(roots, F.col("set") == F.col("node")).select("set", "first", "root"), "grouped")
     kept = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("best")), "root").select("set", "best")
     named = classes.join(kept, "set", "left").select("set", F.coalesce("best", "first").getField("r").alias("keeper"))

@@ -122,6 +122,36 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()} == expected
 
 
+@pytest.mark.parametrize("block", [None, 100])
+def test_star_of_variants_is_one_group(spark, monkeypatch, block):
+    """Each variant is alike to the base and to no other variant, so nothing but the base links them."""
+    if block:
+        monkeypatch.setattr(near_dedup.linked, "__defaults__", (block,))
+    rng, base = np.random.default_rng(3), [f"w{i}" for i in range(114)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 2001):
+        words = list(base)
+        for at in (int(rng.integers(5, 50)), int(rng.integers(60, 105))):
+            words[at] = f"edit{n}x{at}"
+        rows.append((n, " ".join(words)))
+    sets = [set(near_dedup.shingle_set(t).tolist()) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(alike(sets[0], s) for s in sets[1:]) and sum(alike(sets[i], sets[i + 1]) for i in range(1, 2000)) < 300
+    got = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in got] == [0]
+
+
+def test_links_of_a_piece_equal_brute_force():
+    rng = np.random.default_rng(8)
+    base = [set(rng.integers(0, 400, 40).tolist()) for _ in range(6)]
+    members = [np.array(sorted((base[i % 6] - set(rng.choice(sorted(base[i % 6]), 4).tolist())) | set(rng.integers(400, 9999, 2).tolist())), np.int64) for i in range(150)]
+    ids = np.arange(150)
+    links = near_dedup.spanning(ids, members, ids, 0.8)
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    pairs = [(i, j) for i in range(150) for j in range(i) if alike(members[i], members[j])]
+    assert roots(150, links) == roots(150, pairs) and set(map(frozenset, links)) <= set(map(frozenset, pairs)) and len(links) < 150
+
+
 def test_articles_without_the_rest_of_the_page():
     page = """<!doctype html><html><head><title>no</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
     <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1><p>One <b>two<br>three&nbsp;four</b> <span class="ad">buy</span>five.<p>Short.<script>var a="</p>";</script><form><label>x</label></form>
