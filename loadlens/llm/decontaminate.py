@@ -83,21 +83,31 @@ class _Ids(dict):
         return self.outside
 
 
-def build(rows: list[tuple[int, str | None]]) -> Index:
-    """Inverted index of (item_id, text) rows. Items without a word match nothing."""
+@dataclass
+class Counts:
+    """What scores and passages take from the whole benchmark: items, their mean and greatest length, and items by word."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def build(rows: list[tuple[int, str | None]], whole: Counts | None = None) -> Index:
+    """Inverted index of (item_id, text) rows, which are all items or, with the counts of all, a part. Items without a word match nothing."""
     rows = [(i, t) for i, t in rows if tokens(t)]
     docs = [Counter(tokens(t)) for _, t in rows]
     sizes = [sum(d.values()) for d in docs]
-    index = Index([i for i, _ in rows], [parts(t) for _, t in rows], 2 * max(sizes, default=1))
-    df = Counter(w for d in docs for w in d)
+    n, df = len(docs), Counter(w for d in docs for w in d)
+    whole = whole or Counts(n, sum(sizes) / max(1, n), max(sizes, default=1), df)
+    index = Index([i for i, _ in rows], [parts(t) for _, t in rows], 2 * whole.longest)
     index.vocab = {w: k for k, w in enumerate(sorted(df))}
-    n, mean = len(docs), sum(sizes) / max(1, len(sizes))
     postings: list[list[tuple[int, float]]] = [[] for _ in df]
     for k, (d, size) in enumerate(zip(docs, sizes, strict=True)):
-        one = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / mean)) for w, c in d.items()}
-        whole = sum(one.values())
+        one = {w: np.log(1 + (whole.items - whole.df[w] + 0.5) / (whole.df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * size / whole.mean)) for w, c in d.items()}
+        full = sum(one.values())
         for w, x in one.items():
-            postings[index.vocab[w]].append((k, x / whole))
+            postings[index.vocab[w]].append((k, x / full))
     flat = [p for term in postings for p in term]
     index.items, index.impacts = np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat], np.float64)
     index.starts = np.concatenate(([0], np.cumsum([len(t) for t in postings]))).astype(np.int64)
@@ -198,14 +208,33 @@ def _verify(index: Index, words: list[str], start: int, end: int, terms: np.ndar
                 found[item] = (score, q, a)
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words and the distinct words of each item that has any."""
+    for batch in batches:
+        found = [(p, w) for p, t in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True) if (w := tokens(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([len(w) for _, w in found], pa.int64()), pa.array([sorted(set(w)) for _, w in found], pa.list_(pa.string()))], ["part", "size", "words"])
+
+
 def indexes(benchmark: DataFrame, items: int = ITEMS) -> list[Index]:
-    """Indexes of at most ``items`` items each over the whole benchmark table; null ids and null texts match nothing."""
+    """Indexes of at most ``items`` items each over the whole benchmark table; null ids and null texts match nothing.
+
+    Items are weighed and passages cut by counts of the whole table, so rows do not depend on the number of indexes.
+    """
     rows = staged(benchmark.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(), "items")
     n = max(1, -(-rows.count() // items))
     if n == 1:
         return [build(sorted((r["item_id"], r["text"]) for r in rows.collect()))]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n))
-    return [build(sorted((r["item_id"], r["text"]) for r in rows.where(part == k).collect())) for k in range(2 * n)]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)))
+    words = staged(rows.select("part", "text").mapInArrow(_words, "part long, size long, words array<string>"), "item_words")
+    count, total, longest = words.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    each = words.select("part", F.explode("words").alias("word"))
+    df = staged(each.distinct().join(each.groupBy("word").agg(F.count("*").alias("n")), "word"), "item_counts")
+
+    def part(k: int) -> Index:
+        known = {r["word"]: r["n"] for r in df.where(F.col("part") == k).select("word", "n").collect()}  # the words of one index
+        return build(sorted((r["item_id"], r["text"]) for r in rows.where(F.col("part") == k).collect()), Counts(count, (total or 0) / max(1, count), longest or 1, known))
+
+    return [part(k) for k in range(2 * n)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
