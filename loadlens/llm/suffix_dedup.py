@@ -27,6 +27,8 @@ KEYED = LENGTH - STEP
 #: Different surroundings of an anchor from which they are dealt out by their longer runs.
 HOT = 64
 SHARD_BYTES = 2 << 20
+#: Surroundings that share a run, up to which they are sorted as one shard; the strings of more are dealt out by their whole LENGTH bytes.
+LARGE = SHARD_BYTES // (2 * LENGTH)
 RID = "struct<f:long,i:long>"
 _rid = pa.struct([("f", pa.int64()), ("i", pa.int64())])
 
@@ -98,6 +100,32 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist([dict(zip(("a", "c", "s", "e"), r, strict=True)) for r in rows], schema=pa.schema([("a", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each owned string of the surroundings: its start, where it lies, and its hash."""
+    for batch in batches:
+        for a, c, place, text in zip(*(batch.column(x).to_pylist() for x in ("a", "c", "place", "data")), strict=True):
+            sums, inverse = prefix_sums(np.frombuffer(text, np.uint8))
+            starts = np.arange(len(text) - LENGTH + 1)
+            found = hashes(sums, inverse, starts, starts + LENGTH).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), a)), pa.array(np.full(len(starts), c)), pa.array(starts.astype(np.int32)), pa.array(starts + place), pa.array(found)], ["a", "c", "s", "place", "h"])
+
+
+def _counted(strings: DataFrame) -> DataFrame:
+    """Starts of repeated strings in surroundings (a, c, place, data), as ``_sort_shard`` gives them, by native counts: no task holds a group."""
+    each = strings.mapInArrow(_strings, "a long, c long, s int, place long, h long")
+    again = each.groupBy("a", "h").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p < q").select("a", "h")
+    return each.join(again, ["a", "h"]).select("a", "c", "s", (F.col("s") + 1).alias("e"))
+
+
+def shards(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, c, shard) of surroundings that share a run with others, and (a, c) of those that share one with more than LARGE - 1 others."""
+    runs = cut.select("a", "c", "hot", F.explode("keys").alias("k"))
+    shares = runs.groupBy("a", "k").agg(F.count("*").alias("m")).where("m > 1")
+    shard = F.when(F.col("hot"), F.xxhash64("a", "k")).otherwise(F.xxhash64("a"))
+    held = staged(runs.join(shares, ["a", "k"]).select("a", "c", (F.col("hot") & (F.col("m") > LARGE)).alias("large"), shard.alias("shard")).distinct(), "held")
+    return held.where("not large").select("a", "c", "shard"), held.where("large").select("a", "c").distinct()
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes, removed bytes and spans, and the digest of what is kept."""
     for batch in batches:
@@ -136,13 +164,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     points = known.where("kinds > 1").select(F.col("one._rid").alias("_rid"), F.struct("one.pos", "one.left", "one.right", "a", "c", (F.col("kinds") > HOT).alias("hot")).alias("p"))
     points = points.groupBy("_rid").agg(F.collect_list("p").alias("points"))  # at most one document's anchors
     cut = staged(docs.select("_rid", "text").join(points, "_rid").select(F.shiftright(F.xxhash64("_rid"), 1).alias("row"), "text", "points").mapInArrow(_cut_out, "a long, c long, hot boolean, place long, data binary, keys array<long>"), "cut")
-    runs = cut.select("a", "c", "hot", F.explode("keys").alias("k"))
-    shares = runs.groupBy("a", "k").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    held = staged(runs.join(shares, ["a", "k"]).select("a", "c", F.when(F.col("hot"), F.xxhash64("a", "k")).otherwise(F.xxhash64("a")).alias("shard")).distinct(), "held")
+    held, large = shards(cut)
     strings = held.join(cut.select("a", "c", "place", "data"), ["a", "c"])
+    counted = _counted(large.join(cut.select("a", "c", "place", "data"), ["a", "c"]))
     size = cut.agg(F.sum(F.octet_length("data") + 1)).first()[0] or 0
     parts = max(1, -(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
-    found = staged(strings.repartition(int(parts), "shard").select("a", "c", "place", "data").mapInArrow(_sort_shard, "a long, c long, s int, e int").distinct(), "found")
+    found = staged(strings.repartition(int(parts), "shard").select("a", "c", "place", "data").mapInArrow(_sort_shard, "a long, c long, s int, e int").unionByName(counted).distinct(), "found")
     some = again.select("_rid", "pos", "left", "a", "c").join(found, ["a", "c"]).select("_rid", (F.col("pos") - F.col("left") + F.col("s")).alias("s"), (F.col("pos") - F.col("left") + F.col("e") - 1 + LENGTH).alias("e"))
     return whole.unionByName(some)
 
