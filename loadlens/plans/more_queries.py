@@ -415,7 +415,7 @@ def k04(spark, d):
 
 def _arrivals(spark, d) -> DataFrame:
     p = table(spark, d, "conversations").where("role = 'user'")
-    return p.select((F.col("conv_id") % 8).alias("cache"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.substring("text", 1, 40).alias("prompt"), (F.col("conv_id") * 10.0 + F.col("turn")).alias("now"), (F.col("turn") % 2).cast("string").alias("scope"))
+    return p.select((F.col("conv_id") % 8).alias("cache"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("prompt"), (F.col("conv_id") * 10.0 + F.col("turn")).alias("now"), (F.col("turn") % 2).cast("string").alias("scope"))
 
 
 @query("c01_similarity_cache")
