@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,15 +57,37 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def identified(df: DataFrame) -> DataFrame:
-    """``df`` with ``_rid``, an orderable identity of the physical row that stays the same when the plan runs again.
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    Rows of a file scan are named by file and row index; other inputs are staged once and numbered.
+
+def carried(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def identified(df: DataFrame, name: str = "_rid") -> DataFrame:
+    """``df`` with ``name``, an orderable identity of the physical row that stays the same when the plan runs again.
+
+    Rows of a file scan are named by file and row index; other inputs are staged once and numbered. Operators select
+    their own columns first, so that no other column of the input can clash with theirs.
     """
     try:
-        return df.withColumn("_rid", F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
     except AnalysisException:
-        return staged(df.withColumn("_rid", F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "rows")
+        return staged(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "rows")
+
+
+def chosen(docs: DataFrame, choose: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``_rid`` is among those that ``choose`` returns for ``columns`` with ``_rid``."""
+    name = fresh_name(docs, "_rid")
+    rows = identified(docs, name)
+    kept = choose(rows.select(*columns, F.col(name).alias("_rid"))).select(F.col("_rid").alias(name))
+    return rows.join(kept, name, "left_semi").select(*carried(docs))
 
 
 def doc_order(doc_id: str) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import SPACE, identified, staged, table
+from loadlens.llm.common import SPACE, chosen, identified, staged, table
 
 #: Misra-Gries keeps at most 1 / SUPPORT counters, so at most so many digests are ever broadcast (100 bytes each).
 SUPPORT = 1 / 2000
@@ -33,9 +33,15 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     Returns _rid, doc_id, keep_id, group_size, kept, text_sha256 for every row, dropped ones too.
     Null text counts as empty, and all empty texts are one group. Repeated rows (same doc_id and text) are one
-    group of which one row stays. A null doc_id is largest. Extra columns are ignored; an empty table gives an empty result.
+    group of which one row stays. A null doc_id is largest. Very long texts are digested whole, in one expression of their
+    row. Extra columns are ignored; an empty table gives an empty result.
     """
-    rows = staged(identified(docs).select("_rid", "doc_id", F.unhex(digest("text")).alias("_digest"), F.length(F.coalesce("text", F.lit(""))).alias("_len")), "digests")
+    return _resolved(identified(docs.select("doc_id", "text")), support)
+
+
+def _resolved(docs: DataFrame, support: float) -> DataFrame:
+    """``exact_groups`` of rows that have their ``_rid``."""
+    rows = staged(docs.select("_rid", "doc_id", F.unhex(digest("text")).alias("_digest"), F.length(F.coalesce("text", F.lit(""))).alias("_len")), "digests")
     likely = F.broadcast(rows.stat.freqItems(["_digest"], support).select(F.explode("_digest_freqItems").alias("_digest")))
     heavy = staged(_keepers(rows.join(likely, "_digest", "left_semi")).where("group_size > 1"), "heavy")
     light = rows.join(F.broadcast(heavy.select("_digest")), "_digest", "left_anti")
@@ -44,9 +50,8 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    groups = exact_groups(docs, support)
-    return identified(docs).join(groups.where("kept").select("_rid"), "_rid", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    return chosen(docs, lambda rows: _resolved(rows, support).where("kept"), ["doc_id", "text"])
 
 
 def op7_exact_dedup(spark, sf_dir):

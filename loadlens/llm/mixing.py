@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     hash value of its own; rows that share a doc_id share the hash and are taken together. An empty table
     gives an empty result; extra columns are ignored.
     """
-    rows = staged(identified(docs).select("_rid", "doc_id", F.col("source").alias("_source"), text_size("text").alias("_size"), row_hash("doc_id", seed).alias("_h")), "sized")
+    rows = staged(identified(docs.select("doc_id", "source", "text")).select("_rid", "doc_id", F.col("source").alias("_source"), text_size("text").alias("_size"), row_hash("doc_id", seed).alias("_h")), "sized")
     sources = rows.groupBy("_source").agg(F.sum("_size").alias("source_size"))
     plan = with_targets(ranked_sources(sources, weights), share, repeats)
     plan = plan.withColumn("_copies", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)))

@@ -166,7 +166,7 @@ def near_groups(docs: DataFrame, k: int = 3, most: int = 3) -> DataFrame:
     Null and empty texts have fingerprint zero, linked like any other. Rows with a null doc_id are members, but never name
     a component unless no other row can. Repeated rows belong together. Extra columns are ignored; an empty table gives an empty result.
     """
-    prints = staged(identified(docs).select("_rid", "doc_id", "text").mapInArrow(_fingerprints(k), "_rid struct<f:long,i:long>, doc_id long, fp long"), "prints")
+    prints = staged(identified(docs.select("doc_id", "text")).select("_rid", "doc_id", "text").mapInArrow(_fingerprints(k), "_rid struct<f:long,i:long>, doc_id long, fp long"), "prints")
     first = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("d")), "classes")
     roots = components(links(first.select("fp"), most))
     grouped = staged(first.join(roots, first["fp"] == roots["node"]).select("fp", "d", "root"), "roots")

@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Matches never cross rows; repeated rows repeat each other. Null and empty texts have no byte. Texts under 200 bytes
     hold no string to repeat. Extra columns are ignored; an empty table gives an empty result.
     """
-    rows = identified(docs).select("_rid", "doc_id", "text")
+    rows = identified(docs.select("doc_id", "text")).select("_rid", "doc_id", "text")
     spans = repeated_spans(rows).groupBy("_rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # at most one document's anchors
     return rows.join(spans, "_rid", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -44,7 +44,7 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT, few: int = BROADCAST_D
     rows with that id one is. Only digests and ids are shuffled for the decision, combined before the shuffle. Up to
     ``few`` repeated digests are broadcast to the pass that writes; more are joined by a shuffle of the pages.
     """
-    rows = identified(pages).select("_rid", "page_id", "url", "html")
+    rows = identified(pages.select("page_id", "url", "html")).select("_rid", "page_id", "url", "html")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = rows.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", F.sha1(payload))
     facts = rows.where(F.col("payload_bytes") >= least).select("_rid", "page_id", "payload_digest")

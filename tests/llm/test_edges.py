@@ -3,6 +3,8 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loadlens.llm.queries import ORACLE_SQL, QUERIES
@@ -57,5 +59,29 @@ def test_pipeline_runs_on_edges(spark, edge):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, edge["full"]).count() == docs.count()
 
 
+CLASHES = ("_rid", "_text", "_score", "_digest", "digest", "set", "a.b", "c`d", "text.x", "toxic", "kept", "size", "item_id")
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_carry_clashing_columns(spark, edge, number):
+    _, stage = corpus_pipeline.STAGES[number]
+    docs = spark.read.parquet(f"{edge['full']}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    plain = sorted(map(str, stage(spark, docs, edge["full"]).collect()))
+    more = docs.withColumns({c: F.lit(f"mine {i}") for i, c in enumerate(CLASHES)})
+    got = stage(spark, more, edge["full"])
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert sorted(str(Row(**{c: r[c] for c in docs.columns})) for r in rows) == plain
+    assert all(r[c] == f"mine {i}" for r in rows for i, c in enumerate(CLASHES))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_operators_ignore_clashing_columns(spark, edge, name, tmp_path):
+    for t in ("documents", "pages", "labels", "benchmark"):
+        df = spark.read.parquet(f"{edge['full']}/{t}.parquet")
+        df.withColumns({c: F.lit("x") for c in CLASHES if c not in df.columns}).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() == QUERIES[name](spark, edge["full"]).count()
+
+
 def test_pipeline_runs_on_empty_tables(spark, edge):
     assert corpus_pipeline.run(spark, edge["none"]).count() == 0

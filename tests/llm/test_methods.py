@@ -141,17 +141,38 @@ def test_star_of_variants_is_one_group(spark, monkeypatch, block):
     assert [r["doc_id"] for r in got] == [0]
 
 
-def test_links_of_a_piece_equal_brute_force():
+@pytest.mark.parametrize("cut", [None, 60])
+def test_links_of_a_piece_equal_brute_force(cut, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_PAIRS", 50)
     rng = np.random.default_rng(8)
     base = [set(rng.integers(0, 400, 40).tolist()) for _ in range(6)]
     members = [np.array(sorted((base[i % 6] - set(rng.choice(sorted(base[i % 6]), 4).tolist())) | set(rng.integers(400, 9999, 2).tolist())), np.int64) for i in range(150)]
-    ids = np.arange(150)
-    links = near_dedup.spanning(ids, members, ids, 0.8)
+    links = near_dedup.spanning(members[:cut], members[cut:] if cut else None, np.arange(150), 0.8)
     alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
-    pairs = [(i, j) for i in range(150) for j in range(i) if alike(members[i], members[j])]
+    pairs = [(i, j) for i in range(150) for j in range(i) if (not cut or j < cut <= i) and alike(members[i], members[j])]
     assert roots(150, links) == roots(150, pairs) and set(map(frozenset, links)) <= set(map(frozenset, pairs)) and len(links) < 150
 
 
+@pytest.mark.parametrize("block, template", [(None, 404), (256, 354)])
+def test_pairs_in_a_templated_corpus(spark, monkeypatch, template, block):
+    """2000 texts share a template and are 0.73 to 0.77 alike; 100 planted pairs are at least 0.8 alike. None may be lost."""
+    if block:
+        monkeypatch.setattr(near_dedup.linked, "__defaults__", (block,))
+    rng, head = np.random.default_rng(11), [f"t{i}" for i in range(template)]
+    own, rows = template // 6, []
+    for n in range(2000):
+        mine = [f"u{n}x{i}" for i in range(own)]
+        if n % 20 == 1:
+            mine = [w if i >= own * 0.5 else f"u{n - 1}x{i}" for i, w in enumerate(mine)]
+        rows.append((n, " ".join(head + mine)))
+    sets = [set(near_dedup.shingle_set(t).tolist()) for _, t in rows]
+    score = lambda a, b: len(a & b) / len(a | b)
+    assert all(score(sets[n], sets[n - 1]) >= 0.8 for n in range(1, 2000, 20)) and 0.7 < score(sets[2], sets[500]) < 0.8
+    order = rng.permutation(len(rows)).tolist()
+    kept = {r["doc_id"] for r in near_dedup.drop_near_duplicates(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")).collect()}
+    assert kept == {n for n in range(2000) if n % 20 != 1}
+
+
 def test_articles_without_the_rest_of_the_page():
     page = """<!doctype html><html><head><title>no</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
     <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1><p>One <b>two<br>three&nbsp;four</b> <span class="ad">buy</span>five.<p>Short.<script>var a="</p>";</script><form><label>x</label></form>
