@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,23 @@ def chosen(docs: DataFrame, choose: Callable[[DataFrame], DataFrame], columns: l
     return rows.join(kept, name, "left_semi").select(*carried(docs))
 
 
+def filtered(docs: DataFrame, start: Callable[[], Callable[[str | None], bool]], column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``column`` passes the test that ``start`` gives once a task.
+
+    Columns travel under positional names, so theirs may hold any character.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[c.alias(n) for c, n in zip(carried(docs), names, strict=True)])
+    at = [c.lower() for c in docs.columns].index(column.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+
 def doc_order(doc_id: str) -> list[Column]:
     """Sort fields by which the smallest doc_id comes first and null last."""
     return [F.col(doc_id).isNull(), F.col(doc_id)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import staged, table
+from loadlens.llm.common import filtered, staged, table
 
 TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -240,8 +240,9 @@ def indexes(benchmark: DataFrame, items: int = ITEMS) -> list[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    Documents are read whole, in one pass per index and without a shuffle. Null and empty texts leak nothing; repeated
-    rows give their rows each; an empty benchmark gives an empty result; extra columns are ignored.
+    Documents are read whole, in one pass per index and without a shuffle; of a very long one, PASSAGES passages are bounded at a
+    time. Null and empty texts leak nothing; repeated rows give their rows each, and of passages that tie the first counts; an empty
+    benchmark or document table gives an empty result; extra columns are ignored.
     """
     out = None
     for index in indexes(benchmark):
@@ -259,15 +260,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
+    """The rows of ``docs`` that leak no item, with all their columns, whatever their names."""
     for index in indexes(benchmark):
         packed = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not leaks(packed.value, t, threshold, least) for t in batch.column("text").to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filtered(docs, lambda packed=packed: lambda text: not leaks(packed.value, text, threshold, least))
     return docs
 
 

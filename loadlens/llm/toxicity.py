@@ -1,8 +1,8 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary text and one that also holds toxic text.
 
 A window is one word, set between two fixed runs of common words that both dictionaries hold, so its compressed length
-differs only by what the dictionaries know of that word. Windows that the toxic dictionary saves ``SAVED`` bytes on
-are hits; a document's score is a logistic function of its hits, calibrated on the training rows.
+differs only by what the dictionaries know of that word. Windows that the toxic dictionary saves enough bytes on
+are hits; how many bytes are enough, and the logistic function of its hits that is a document's score, are calibrated on the training rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.common import staged, table
+from loadlens.llm.common import filtered, staged, table
 from loadlens.llm.simhash import shingle_hashes
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -33,12 +33,11 @@ STEM = 1.4
 SKETCH = 8
 #: Most frequent ordinary words in both dictionaries, and most words and marks (words or prefixes) of the toxic one.
 ORDINARY_WORDS, TOXIC_WORDS, TOXIC_MARKS = 8000, 4000, 2000
-#: Bytes saved from which a window is a hit.
-SAVED = 2
+#: Bytes saved from which a window may be a hit; the training rows decide which.
+SAVED = (1, 2, 3, 4)
 #: Longer words are several windows.
 WINDOW = 64
 _CACHE = 300_000
-_FEATURES = 4
 
 
 def words(text: str | None) -> list[str]:
@@ -102,6 +101,7 @@ class Model:
     before: bytes
     after: bytes
     weights: list[float]
+    enough: int = 0
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -132,12 +132,19 @@ class Windows:
             self.saved[word] = got
         return got
 
+    def hits(self, text: str | None) -> tuple[int, list[int]]:
+        """Windows of the text, and how many of them save at least as many bytes as each of SAVED."""
+        saved = [self(w) for w in words(text)]
+        return len(saved), [sum(b >= least for b in saved) for least in SAVED]
+
     def features(self, text: str | None) -> list[float]:
-        """Any hit, hits, share of hits, and words, the counts as logarithms."""
         found = words(text)
-        hits = sum(self(w) >= SAVED for w in found)
-        n = len(found)
-        return [float(hits > 0), math.log1p(hits), math.log1p(1000 * hits / n) if n else 0.0, math.log1p(n)]
+        return features(len(found), sum(self(w) >= self.model.enough for w in found))
+
+
+def features(n: int, hits: int) -> list[float]:
+    """Any hit, hits, share of hits, and words, the counts as logarithms."""
+    return [float(hits > 0), math.log1p(hits), math.log1p(1000 * hits / n) if n else 0.0, math.log1p(n)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
@@ -198,39 +205,57 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     shared = (" " + " ".join(reversed(common)) + " ").encode() + around
     model = Model(shared, (" " + " ".join(reversed(toxic)) + " ").encode() + shared, b" " + around[:-24] + b" ", b" " + around[-24:], [])
 
-    def features(batches):
+    def hits(batches):
         windows = Windows(model)
         for batch in batches:
-            got = np.array([windows.features(t) for t in batch.column("text").to_pylist()], float).reshape(-1, _FEATURES)
-            yield pa.RecordBatch.from_arrays([*(pa.array(got[:, i]) for i in range(_FEATURES)), batch.column("toxic").cast(pa.int64())], [*(f"f{i}" for i in range(_FEATURES)), "y"])
-
-    schema = ", ".join(f"f{i} double" for i in range(_FEATURES)) + ", y long"
-    got = np.array([tuple(r) for r in sample.mapInArrow(features, schema).collect()], float)  # at most 2 * rows rows
-    model.weights = _logistic(got[:, :_FEATURES], got[:, -1])
+            got = [windows.hits(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([h for _, h in got], pa.list_(pa.int64())), batch.column("toxic").cast(pa.int64())], ["n", "hits", "y"])
+
+    found = sample.mapInArrow(hits, "n long, hits array<long>, y long").collect()  # at most 2 * rows rows
+    y = np.array([r["y"] for r in found], float)
+    fits = []
+    for k, enough in enumerate(SAVED):
+        x = np.array([features(r["n"], r["hits"][k]) for r in found], float)
+        weights = _logistic(x, y)
+        p = np.clip([_score(weights, f) for f in x.tolist()], 1e-9, 1 - 1e-9)
+        fits.append((float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), enough, weights))
+    _, model.enough, model.weights = min(fits)
     return model
 
 
-def score(docs: DataFrame, model: Model | None, columns: list[str], schema: str) -> DataFrame:
-    """``columns`` of ``docs`` with ``score``, in one pass without a shuffle. Without a model every score is 0."""
+def scorer(model: Model | None) -> Callable[[str | None], float]:
+    """Score of a text; without a model every score is 0."""
+    windows = Windows(model) if model else None
+    return lambda text: _score(model.weights, windows.features(text)) if windows else 0.0
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id and score of every row of ``docs``, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(model) if model else None
+        of = scorer(model)
         for batch in batches:
-            got = [_score(model.weights, windows.features(t)) if model else 0.0 for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], [*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([of(t) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, _score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op5_toxicity(spark, sf_dir):
-    """Null and empty texts have no hit and get the calibrated base score; repeated rows score alike; labels of one
-    document that disagree count as toxic; an empty label table scores 0."""
+    """Null and empty texts have no hit and get the calibrated base score; repeated rows and ties score alike; labels of one
+    document that disagree count as toxic; a class without a training row, so an empty label table, scores everything 0, and an
+    empty document table gives an empty result. Very long texts are scored whole, as a list of their words in one task.
+    Extra columns are ignored."""
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), ["doc_id"], "doc_id long")
-    return scored.select("doc_id", (held_out_part("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (held_out_part("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return score(docs, train(docs, labels), docs.columns, schema).where("_score < 0.5").drop("_score")
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names."""
+    model = train(docs, labels)
+
+    def start():
+        of = scorer(model)
+        return lambda text: of(text) < 0.5
+
+    return filtered(docs, start)

@@ -237,6 +237,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(bad) / len(bad) > 0.88 and sum(fine) / len(fine) < 0.01
 
 
+def test_scores_equal_a_plain_reading_of_the_model(spark):
+    """Each word compressed by itself with either dictionary, without caches or batches."""
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    ordinary, toxic = toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, t in list(texts(spark, BIG).items())[:150]:
+        found = [w[k : k + 64] for w in re.findall(r"[^\W\d_]+", t.lower()) for k in range(0, len(w), 64)]
+        hits = sum(len(ordinary.compress(x)) - len(toxic.compress(x)) >= model.enough for w in found for x in [model.before + w.encode() + model.after])
+        x = [hits > 0, np.log1p(hits), np.log1p(1000 * hits / len(found)) if found else 0, np.log1p(len(found)), 1]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.dot(model.weights, np.array(x, float)))))
+
+
 def test_toxicity_does_not_learn_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out_part("doc_id", 5) == 0, 1 - labels["toxic"]).otherwise(labels["toxic"]))
