@@ -1,22 +1,25 @@
 """WARC archives with revisit records and a two-level capture index.
 
-Archives are text files in the shared folder, written and read by Spark's own readers and writers, so they work in any
-store. Each record begins with a line that names the archive by a fresh identifier; that line is what separates records
-when the files are read back, and no payload can hold it.
+Archives are files of WARC/1.1 records in the shared folder: a response holds an HTTP head and the payload, a revisit the HTTP
+head and the record that it repeats. They are written by Spark's own writer, so any store that Spark writes to can hold them.
 
 The index has the reversed-host key of every capture in sorted, compressed blocks; a sparse directory holds the first
-and last key of each block. A lookup searches the directory, opens the blocks it names, and reads the record's range.
+and last key of each block. A lookup searches the directory, opens the blocks it names, and reads the record's range; a
+reader of all captures opens all blocks and reads the ranges file by file, in parallel.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +33,22 @@ BROADCAST_DIGESTS = 200_000
 BLOCK = 1000
 #: Bytes that an archive file should have.
 FILE_BYTES = 16 << 20
+#: Bytes that one read of neighbouring ranges should have.
+READ_BYTES = 8 << 20
 EOL = "\r\n"
-
-
-def _marker(archive: str) -> str:
-    return f"WARC/1.1{EOL}WARC-Warcinfo-ID: <urn:uuid:{archive}>{EOL}"
+VERSION = f"WARC/1.1{EOL}"
+#: Address of a record whose page has none.
+NO_URL = "about:unknown"
+#: Fixed value of the standard: profile of a revisit that repeats a payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_CAPTURE = pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64())])
+_RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string())])
+CAPTURE = "key string, file string, offset long, length long, page_id long"
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
 
 def planned(pages: DataFrame, least: int = LEAST_REVISIT, few: int = BROADCAST_DIGESTS) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type and refers_to of the record that each row becomes.
+    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to and the rows of the record that each row becomes and of the one it refers to.
 
     Of equal payloads of at least ``least`` bytes the largest page_id (null first) is the response; of repeated
     rows with that id one is. Only digests and ids are shuffled for the decision, combined before the shuffle. Up to
@@ -53,61 +63,67 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT, few: int = BROADCAST_D
         best = F.broadcast(best)
     again = (F.col("payload_bytes") >= least) & F.col("_k").isNotNull() & (F.col("_rid") != F.col("_k._rid"))
     out = rows.join(best, "payload_digest", "left")
-    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_k.page_id")).alias("refers_to"))
+    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_k.page_id")).alias("refers_to"), "_rid", F.when(again, F.col("_k._rid")).alias("_refers_rid"))
 
 
 def _header(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))).otherwise(F.lit(""))
 
 
-def write_archive(pages: DataFrame, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> tuple[str, str]:
-    """Write one record per row of ``pages``; returns the folder and the archive's identifier.
+def _record_id(archive: str, rid: str) -> Column:
+    """A record's identifier: a name-based UUID of the archive and the row."""
+    digest = F.md5(F.concat_ws("/", F.lit(archive), F.col(f"{rid}.f"), F.col(f"{rid}.i")))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-8$4-$5"), F.lit(">"))
+
+
+def write_archive(pages: DataFrame, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES, date: str | None = None) -> str:
+    """Write one record per row of ``pages`` and return the folder; ``date`` (now, by default) is the date of capture.
 
-    A revisit stores no payload but the digest and length of the full one and the page it refers to. Control
-    characters in an address are percent-encoded.
+    A response holds the payload after an HTTP head. A revisit holds the head alone, the digest and length of the full payload,
+    and the record and page it refers to. Line ends in an address are percent-encoded; a page without one gets NO_URL.
     """
     spark, archive = pages.sparkSession, str(uuid.uuid4())
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     total, n = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
     html = F.when(F.col("record_type") == "response", F.coalesce("html", F.lit(""))).otherwise(F.lit(""))
-    url = F.col("url")
+    url = F.coalesce("url", F.lit(NO_URL))
     for c in "\r\n":
         url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(EOL + EOL))
+    stored = F.octet_length(http) + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
     head = F.concat(
-        F.lit(_marker(archive)),
-        F.lit("WARC-Type: "), F.col("record_type"), F.lit(EOL),
-        _header("WARC-Target-URI", url), _header("X-Page-ID", F.col("page_id")),
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit(EOL),
-        F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string"), F.lit(EOL),
-        _header("X-Refers-To-Page-ID", F.col("refers_to")),
-        F.lit("Content-Type: text/html; charset=utf-8" + EOL + "Content-Length: "), F.octet_length(F.encode(html, "UTF-8")).cast("string"), F.lit(EOL + EOL),
+        F.lit(VERSION + "WARC-Type: "), F.col("record_type"),
+        _header("WARC-Record-ID", _record_id(archive, "_rid")), _header("WARC-Date", F.lit(date)), _header("WARC-Target-URI", url),
+        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
+        _header("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(PROFILE))), _header("WARC-Refers-To", F.when(F.col("record_type") == "revisit", _record_id(archive, "_refers_rid"))),
+        _header("X-Page-ID", F.col("page_id")), _header("X-Refers-To-Page-ID", F.col("refers_to")),
+        _header("Content-Type", F.lit("application/http; msgtype=response")), _header("Content-Length", stored), F.lit(EOL + EOL),
     )
     path = fresh_path(spark, "warc")
-    records = planned(pages, least).select(F.concat(head, html).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", max(1, file_bytes * (n or 1) // max(1, (total or 0) + 400 * (n or 1)))).text(path)
-    return path, archive
+    records = planned(pages, least).select(F.concat(head, http, html).alias("value"))
+    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", max(1, file_bytes * (n or 1) // max(1, (total or 0) + 700 * (n or 1)))).text(path)
+    return path
 
 
-def _field(head: Column, name: str) -> Column:
-    got = F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
-    return F.when(F.regexp_like(head, F.lit(rf"(?:^|\r\n){name}: ")), got)
-
-
-def read_archive(spark: SparkSession, path: str, archive: str) -> DataFrame:
-    """The records of an archive: page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for a revisit).
-
-    Length and digest of every stored payload are computed again; a record that does not agree with its header raises.
-    """
-    whole = spark.read.option("lineSep", _marker(archive)).text(path).where("value <> ''")
-    at = F.instr("value", EOL + EOL)
-    parts = whole.select(F.substring(F.col("value"), F.lit(1), at - 1).alias("head"), F.substring(F.col("value"), at + 4, F.length("value") - at - 7).alias("body"), F.col("value").endswith(EOL + EOL).alias("whole"))
-    read = parts.select(
-        _field("head", "X-Page-ID").cast("long").alias("page_id"), _field("head", "WARC-Target-URI").alias("url"), _field("head", "WARC-Type").alias("record_type"),
-        _field("head", "X-Refers-To-Page-ID").cast("long").alias("refers_to"), _field("head", "X-Payload-Length").cast("long").alias("payload_bytes"),
-        F.substring(_field("head", "WARC-Payload-Digest"), 6, 40).alias("payload_digest"), _field("head", "Content-Length").cast("long").alias("_stored"), F.encode("body", "UTF-8").alias("_b"), "whole",
-    )
-    right = F.col("whole") & (F.octet_length("_b") == F.col("_stored")) & ((F.col("record_type") == "revisit") | ((F.sha1("_b") == F.col("payload_digest")) & (F.col("_stored") == F.col("payload_bytes"))))
-    checked = F.when(right, F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("damaged WARC record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
-    return read.select("page_id", "url", checked.alias("record_type"), "refers_to", "payload_bytes", "payload_digest", F.when(F.col("record_type") != "revisit", F.decode("_b", "UTF-8")).alias("payload"))
+def _header(name: str, value: Column) -> Column:
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{EOL}{name}: "), value.cast("string"))).otherwise(F.lit(""))
+
+
+def parsed(record: bytes) -> dict:
+    """Fields of one record. Length and digest of a stored payload are computed again; a record that does not agree with its head raises."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    lines = head.decode().split(EOL)
+    fields = dict(x.split(": ", 1) for x in lines[1:])
+    block = rest[: int(fields["Content-Length"])]
+    http, _, payload = block.partition(b"\r\n\r\n")
+    size = int(dict(x.split(": ", 1) for x in http.decode().split(EOL)[1:])["Content-Length"])
+    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    whole = lines[0] + EOL == VERSION and rest[len(block) :] == b"\r\n\r\n"
+    if not whole or (kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest)) or (kind == "revisit" and payload):
+        raise ValueError(f"damaged WARC record {fields.get('WARC-Record-ID')}")
+    number = lambda x: int(x) if x is not None else None
+    url = fields["WARC-Target-URI"]
+    return {"page_id": number(fields.get("X-Page-ID")), "url": None if url == NO_URL else url, "record_type": kind, "refers_to": number(fields.get("X-Refers-To-Page-ID")), "payload_bytes": size, "payload_digest": digest, "payload": payload.decode("utf-8", "replace") if kind == "response" else None}
 
 
 def url_key(url: str | None) -> str:
@@ -124,27 +140,19 @@ def url_key(url: str | None) -> str:
     return key + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def _offsets(archive: str):
+def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Key, file, offset, length and page of each record in a batch of whole files."""
-    mark = _marker(archive).encode()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                data, rows = content.as_buffer(), []
-                view = memoryview(data)
-                raw = data.to_pybytes()
-                at = raw.find(mark)
-                while at >= 0:
-                    head = raw.index(b"\r\n\r\n", at)
-                    fields = dict(line.split(": ", 1) for line in bytes(view[at:head]).decode().split(EOL)[1:])
-                    end = head + 4 + int(fields["Content-Length"]) + 4
-                    page = fields.get("X-Page-ID")
-                    rows.append((url_key(fields.get("WARC-Target-URI")), path.as_py(), at, end - at, int(page) if page else None))
-                    at = end if raw.startswith(mark, end) else -1
-                yield pa.RecordBatch.from_pylist([dict(zip(("key", "file", "offset", "length", "page_id"), r, strict=True)) for r in rows], schema=pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64())]))
-
-    return run
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            raw, at, rows = content.as_buffer().to_pybytes(), 0, []
+            while at < len(raw):
+                head = raw.index(b"\r\n\r\n", at)
+                fields = dict(line.split(": ", 1) for line in raw[at:head].decode().split(EOL)[1:])
+                end = head + 4 + int(fields["Content-Length"]) + 4
+                page = fields.get("X-Page-ID")
+                rows.append((url_key(fields["WARC-Target-URI"]), path.as_py(), at, end - at, int(page) if page else None))
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, _CAPTURE, strict=True)], schema=_CAPTURE)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +173,72 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def build_index(spark: SparkSession, path: str, archive: str) -> str:
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The captures of index blocks."""
+    for batch in batches:
+        for block in batch.column("block").to_pylist():
+            rows = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
+            cols = list(zip(*rows, strict=True))
+            numbers = [pa.array([int(x) if x else None for x in c], pa.int64()) for c in cols[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), *numbers], schema=_CAPTURE)
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of captures in order of file and offset: neighbouring ranges are one read."""
+    store, name, file = None, None, None
+    run: list[tuple[int, int]] = []
+
+    def read():
+        start = run[0][0]
+        data = file.read_at(run[-1][0] + run[-1][1] - start, start)
+        rows = [parsed(data[o - start : o - start + n]) for o, n in run]
+        run.clear()
+        return pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+
+    for batch in batches:
+        for path, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
+            if run and (path != name or offset != sum(run[-1]) or offset + length - run[0][0] > READ_BYTES):
+                yield read()
+            if path != name:
+                store, inner = pyarrow.fs.FileSystem.from_uri(path)
+                name, file = path, store.open_input_file(inner)
+            run.append((offset, length))
+    if run:
+        yield read()
+
+
+def read_captures(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """The records (RECORD) of all captures in ``index``, read by their ranges; the payload of a revisit is null.
+
+    Captures are dealt to tasks by file, so a file is read once and by one task. Executors read ranges through the file system
+    that Arrow has for the address; where it has none, Spark reads the files and the ranges are cut from their content.
+    """
+    lines = spark.read.parquet(index).select("block").mapInArrow(_unpack, CAPTURE)
+    try:
+        pyarrow.fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return _cut_ranges(spark, path, lines)
+    return lines.repartition(F.col("file")).sortWithinPartitions("file", "offset").mapInArrow(_read_ranges, RECORD)
+
+
+def _cut_ranges(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
+    ranges = lines.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("r"))  # at most the records of one file
+    cut = F.transform("r", lambda r: F.substring(F.col("content"), (r["offset"] + 1).cast("int"), r["length"].cast("int")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([parsed(x) for x in batch.column("record").to_pylist()], schema=_RECORD)
+
+    return _files(spark, path).join(ranges, F.col("path") == F.col("file")).select(F.explode(cut).alias("record")).mapInArrow(run, RECORD)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def build_index(spark: SparkSession, path: str) -> str:
     """Write the capture index of an archive and return its folder: ``blocks`` (first, last, n, block), sorted by key over all files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    lines = staged(files.mapInArrow(_offsets(archive), "key string, file string, offset long, length long, page_id long"), "cdx")
+    lines = staged(_files(spark, path).mapInArrow(_offsets, CAPTURE), "cdx")
     target = fresh_path(spark, "index")
     lines.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset").mapInArrow(_pack, "first string, last string, n long, block binary").write.parquet(target)
     return target
@@ -216,9 +286,11 @@ class Captures:
 
 
 def op9_warc(spark, sf_dir):
-    path, archive = write_archive(table(spark, sf_dir, "pages"))
-    build_index(spark, path, archive)
-    return read_archive(spark, path, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Each row is the record that the index's offset and length give. Null and empty html are payloads of no byte; null addresses
+    come back null; repeated rows have a record each; of equal payloads that tie on page_id the first row is the response. Very long
+    pages are one record and one range. An empty table gives an empty archive and result; extra columns are ignored."""
+    path = write_archive(table(spark, sf_dir, "pages"))
+    return read_captures(spark, path, build_index(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = r"""

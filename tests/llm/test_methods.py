@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -300,20 +301,71 @@ def test_unseen_words_back_off():
     assert model.predict("xx") == ("en", pytest.approx(1 / (1 + np.exp(-1)), rel=1e-4)) and model.predict("12 !") == ("und", 0.0)
 
 
+def plain_records(folder):
+    """A reader of WARC files that knows nothing but the standard: version line, named fields, block by Content-Length, two line ends."""
+    for file in sorted(Path(folder.removeprefix("file://")).glob("part-*")):
+        data = file.read_bytes()
+        while data:
+            version, _, data = data.partition(b"\r\n")
+            head, _, data = data.partition(b"\r\n\r\n")
+            fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in head.decode().split("\r\n"))}
+            size = int(fields["content-length"])
+            assert version == b"WARC/1.1" and data[size : size + 4] == b"\r\n\r\n"
+            yield fields, data[:size]
+            data = data[size + 4 :]
+
+
+def test_archives_follow_the_standard(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    again = pages.limit(20).withColumn("page_id", pages["page_id"] + 10**6)
+    path = warc.write_archive(pages.unionByName(again), date="2024-05-06T07:08:09Z")
+    html = {r["page_id"]: r["html"] for r in pages.unionByName(again).collect()}
+    found = list(plain_records(path))
+    ids = {f["warc-record-id"]: f for f, _ in found}
+    assert len(ids) == len(found) == len(html)
+    for f, block in found:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-3[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}>", f["warc-record-id"]) and f["warc-date"] == "2024-05-06T07:08:09Z" and f["warc-target-uri"]
+        status, _, body = block.partition(b"\r\n\r\n")
+        assert status.startswith(b"HTTP/1.1 200 OK\r\n") and f["content-type"] == "application/http; msgtype=response"
+        payload = html[int(f["x-page-id"])].encode()
+        assert f["warc-payload-digest"] == "sha1:" + hashlib.sha1(payload).hexdigest()
+        if f["warc-type"] == "response":
+            assert body == payload
+        else:
+            assert not body and f["warc-profile"].endswith("identical-payload-digest") and ids[f["warc-refers-to"]]["warc-payload-digest"] == f["warc-payload-digest"]
+    assert any(f["warc-type"] == "revisit" for f, _ in found)
+
+
 def test_archive_round_trip_and_lookups(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    path, archive = warc.write_archive(pages, file_bytes=1 << 16)
-    index = warc.build_index(spark, path, archive)
-    stored = {r["page_id"]: r for r in warc.read_archive(spark, path, archive).collect()}
+    path = warc.write_archive(pages, file_bytes=1 << 16)
+    index = warc.build_index(spark, path)
+    stored = {r["page_id"]: r for r in warc.read_captures(spark, path, index).collect()}
+    cut = warc._cut_ranges(spark, path, spark.read.parquet(index).select("block").mapInArrow(warc._unpack, warc.CAPTURE))
+    assert {r["page_id"]: r for r in cut.collect()} == stored
+    assert {(i, r["url"], r["payload"]) for i, r in stored.items() if r["record_type"] == "response"} == {(r["page_id"], r["url"], r["html"]) for r in pages.collect() if stored[r["page_id"]]["record_type"] == "response"}
     captures = warc.Captures(spark, index)
     for r in pages.limit(10).collect():
         found = [x for x in captures.lines(r["url"]) if x[3] == r["page_id"]]
         assert len(found) == 1
-        record = captures.read(*found[0][:3])
-        assert record.startswith("WARC/1.1\r\n") and record.endswith(stored[r["page_id"]]["payload"] + "\r\n\r\n")
+        assert warc.parsed(captures.read(*found[0][:3]).encode()) == stored[r["page_id"]].asDict()
     assert captures.lines("http://nowhere.invalid/") == []
     far = warc.Captures(spark, index, limit=0)
     assert far.directory is None and far.lines(pages.first()["url"]) == captures.lines(pages.first()["url"])
+    blocks = spark.read.parquet(index).collect()
+    part = f"{path}-part"
+    spark.createDataFrame(blocks[:0] + blocks[1:], spark.read.parquet(index).schema).write.parquet(part)
+    assert warc.read_captures(spark, path, part).count() == len(stored) - blocks[0]["n"]  # what the index does not hold is not read
+
+
+def test_damaged_records_raise():
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\nWARC-Payload-Digest: sha1:" + hashlib.sha1(b"abc").hexdigest() + "\r\n"
+    http = "HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n"
+    record = lambda body: f"{head}Content-Length: {len(http) + len(body)}\r\n\r\n{http}{body}\r\n\r\n".encode()
+    assert warc.parsed(record("abc"))["payload"] == "abc"
+    for bad in (record("abd"), record("ab"), record("abc")[:-1]):
+        with pytest.raises(ValueError):
+            warc.parsed(bad)
 
 
 def test_planned_records_by_shuffle_and_by_broadcast(spark):
