@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -24,11 +24,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BAD_TAGS = frozenset("nav header footer aside form menu dialog button fieldset head datalist".split())
 MAIN_TAGS = frozenset("article main".split())
-BAD_WORDS = frozenset(
+#: Never main text, whatever they hold: adverts, notices, reader comments.
+BARRED_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall "
-    "sidebar sidebars rail aside widget widgets comment comments commentlist respond reply replies discussion disqus nav navbar navigation navigate menu menus submenu breadcrumb breadcrumbs pagination pager toolbar topbar "
+    "comment comments commentlist respond reply replies discussion disqus teaser teasers".split()
+)
+#: Usually not main text, unless the page has no other.
+SIDE_WORDS = frozenset(
+    "sidebar sidebars rail aside widget widgets nav navbar navigation navigate menu menus submenu breadcrumb breadcrumbs pagination pager toolbar topbar "
     "header masthead footer foot bottombar copyright legal disclaimer share sharing social related recommended recommendations trending newsletter subscribe subscription signup login search skip complementary contentinfo".split()
 )
+#: Words beside the one that says what a part is, as in "site-footer" or "sidebar-left".
+NEUTRAL_WORDS = frozenset("site page global top bottom left right first last wrapper wrap container box block section area inner outer list item items bar panel links buttons posts articles content primary secondary".split())
 MAIN_WORDS = frozenset("article main post entry story".split())
 
 TOKEN = re.compile(
@@ -45,50 +52,62 @@ SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, LINKED = 0.08, 0.2, 0.5
 
 BAD, GOOD, OPEN = -1, 1, 0
+#: Regions of a page.
+BARRED, SIDE, PLAIN, MAIN = -2, -1, 0, 1
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dd dt td th".split())
 
 
 class _Block:
-    __slots__ = ("linked", "pieces", "region")
+    __slots__ = ("heading", "item", "linked", "links", "pieces", "region")
 
-    def __init__(self, region: int):
+    def __init__(self, region: int, tag: str = ""):
         self.pieces: list[str] = []
-        self.linked = 0
-        self.region = region
+        self.linked = self.links = 0
+        self.region, self.heading, self.item = region, tag in HEADINGS, tag in ITEMS
+
+
+def _kind(token: str) -> int:
+    """What a class, id or role says: a whole name counts, so all its words but neutral ones must be of the kind."""
+    words = [w for w in PARTS.findall(token.lower()) if w not in NEUTRAL_WORDS]
+    if words and all(w in BARRED_WORDS or w in SIDE_WORDS for w in words):
+        return BARRED if any(w in BARRED_WORDS for w in words) else SIDE
+    return MAIN if words and all(w in MAIN_WORDS for w in words) else PLAIN
 
 
 def _region(tag: str, attrs: str, above: int, inside: bool) -> tuple[int, bool]:
     """Region of an element's content, and whether it lies in the article."""
-    if above == BAD:
-        return BAD, inside
+    if above == BARRED:
+        return BARRED, inside
     if tag in BAD_TAGS and not (tag == "header" and inside):
-        return BAD, inside
-    words: set[str] = set()
+        return BARRED, inside
+    kinds: set[int] = set()
     if attrs and not attrs.isspace():
         for name, *values in ATTRIBUTE.findall(attrs):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id", "role"):
-                words.update(w.lower() for w in PARTS.findall(value))
+                kinds.update(map(_kind, value.split()))
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return BAD, inside
-    if tag in MAIN_TAGS and not words & {"comment", "comments", "reply"}:
-        return GOOD, True
-    if words and tag not in ("html", "body"):
-        if words & BAD_WORDS and not (tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (inside and words & MAIN_WORDS and "header" in words)):
-            return BAD, inside
-        if words & MAIN_WORDS and tag in ("div", "section"):
-            return GOOD, True
+                return BARRED, inside
+    if tag not in ("html", "body") and tag not in HEADINGS:
+        if BARRED in kinds:
+            return BARRED, inside
+        if SIDE in kinds and not (MAIN in kinds and inside):
+            return min(above, SIDE), inside
+    if tag in MAIN_TAGS or (MAIN in kinds and tag in ("div", "section")):
+        return (MAIN, True) if above != SIDE else (SIDE, inside)
     return above, inside
 
 
 def blocks(html: str) -> list[_Block]:
     """The page's text blocks in order, each with its region (in the article, in boilerplate, or neither) and linked characters."""
     out: list[_Block] = []
-    stack: list[tuple[str, int, bool]] = [("", OPEN, False)]
-    now = _Block(OPEN)
+    stack: list[tuple[str, int, bool]] = [("", PLAIN, False)]
+    now = _Block(PLAIN)
     link, at, size = False, 0, len(html)
 
     def text(piece: str) -> None:
-        if stack[-1][1] == BAD and now.region != BAD:  # an inline part of a block, such as an advert
+        if stack[-1][1] < PLAIN <= now.region:  # an inline part of a block, such as an advert
             return
         now.pieces.append(piece)
         if link:
@@ -143,25 +162,25 @@ def blocks(html: str) -> list[_Block]:
                         break
             elif tag == "a":
                 link = True
+                now.links += 1
             _, above, inside = stack[-1]
             region = _region(tag, m["attrs"], above, inside)
             if block or region != (above, inside):
                 stack.append((tag, *region))
         if block:
-            now.region = stack[-1][1]
+            now = _Block(stack[-1][1], stack[-1][0])
     close()
     return out
 
 
-def _decided(region: int, text: str, linked: float) -> int:
-    """First pass: what a block is by region, length, link density and stop-word density; OPEN if that does not decide it."""
-    if region == BAD:
-        return BAD
-    size = len(text)
-    if region == GOOD:
-        return GOOD if size >= SHORT else OPEN
-    if linked > LINKED:
-        return BAD
+def _decided(block: _Block, text: str) -> int:
+    """First pass: what a block is by link density, length and stop-word density; OPEN if they do not decide it.
+
+    The region only shifts what is asked: in the article a link of its own or a block without stop words stays open.
+    """
+    size, main = len(text), block.region == MAIN
+    if block.linked > LINKED * max(1, sum(map(len, block.pieces))):
+        return BAD if not main or block.item or block.links > 1 else OPEN
     if size < SHORT:
         return OPEN
     words = [w.lower() for w in LETTERS.findall(text)]
@@ -169,44 +188,61 @@ def _decided(region: int, text: str, linked: float) -> int:
     if stops >= STOP_HIGH:
         return GOOD
     if stops < STOP_LOW:
-        return BAD if size < LONG else GOOD
-    return GOOD if size >= LONG else OPEN
+        return OPEN if main else BAD if size < LONG else GOOD
+    return GOOD if size >= LONG or main else OPEN
+
+
+def _nearest(labels: list[int], order: Iterable[int]) -> list[tuple[int, int] | None]:
+    """For each block, in ``order``, the last decided one before it: its place and label."""
+    found: list[tuple[int, int] | None] = [None] * len(labels)
+    last = None
+    for i in order:
+        found[i] = last
+        if labels[i] != OPEN:
+            last = (i, labels[i])
+    return found
+
+
+def _inherited(i: int, before: tuple[int, int] | None, after: tuple[int, int] | None, main: bool, heading: bool) -> int:
+    """Second pass: an open block takes the label of the nearest decided neighbour, on a tie of main text.
+
+    A heading belongs to what follows it. In the article an open block is main text unless decided lists of links enclose it.
+    """
+    sides = [x for x in (after, before) if x]
+    if not sides:
+        return GOOD
+    if main:
+        enclosed = all(label == BAD for _, label in sides) and (len(sides) == 2 or not heading)
+        return BAD if enclosed else GOOD
+    if heading and after and after[1] == GOOD:
+        return GOOD
+    return min(sides, key=lambda x: (abs(x[0] - i), -x[1]))[1]
 
 
 def extract(html: str | None) -> str:
     """The main text of a page: its article's blocks, each on one line.
 
-    Null and empty pages give an empty text. Markup may be broken or cut off anywhere: open elements end with the page.
+    Blocks are labelled by density and neighbours. Parts whose names say that they are beside the main text drop out, unless no
+    other part holds any. Where a named article holds most of the running text, only its blocks are main text; a named
+    article that does not (a card, say) is read like the rest. Null and empty pages give an empty text, equal pages equal texts. Markup may
+    be broken or cut off anywhere: open elements end with the page. Very long pages are read in one pass, a block at a time.
     """
-    found: list[tuple[str, int, int]] = []
-    for b in blocks(html or ""):
-        text = " ".join(unescape("".join(b.pieces)).split())
-        if text:
-            found.append((text, b.region, _decided(b.region, text, b.linked / max(1, sum(map(len, b.pieces))))))
-    if any(region == GOOD for _, region, _ in found):  # where the page names its article, nothing else is main text
-        found = [(t, r, kind if r == GOOD else BAD) for t, r, kind in found]
-    labels = [kind for *_, kind in found]
-    # Second pass: an open block takes the label of the nearest decided neighbour (on a tie, of main text). In a named article only its own blocks count.
-    decided = [(i, kind) for i, kind in enumerate(labels) if kind != OPEN]
-    before: list[tuple[int, int] | None] = [None] * len(labels)
-    after: list[tuple[int, int] | None] = [None] * len(labels)
-    for order, side in ((range(len(labels)), before), (range(len(labels) - 1, -1, -1), after)):
-        last = None
-        for i in order:
-            side[i] = last
-            if labels[i] != OPEN:
-                last = (i, labels[i])
-    kept = []
-    for i, (text, region, kind) in enumerate(found):
-        if kind == OPEN:
-            if region == GOOD or not decided:
-                kind = GOOD
-            else:
-                near = min((x for x in (after[i], before[i]) if x), key=lambda x: (abs(x[0] - i), -x[1]))
-                kind = near[1]
-        if kind == GOOD:
-            kept.append(text)
-    return "\n".join(kept)
+    found = [(b, text) for b in blocks(html or "") if b.region != BARRED and (text := " ".join(unescape("".join(b.pieces)).split()))]
+    labels = [_decided(b, text) for b, text in found]
+    running = lambda keep: sum(len(t) for (b, t), label in zip(found, labels, strict=True) if label == GOOD and keep(b.region))
+    sides = any(b.region == SIDE for b, _ in found) and not running(lambda r: r >= PLAIN) and running(lambda r: r == SIDE) > 0
+    named = running(lambda r: r == MAIN)
+    total = running(lambda r: r >= PLAIN)
+    if any(b.region == MAIN for b, _ in found) and (2 * named >= total):
+        wanted = {MAIN}
+    else:
+        wanted = {MAIN, PLAIN}
+    if sides and not any(b.region == MAIN for b, _ in found):
+        wanted = {MAIN, PLAIN, SIDE}
+    kept = [(b, t, label) for (b, t), label in zip(found, labels, strict=True) if b.region in wanted]
+    labels = [label for *_, label in kept]
+    before, after = _nearest(labels, range(len(kept))), _nearest(labels, range(len(kept) - 1, -1, -1))
+    return "\n".join(t for i, (b, t, label) in enumerate(kept) if (label if label != OPEN else _inherited(i, before[i], after[i], b.region == MAIN, b.heading)) == GOOD)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,6 +187,29 @@ def test_blocks_without_an_article_follow_density_and_neighbours():
     assert html_extract.extract(page) == f"Title\n{good}\nBrief."
 
 
+DENSE = "The cat of the house is in the garden and it was there for a long time with the others that are in it."
+BODY = f"<p>{DENSE}</p><p>{DENSE} And so on.</p>"
+TEXT = f"{DENSE}\n{DENSE} And so on."
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<article><h1>Title</h1>{BODY}<ul><li><a href=a>See also this other story</a></li></ul></article>", f"Title\n{TEXT}"),
+        (f'<div class="social-science">{BODY}</div>', TEXT),
+        (f'<div class="share">{BODY}</div>', TEXT),
+        (f'<article><div class="post-header"><h1>Title</h1></div>{BODY}</article>', f"Title\n{TEXT}"),
+        (f'<article class="teaser"><p>{DENSE[:80]}</p></article><div id="content"><h2>Real</h2>{BODY}{BODY}</div>', f"Real\n{TEXT}\n{TEXT}"),
+        (f'<article><p>{DENSE[:75].strip()}</p></article><div id="content"><h2>Real</h2>{BODY}{BODY}</div>', f"{DENSE[:75].strip()}\nReal\n{TEXT}\n{TEXT}"),
+        (f'<div class="site-footer"><p>{DENSE}</p></div><div class="cookie-notice"><p>{DENSE}</p></div><div class="sidebar-left"><p>{DENSE}</p></div><div>{BODY}</div><div class="comments">{BODY}{BODY}</div>', TEXT),
+        (f'<article>{BODY}<p>One <a href=x>linked</a> note.</p><p><a href=y>The report</a></p></article>', f"{TEXT}\nOne linked note.\nThe report"),
+        (f'<div><p>{DENSE}</p><div class="toc"><a href=a>One</a> <a href=b>Two</a></div><p>Brief.</p><p>{DENSE}</p></div>', f"{DENSE}\nBrief.\n{DENSE}"),
+    ],
+)
+def test_density_decides_inside_and_outside_articles(page, expected):
+    assert html_extract.extract(page) == expected
+
+
 @pytest.mark.parametrize("html", ["", None, "<", "<!-- x", "<p", "<script>x", "</p></p>", "&#xZZ; &bogus; &amp;amp;", "<p>a<p>b", "\ud800 <b>x"])
 def test_broken_pages_do_not_crash(html):
     assert isinstance(html_extract.extract(html), str)
