@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 
 def _col(c: Column | str) -> Column:
@@ -29,9 +30,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def canonical_json(value: Column, sort: bool = False) -> Column:
-    """Compact JSON of a struct or array, in declared field order; ``sort`` rebuilds a JSON object text by sorted keys."""
-    return F.to_json(value) if not sort else F.to_json(F.from_json(value, "map<string,string>"))
+def _json_writer(compact: bool, ascii_only: bool, sort: bool, without: tuple[str, ...]):
+    separators = (",", ":") if compact else (", ", ": ")
+
+    def constant(name: str):
+        raise ValueError(name)
+
+    def write(value: str | None) -> str | None:
+        try:
+            parsed = json.loads(value, parse_constant=constant)
+            if without:
+                parsed = {k: v for k, v in parsed.items() if k not in without}
+            return json.dumps(parsed, sort_keys=sort, separators=separators, ensure_ascii=ascii_only, allow_nan=False)
+        except (TypeError, ValueError, AttributeError, RecursionError):
+            return None
+
+    return write
+
+
+def canonical_json(value: Column | str, compact: bool = True, ascii_only: bool = True, sort: bool = True, without: tuple[str, ...] = ()) -> Column:
+    """Canonical text of a JSON text: keys sorted at every level, types kept, numbers in shortest form; null if it is not JSON or not finite.
+
+    Bytes must agree with other writers of this form, whose number and escape forms no built-in function has; so an
+    Arrow-batched function parses and writes. ``without`` names keys of an object that are left out.
+    """
+    write = _json_writer(compact, ascii_only, sort, without)
+
+    @F.pandas_udf(StringType())
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(write).astype(object)
+
+    return run(_col(value))
 
 
 def digest(text: Column) -> Column:
@@ -39,9 +68,20 @@ def digest(text: Column) -> Column:
 
 
 def condition_id(kind: Column | str, value: Column | str) -> Column:
-    """``kind:value``; a whole value has no decimal point."""
+    """``kind:value``; a whole value has no decimal point, others their shortest digits, with an exponent only below 0.0001 and from 1e16."""
     v = _col(value).cast("double")
-    return F.concat(_col(kind), F.lit(":"), F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string")))
+    t = v.cast("string")
+    parts = r"^(\d)\.(\d+)E(-?\d+)$"
+    digits = F.regexp_replace(F.concat(F.regexp_extract(t, parts, 1), F.regexp_extract(t, parts, 2)), "0+$", "")
+    power = F.regexp_extract(t, parts, 3).try_cast("int")
+    mantissa = F.when(F.length(digits) > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 99))).otherwise(digits)
+    shown = (
+        F.when(power.isNull(), t)
+        .when(power < -4, F.concat(mantissa, F.lit("e-"), F.lpad((-power).cast("string"), F.greatest(F.lit(2), F.length((-power).cast("string"))), F.lit("0"))))
+        .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(99))))
+    )
+    return F.concat(_col(kind), F.lit(":"), F.when(v == F.rint(v), v.cast("decimal(38,0)").cast("string")).otherwise(shown))
 
 
 def offset_timestamp(text: Column | str) -> Column:
@@ -72,8 +112,9 @@ def last_user_text(turns: Column) -> Column:
 
 
 def prompt_text(turns: Column) -> Column:
-    """``role: content`` lines of an ordered array of messages."""
-    return F.array_join(F.transform(turns, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    """``role: content`` lines of an ordered array of messages; a message without a role is the user's, one without content is left out."""
+    said = F.filter(turns, lambda m: m["content"].isNotNull())
+    return F.array_join(F.transform(said, lambda m: F.concat(F.coalesce(m["role"], F.lit("user")), F.lit(": "), m["content"])), "\n")
 
 
 def pieces(text: Column | str, size: int = 10) -> Column:
@@ -84,9 +125,8 @@ def pieces(text: Column | str, size: int = 10) -> Column:
 
 
 def scope_key(request: Column | str) -> Column:
-    """JSON of a request without its messages and stream flag, keys sorted."""
-    fields = F.map_filter(F.from_json(_col(request), "map<string,string>"), lambda k, _: ~k.isin("messages", "stream"))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))
+    """JSON of a request without its messages and stream flag, keys sorted at every level and types kept: 0 and "0" are different scopes."""
+    return canonical_json(request, compact=False, without=("messages", "stream"))
 
 
 def count_map_strict(statuses: Column, errors: Column, finishes: Column, n: Column) -> Column:

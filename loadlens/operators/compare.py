@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadlens.functions import stats
+from loadlens.functions import stats, text
 from loadlens.operators.runs import TOKEN_TOLERANCE
 
 POSITIONS = ("B1", "C1", "B2", "C2", "B3", "C3")
@@ -96,15 +96,85 @@ def phase_contrasts(rates: DataFrame, keys: list[str], position: str = "position
     return out.select(*keys, *POSITIONS, "contrast_1", "contrast_2", F.col("ci.mean").alias("estimate"), F.col("ci.low").alias("low"), F.col("ci.high").alias("high"))
 
 
+# What all six runs of a protocol must share, by manifest path, and what a current manifest adds.
+CONTROLLED = (
+    "manifest_version", "tool", "model_id", "model_immutable_revision", "runtime_image_digest", "runtime_gpu", "runtime_gpu_fingerprint_sha256", "runtime_gpu_fingerprint_supplied", "runtime_cuda_version", "runtime_driver_version",
+    "engine_backend", "engine_backend_version", "engine_http_client_version", "engine_server_version", "workload_seed", "workload_measured_sha256", "workload_warmup_sha256", "workload_cache_policy", "request", "traffic_conditions", "traffic_blocks",
+    "traffic_requests_per_block", "traffic_block_duration_seconds", "traffic_warmup_requests_per_condition", "traffic_p95_slo_ms", "traffic_ttft_slo_ms", "metric_definitions", "safety", "cost",
+)
+CONTROLLED_NOW = (
+    "runtime_accelerator_backend", "runtime_accelerator", "runtime_accelerator_fingerprint_sha256", "runtime_accelerator_fingerprint_supplied", "runtime_accelerator_runtime_version", "runtime_host_os_version", "runtime_software_environment_digest",
+)
+MANIFEST_NOW, MOST_SEQS = "1.1", 2_147_483_647
+#: Columns of a run that ``protocol_reasons`` reads, beside its keys.
+PROTOCOL_RUN = (
+    "position_no int, position string, variant string, started_at double, completed_at double, preflight string, controlled map<string,string>, flags_provenance string, evidence_source string, stream boolean, warmup_requests int, "
+    "warmup_separate boolean, warmup_disjoint boolean, flags map<string,string>, requests_per_block int, conditions array<struct<id:string,kind:string,value:int,max_in_flight:int,peak:int,attempted:array<int>>>"
+)
+
+
+def _one_load(conditions: Column) -> Column:
+    """The concurrency that a run's only condition declares; null unless it is closed-loop and canonical."""
+    c = F.try_element_at(conditions, F.lit(1))
+    sound = (F.size(conditions) == 1) & c["value"].between(1, MOST_SEQS) & (c["max_in_flight"] == c["value"]) & (c["kind"] == "closed_loop") & (c["id"] == F.concat(F.lit("closed_loop:"), c["value"].cast("string")))
+    return F.when(sound, c["value"])
+
+
 def protocol_reasons(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Sorted codes against a six-run sequence: positions, times, labels. Needs position_no, position, started_at, completed_at (seconds)."""
-    from pyspark.sql import Window
+    """Sorted codes against each six-run sequence of ``runs`` (columns PROTOCOL_RUN); none says that the sequence follows the protocol.
 
+    One aggregation by sequence: what must be shared is compared by its least and greatest value, what the first run declares is taken
+    by position. As in the protocol, a wrong number of runs, then a run's own fault, then colliding flag names stand alone. Null flags or
+    conditions are malformed.
+    """
+    no, six = F.col("position_no"), len(POSITIONS)
     w = Window.partitionBy(*keys).orderBy("position_no")
-    seen = runs.withColumn("_early", F.col("started_at") < F.lag("completed_at").over(w)).withColumn("_order", F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.least(F.col("position_no"), F.lit(len(POSITIONS))).cast("int")))
-    got = seen.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.coalesce("_early", F.lit(False))).alias("early"), F.max(F.col("started_at") > F.col("completed_at")).alias("back"), F.max(F.col("started_at").isNull() | F.col("completed_at").isNull()).alias("blank"), F.max(F.col("position") != F.col("_order")).alias("labels"))
-    why = stats.reasons(
-        (F.col("n") != len(POSITIONS), "golden_sequence_requires_exactly_six_runs"), (F.col("labels"), "sequence_position_labels_must_be_B1_C1_B2_C2_B3_C3"), (F.col("blank"), "missing_or_invalid_run_timestamps"),
-        (F.col("back"), "run_starts_after_its_completion"), (F.col("early"), "runs_overlap_or_are_out_of_order"),
+    names = F.when(F.col("flags").isNotNull(), F.map_from_entries(F.array_sort(F.map_entries(F.transform_keys("flags", lambda k, _: text.flag_name(k))))))
+    collide = F.coalesce(text.has_alias_collision(F.map_keys("flags")), F.lit(False))
+    seen = runs.withColumns({
+        "_early": F.coalesce(F.col("started_at") < F.lag("completed_at").over(w), F.lit(False)), "_collide": collide, "_load": _one_load(F.col("conditions")),
+        "_ids": F.to_json(F.array_sort(F.array_distinct(F.transform("conditions", lambda c: c["id"])))), "_peak": F.array_max(F.transform("conditions", lambda c: c["peak"])),
+        "_least": F.when(F.forall("conditions", lambda c: (F.size(c["attempted"]) > 0) & F.forall(c["attempted"], lambda n: n.isNotNull())), F.array_min(F.flatten(F.transform("conditions", lambda c: c["attempted"])))),
+    })
+    seen = seen.withColumn("_flags", F.when(~F.col("_collide"), names)).withColumn("_flag_text", F.to_json("_flags")).withColumn("_chunked", F.try_element_at("_flags", F.lit("enable-chunked-prefill")))
+    base = (no % 2) == 1
+    label = F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.least(no, F.lit(six)))
+    same = lambda c: (F.count(c) == six) & (F.min(c) == F.max(c))
+    first = lambda c: F.max(F.when(no == 1, c))
+    every = lambda c: F.min(F.coalesce(c, F.lit(False)))
+    got = seen.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(no <= six, F.concat(F.lit("run_"), no.cast("string"), F.lit("_"), "preflight")))).alias("pre"), F.max("_collide").alias("collide"),
+        every(F.col("variant") == F.when(base, "baseline").otherwise("candidate")).alias("variants"), every(F.col("position") == label).alias("labels"),
+        F.max(F.col("started_at").isNull() | F.col("completed_at").isNull()).alias("blank"), F.max(F.col("started_at") > F.col("completed_at")).alias("back"), F.max("_early").alias("early"),
+        *[same(F.try_element_at("controlled", F.lit(p))).alias(f"c_{p}") for p in (*CONTROLLED, *CONTROLLED_NOW)], *[first(F.try_element_at("controlled", F.lit(p))).alias(a) for p, a in (("manifest_version", "version"), ("model_immutable_revision", "revision"), ("engine_server_version", "server"), ("engine_backend", "backend"), ("workload_cache_policy", "policy"))],
+        every(F.col("flags_provenance") == "runtime_verified").alias("verified"), every(F.col("evidence_source") == "live_inference").alias("live"), first(F.col("stream")).alias("stream"), first(F.col("warmup_requests")).alias("warmups"), every(F.col("warmup_separate")).alias("separate"), every(F.col("warmup_disjoint")).alias("disjoint"),
+        every(F.col("conditions").isNotNull()).alias("mapped"), same(F.col("_ids")).alias("sets"), F.when(same(F.col("_load")), F.max("_load")).alias("load"),
+        every(F.col("_flags").isNotNull()).alias("flagged"), *[(F.min(F.when(side, F.col("_flag_text"))) == F.max(F.when(side, F.col("_flag_text")))).alias(f"same_{a}") for side, a in ((base, "b"), (~base, "c"))],
+        F.first(F.when(no == 1, F.col("_flags")), ignorenulls=True).alias("b"), F.first(F.when(no == 2, F.col("_flags")), ignorenulls=True).alias("c"), ((F.count("_chunked") == 0) | same(F.col("_chunked"))).alias("chunked"),
+        first(F.col("requests_per_block")).alias("per_block"), F.min("_peak").alias("peak"), F.count("_peak").alias("peaks"), F.min("_least").alias("least"), F.count("_least").alias("leasts"),
+    )
+    changed = F.array_sort(F.filter(F.array_union(F.map_keys("b"), F.map_keys("c")), lambda k: ~F.try_element_at(F.col("b"), k).eqNullSafe(F.try_element_at(F.col("c"), k))))
+    limit_b, limit_c = (text.canonical_positive_int(F.try_element_at(F.col(x), F.lit("max-num-seqs"))) for x in "bc")
+    limits = limit_b.isNotNull() & limit_c.isNotNull()
+    load, no_ = F.col("load"), lambda c: ~F.coalesce(c, F.lit(False))
+    tests = [
+        (no_(F.col("variants")), "sequence_must_be_baseline_candidate_baseline_then_candidate_baseline_candidate"), (no_(F.col("labels")), "sequence_position_labels_must_be_B1_C1_B2_C2_B3_C3"), (F.col("blank"), "missing_or_invalid_run_timestamps"),
+        (~F.col("blank") & F.col("back"), "run_starts_after_its_completion"), (~F.col("blank") & F.col("early"), "runs_overlap_or_are_out_of_order"),
+        *[(no_(F.col(f"c_{p}")), f"uncontrolled_or_missing_{p}") for p in CONTROLLED], *[(no_(F.col(f"c_{p}")) & (F.col("version") == MANIFEST_NOW), f"uncontrolled_or_missing_{p}") for p in CONTROLLED_NOW],
+        (~text.immutable_revision(F.col("revision")), "model_revision_is_not_immutable"), (no_(F.col("server") != "unknown"), "server_version_missing"), (no_(F.col("backend") == "native"), "golden_protocol_requires_strict_native_completion_validation"),
+        (~F.col("verified"), "effective_engine_flags_not_runtime_verified"), (~F.col("live"), "all_six_runs_must_be_live_inference"), (F.col("policy") == "unknown", "cache_policy_must_be_explicit"), (no_(F.col("stream")), "golden_protocol_requires_streaming"),
+        (no_(F.col("warmups") > 0), "golden_protocol_requires_separate_warmup_requests"), (~F.col("separate"), "warmup_workload_not_proven_separate"), (~F.col("disjoint"), "warmup_prompts_not_disjoint_from_measured_workload"),
+        (~F.col("mapped"), "condition_maps_malformed"), (F.col("mapped") & no_(F.col("sets")), "condition_sets_do_not_match"), (F.col("mapped") & F.col("sets") & load.isNull(), "golden_treatment_requires_one_common_closed_loop_concurrency"), (~F.col("flagged"), "engine_flags_malformed"),
+    ]
+    flagged = [
+        (no_(F.col("same_b")), "baseline_effective_flags_changed_between_repeats"), (no_(F.col("same_c")), "candidate_effective_flags_changed_between_repeats"), (no_(changed == F.array(F.lit("max-num-seqs"))), "golden_treatment_must_only_change_max_num_seqs"),
+        (~limits, "golden_treatment_requires_canonical_positive_max_num_seqs_values"), (limits & (limit_b == limit_c), "golden_treatment_requires_distinct_max_num_seqs_values"), (load.isNull(), "golden_treatment_requires_one_common_closed_loop_concurrency"),
+        (limits & (F.col("per_block") < load), "golden_requests_per_block_must_reach_declared_concurrency"), (limits & (load < F.greatest(limit_b, limit_c)), "golden_concurrency_must_reach_both_max_num_seqs_values"),
+        (limits & load.isNotNull() & no_((F.col("leasts") == six) & (F.col("least") >= load)), "golden_measured_blocks_must_attempt_declared_concurrency"), (limits & load.isNotNull() & no_((F.col("peaks") == six) & (F.col("peak") >= load)), "traffic_does_not_reach_declared_closed_loop_concurrency"),
+        (no_(F.col("chunked")), "chunked_prefill_must_not_be_the_treatment"),
+    ]
+    why = (
+        F.when(F.col("n") != six, F.array(F.lit("golden_sequence_requires_exactly_six_runs"))).when(F.size("pre") > 0, F.col("pre")).when(F.col("collide"), F.array(F.lit("engine_flags_malformed")))
+        .when(~F.col("flagged"), stats.reasons(*tests)).otherwise(stats.reasons(*tests, *flagged))
     )
     return got.select(*keys, why.alias("reasons"))

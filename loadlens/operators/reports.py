@@ -25,7 +25,7 @@ _LIMITS = "struct<max_requests:bigint,max_tokens_per_request:bigint,max_total_re
 SAFETY = f"struct<limits:{_LIMITS},overrides:struct<insecure_http:boolean,unknown_cost_acknowledged:boolean,guidellm_validation_gaps_acknowledged:boolean>,ambient_proxy_environment_used:boolean,redirects_followed:boolean>"
 _MANIFEST = f"struct<manifest_version:string,tool:struct<name:string,version:string>,engine:struct<backend:string,backend_version:string,http_client_version:string,server_version:string,effective_flags:map<string,string>,effective_flags_provenance:string>,model:struct<id:string,immutable_revision:string>,runtime:{RUNTIME},workload:struct<cache_policy:string,measured_sha256:string,warmup_sha256:string,warmup_is_separate:boolean,warmup_prompts_disjoint:boolean,seed:bigint>,request:struct<type:string,temperature:double,max_tokens:bigint,stop:string,stream:boolean,timeout_seconds:double>,traffic:struct<conditions:array<{_LOAD}>,blocks:bigint,requests_per_block:bigint,block_duration_seconds:double,warmup_requests_per_condition:bigint,p95_slo_ms:double,ttft_slo_ms:double,open_loop_rate_relative_tolerance:double,open_loop_scheduler_lag_interval_tolerance:double>,cost:{COST},safety:{SAFETY}>"
 REPORT = f"struct<schema_version:string,artifact_type:string,mode:string,status:string,stop_reason:string,started_at:string,completed_at:string,manifest:{_MANIFEST},conditions:array<{_CONDITION}>,run_totals:struct<requests_started:bigint,requests_completed:bigint,requests_cancelled:bigint,requests_in_flight:bigint,peak_in_flight:bigint,errors:bigint,reserved_output_tokens:bigint,elapsed_seconds:double>,cost_summary:struct<kind:string,total_cost:double,completion_tokens:bigint,cost_per_million_output_tokens:double>>"
-ARTIFACT = "throttle.run"
+ARTIFACT = "loadlens.run"
 
 
 def no(c: Column) -> Column:
@@ -282,8 +282,8 @@ def golden_conditions(rates: DataFrame, tokens: DataFrame, keys: list[str]) -> D
 
 
 def fingerprint(report: Column) -> Column:
-    """SHA-256 of a report's evidence columns: schema, manifest, conditions, totals and cost; nothing else of the text counts."""
-    return F.sha2(F.to_json(F.struct(*[report[f].alias(f) for f in ("conditions", "cost_summary", "manifest", "run_totals", "schema_version")])), 256)
+    """SHA-256 of the canonical JSON of a report's evidence columns: schema, manifest, conditions, totals and cost; nothing else of the text counts."""
+    return text.digest(text.canonical_json(F.to_json(F.struct(*[report[f].alias(f) for f in ("conditions", "cost_summary", "manifest", "run_totals", "schema_version")]))))
 
 
 def planned(conditions: Column, blocks: Column, per_block: Column, warmups: Column, max_tokens: Column) -> dict[str, Column]:

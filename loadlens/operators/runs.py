@@ -200,3 +200,9 @@ def peak_in_flight(spans: DataFrame, keys: list[str], start: str, end: str) -> D
     events = spans.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e"))
     w = Window.partitionBy(*keys).orderBy("e.t", "e.d").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("_open", F.sum("e.d").over(w)).groupBy(*keys).agg(F.max("_open").cast("long").alias("peak_in_flight"))
+
+
+def first_output(chunks: DataFrame, starts: DataFrame, keys: list[str], at: str, output: str, started: str) -> DataFrame:
+    """ttft_seconds of each request of ``starts``: its first chunk that holds output less its start; null if none does."""
+    first = chunks.where(F.col(output)).groupBy(*keys).agg(F.min(at).alias("_first"))
+    return starts.join(first, keys, "left").select(*keys, (F.col("_first") - F.col(started)).alias("ttft_seconds"))

@@ -74,3 +74,26 @@ def gaps(samples: DataFrame, keys: list[str], at: str, most: float = 5.0) -> Dat
     w = Window.partitionBy(*keys).orderBy("seq")
     gap = F.col(at) - F.lag(at).over(w)
     return samples.withColumn("gap", gap).withColumn("gap_ok", F.col("gap").isNull() | F.col("gap").between(0, most))
+
+
+# Bounds of a polling window.
+MOST_OBSERVATIONS, MOST_SAMPLES, MOST_GAP = 1024, 64_000, 5.0
+
+
+def polling_windows(snapshots: DataFrame, keys: list[str], at: str, most_observations: int = MOST_OBSERVATIONS, most_samples: int = MOST_SAMPLES, most_gap: float = MOST_GAP) -> DataFrame:
+    """One row per run of snapshots (seq, recognized_samples and their time ``at``): the first is before, the last after, those between are observations.
+
+    ``code`` is the first fault: fewer than two snapshots, a gap below zero or above ``most_gap``, too many observations, too many samples.
+    """
+    w = Window.partitionBy(*keys).orderBy("seq")
+    gap = F.col(at) - F.lag(at).over(w)
+    seen = snapshots.withColumn("_bad", F.coalesce(~gap.between(0.0, most_gap), F.lit(False)))
+    got = seen.groupBy(*keys).agg(
+        F.min("seq").alias("before_seq"), F.max("seq").alias("after_seq"), (F.count("*") - 2).alias("_n"), F.sum("recognized_samples").cast("long").alias("recognized_samples"),
+        (F.max_by(at, "seq") - F.min_by(at, "seq")).alias("elapsed"), F.max("_bad").alias("_bad"),
+    )
+    code = (
+        F.when(F.col("_n") < 0, "experimental_metrics_window_invalid").when(F.col("_bad"), "experimental_metrics_sample_gap_exceeded")
+        .when(F.col("_n") > most_observations, "experimental_metrics_observation_limit").when(F.col("recognized_samples") > most_samples, "experimental_metrics_window_too_large")
+    )
+    return got.select(*keys, "before_seq", "after_seq", F.greatest("_n", F.lit(0)).cast("long").alias("observations"), "recognized_samples", "elapsed", code.alias("code"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions import stats, text
-from loadlens.operators import bottleneck, compare, diagnose, responses, runs, sampling, similarity
+from loadlens.operators import bottleneck, compare, diagnose, responses, runs, sampling, similarity, windows
 from loadlens.plans.queries import query, r6
 from loadlens.plans.views import RL, SAMPLES, T, blocks_sql, ci, request_log, samples, table
 from loadlens.sources import files
@@ -85,14 +85,46 @@ def j03(spark, d):
     return wide.select("concurrency", *[F.col(p).alias(p.lower()) for p in POS])
 
 
-@query("r08_protocol", f"""WITH {RL}, s AS (SELECT concurrency, position_idx + 1 AS no, {_pos} AS position, (position_idx * 10 + CASE WHEN concurrency = 4 AND position_idx = 3 THEN -5 ELSE 0 END)::DOUBLE AS a, (position_idx * 10 + 8)::DOUBLE AS z FROM g GROUP BY concurrency, position_idx),
-l AS (SELECT *, a < lag(z) OVER (PARTITION BY concurrency ORDER BY no) AS early FROM s WHERE NOT (concurrency = 8 AND no = 6)) SELECT concurrency, array_to_string(list_filter([CASE WHEN count(*) <> 6 THEN 'golden_sequence_requires_exactly_six_runs' END, CASE WHEN bool_or(early) THEN 'runs_overlap_or_are_out_of_order' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l GROUP BY concurrency""")
+#: Faults of a six-run sequence, each in the sequences whose number the first figure divides: code, and the column, positions and value that bring it about.
+_FAULTS = (
+    (3, "model_revision_is_not_immutable", "model_immutable_revision", None, "'main'"), (4, "server_version_missing", "engine_server_version", None, "'unknown'"), (5, "golden_protocol_requires_streaming", "stream", None, "false"),
+    (6, "golden_protocol_requires_strict_native_completion_validation", "engine_backend", None, "'other'"), (7, "effective_engine_flags_not_runtime_verified", "flags_provenance", 4, "'operator_attested'"), (8, "all_six_runs_must_be_live_inference", "evidence_source", 6, "'synthetic_validation'"),
+    (9, "cache_policy_must_be_explicit", "workload_cache_policy", None, "'unknown'"), (10, "golden_protocol_requires_separate_warmup_requests", "warmup_requests", None, "0"), (11, "warmup_workload_not_proven_separate", "warmup_separate", 2, "null"), (13, "warmup_prompts_not_disjoint_from_measured_workload", "warmup_disjoint", 3, "false"),
+    (14, "sequence_must_be_baseline_candidate_baseline_then_candidate_baseline_candidate", "variant", 5, "'candidate'"), (15, "sequence_position_labels_must_be_B1_C1_B2_C2_B3_C3", "position", 1, "'C1'"), (16, "uncontrolled_or_missing_workload_seed", "workload_seed", 2, "'9'"), (17, "uncontrolled_or_missing_runtime_gpu", "runtime_gpu", 5, "null"),
+    (18, "uncontrolled_or_missing_runtime_accelerator", "runtime_accelerator", 5, "'x'"), (19, "runs_overlap_or_are_out_of_order", "started_at", 4, "25.0"), (21, "condition_sets_do_not_match", "other_id", 2, "'closed_loop:99'"), (22, "chunked_prefill_must_not_be_the_treatment", "chunked", 6, "'true'"),
+    (23, "traffic_does_not_reach_declared_closed_loop_concurrency", "peak", 3, "7"), (26, "golden_measured_blocks_must_attempt_declared_concurrency", "attempted", 2, "5"), (27, "golden_requests_per_block_must_reach_declared_concurrency", "requests_per_block", None, "7"),
+)
+_FAULT = {code: f"id % {every} = 0" for every, code, *_ in _FAULTS}
+_FLAGS_MOVE = _FAULT["chunked_prefill_must_not_be_the_treatment"]
+_LONE = "id % 29 = 0"
+_FAULT |= {
+    "candidate_effective_flags_changed_between_repeats": _FLAGS_MOVE, "golden_treatment_must_only_change_max_num_seqs": "id % 12 = 0", "golden_treatment_requires_distinct_max_num_seqs_values": "id % 12 = 0",
+    "golden_concurrency_must_reach_both_max_num_seqs_values": "id % 8 + 1 + id % 12 > 8 AND NOT id % 21 = 0", "golden_treatment_requires_one_common_closed_loop_concurrency": "id % 21 = 0",
+}
+for _code in ("traffic_does_not_reach_declared_closed_loop_concurrency", "golden_measured_blocks_must_attempt_declared_concurrency", "golden_requests_per_block_must_reach_declared_concurrency"):
+    _FAULT[_code] += " AND NOT id % 21 = 0"
+
+
+@query("r08_protocol", f"""SELECT id, CASE WHEN id % 31 = 0 THEN 'golden_sequence_requires_exactly_six_runs' WHEN {_LONE} THEN 'run_3_partial_or_failed_report' WHEN id % 25 = 0 THEN 'engine_flags_malformed'
+ELSE array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN {when} THEN '{code}' END" for code, when in _FAULT.items())}], lambda x: x IS NOT NULL)), ',') END AS reasons FROM (SELECT p_partkey AS id FROM part)""")
 def r08(spark, d):
-    s = request_log(spark, d).groupBy("concurrency", "position_idx").agg(F.count("*").alias("_n"))
-    start = F.col("position_idx") * 10 + F.when((F.col("concurrency") == 4) & (F.col("position_idx") == 3), -5).otherwise(0)
-    seq = s.select("concurrency", (F.col("position_idx") + 1).alias("position_no"), position().alias("position"), start.cast("double").alias("started_at"), (F.col("position_idx") * 10 + 8).cast("double").alias("completed_at"))
-    got = compare.protocol_reasons(seq.where("not (concurrency = 8 and position_no = 6)"), ["concurrency"])
-    return got.select("concurrency", F.array_join("reasons", ",").alias("reasons"))
+    found = {column: F.expr(f"id % {every} = 0" + (f" and position_no = {at}" if at else "")) for every, _, column, at, _ in _FAULTS}
+    value = {column: F.expr(v) for *_, column, _, v in _FAULTS}
+    put = lambda column, usual: F.when(found[column], value[column]).otherwise(usual) if column in found else usual
+    no = F.col("position_no")
+    usual = {"model_immutable_revision": F.lit("a" * 40), "engine_backend": F.lit("native"), "manifest_version": F.lit(compare.MANIFEST_NOW)}
+    controlled = {p: put(p, usual.get(p, F.lit("1"))) for p in (*compare.CONTROLLED, *compare.CONTROLLED_NOW)}
+    seqs = F.col("id") % 8 + 1 + F.when(no % 2 == 0, F.col("id") % 12).otherwise(0)
+    flags = F.map_filter(F.create_map(F.lit("Max_Num_Seqs"), seqs.cast("string"), F.lit("enable_chunked_prefill"), put("chunked", F.lit("false")), F.lit("max_num_seqs"), F.when(F.col("id") % 25 == 0, "1")), lambda _, v: v.isNotNull())
+    load = F.struct(put("other_id", F.lit("closed_loop:8")).alias("id"), F.lit("closed_loop").alias("kind"), F.lit(8).alias("value"), F.lit(8).alias("max_in_flight"), put("peak", F.lit(8)).alias("peak"), F.array(F.lit(8), put("attempted", F.lit(9))).alias("attempted"))
+    made = {
+        "position": put("position", F.element_at(F.array(*[F.lit(p) for p in POS]), no)), "variant": put("variant", F.when(no % 2 == 1, "baseline").otherwise("candidate")), "started_at": put("started_at", (no * 10.0).cast("double")), "completed_at": (no * 10.0 + 8).cast("double"),
+        "preflight": F.when((F.col("id") % 29 == 0) & (no == 3), "partial_or_failed_report"), "controlled": F.create_map(*[x for k, v in controlled.items() for x in (F.lit(k), v)]), "flags_provenance": put("flags_provenance", F.lit("runtime_verified")), "evidence_source": put("evidence_source", F.lit("live_inference")),
+        "stream": put("stream", F.lit(True)), "warmup_requests": put("warmup_requests", F.lit(5)), "warmup_separate": put("warmup_separate", F.lit(True)), "warmup_disjoint": put("warmup_disjoint", F.lit(True)), "flags": flags, "requests_per_block": put("requests_per_block", F.lit(20)), "conditions": F.array(load),
+    }
+    seq = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("position_no")).where("not (id % 31 = 0 and position_no = 6)")
+    got = compare.protocol_reasons(seq.select("id", "position_no", *[c.alias(n) for n, c in made.items()]), ["id"])
+    return got.select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
 #: Flags of two runs, derived from the parts table: half of the candidate's values differ, some names exist on one side.
@@ -174,7 +206,7 @@ def _windows(spark, d) -> DataFrame:
 _WINDOWS = """o AS (SELECT o_orderkey AS id FROM orders),
 w AS (SELECT id, 4.0::DOUBLE + id % 9 AS elapsed, 4 + id * 3 % 11 AS obs, 28 + id * 5 % 40 AS fin, CASE WHEN id % 31 <> 0 THEN CASE WHEN id % 4 = 0 THEN 3 ELSE 0 END END AS pre, id % 12 + 1 AS seqs, id % 12 + 1 + id * 11 % 6 AS offered, (id * 13 % 20) / 20.0 + 0.04::DOUBLE AS kv FROM o),
 x AS (SELECT *, seqs - CASE WHEN id % 8 = 0 THEN 1 ELSE 0 END AS running, CASE WHEN id % 3 = 0 THEN 0 ELSE offered - seqs END AS waiting, (id % 40 * 10)::DOUBLE AS queue, CASE WHEN id % 37 = 0 THEN 1 END AS swapped FROM w),
-q AS (SELECT *, list_sort(list_filter([CASE WHEN id % 17 = 0 THEN 'effective_flags_not_runtime_verified' END, CASE WHEN id % 19 = 0 THEN 'traffic_scope_not_exclusive' END, CASE WHEN id % 23 = 0 THEN 'throttle_requests_failed' END, CASE WHEN elapsed < 5 THEN 'window_too_short' END,
+q AS (SELECT *, list_sort(list_filter([CASE WHEN id % 17 = 0 THEN 'effective_flags_not_runtime_verified' END, CASE WHEN id % 19 = 0 THEN 'traffic_scope_not_exclusive' END, CASE WHEN id % 23 = 0 THEN 'load_requests_failed' END, CASE WHEN elapsed < 5 THEN 'window_too_short' END,
   CASE WHEN obs < 5 THEN 'too_few_observations' END, CASE WHEN elapsed / (obs - 1) > 5 THEN 'sample_spacing_too_sparse' END, CASE WHEN fin < 30 OR fin < 2 * offered THEN 'too_few_finished_requests' END, CASE WHEN id % 29 = 0 THEN 'finish_reason_evidence_not_clean' END, CASE WHEN pre IS NULL THEN 'missing_required_metric' END,
   CASE WHEN id % 41 = 0 THEN 'required_metric_series_count_not_one' END, CASE WHEN waiting > offered THEN 'gauge_exceeds_offered_concurrency' END], lambda v: v IS NOT NULL)) AS quality FROM x),
 s AS (SELECT *, list_filter([CASE WHEN NOT (offered >= seqs AND running = seqs) THEN 'configured_limit_not_exercised' END, CASE WHEN swapped > 0 THEN 'legacy_swap_pressure_observed' END], lambda v: v IS NOT NULL) AS base,
@@ -260,15 +292,32 @@ def u05(spark, d):
     return both.groupBy("block_index").agg(F.count("*").alias("n"), F.sum("w").cast("long").alias("warmups"))
 
 
-@query("f03_workload_hash", "SELECT conv_id, turn, sha256('[{\"role\":\"' || role || '\",\"content\":\"' || replace(text, chr(10), '\\n') || '\"}]') AS h FROM conversations WHERE text NOT LIKE '%\"%' AND text NOT LIKE '%\\%'")
+_ESCAPED = r'''replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')'''
+
+
+@query("f03_workload_hash", f"""SELECT conv_id, turn, sha256('[{{"role":"' || role || '","content":"' || {_ESCAPED} || '"}}]') AS h FROM conversations""")
 def f03(spark, d):
-    c = table(spark, d, "conversations").where(~F.col("text").contains('"') & ~F.col("text").contains("\\"))
-    return c.select("conv_id", "turn", text.digest(text.canonical_json(F.array(F.struct("role", F.col("text").alias("content"))))).alias("h"))
+    body = F.to_json(F.array(F.struct("role", F.col("text").alias("content"))))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.digest(text.canonical_json(body, ascii_only=False, sort=False)).alias("h"))
+
+
+@query("f04_canonical_json", """SELECT p_partkey AS id, sha256('{"a":[' || p_partkey || ',true,null,"' || p_partkey || '"],"k":{"x":{"m":' || p_partkey % 7 || '.5,"n":"\\u00e9"},"y":"' || p_name || '"},"z":' || p_size || '}') AS h FROM part""")
+def f04(spark, d):
+    k = F.col("p_partkey").cast("string")
+    parts = ['{ "z": ', F.col("p_size").cast("string"), ', "k": {"y": "', F.col("p_name"), '", "x": {"n": "é", "m": ', (F.col("p_partkey") % 7).cast("string"), '.50}}, "a": [', k, ', true, null, "', k, '"]}']
+    body = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.digest(text.canonical_json(body)).alias("h"))
 
 
-@query("f05_condition_id", "SELECT o_orderkey AS id, 'closed_loop:' || CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey // 4)::VARCHAR ELSE (o_orderkey / 4)::VARCHAR END AS condition_id FROM orders")
+_SCALE = (0.25, 0.001, 0.0001, 2500000.25)
+
+
+@query("f05_condition_id", f"""WITH v AS (SELECT o_orderkey AS id, round((o_orderkey % 1000 + 1) * {list(_SCALE)}[(o_orderkey % 4 + 1)::INT]::DOUBLE, 9) AS v FROM orders)
+SELECT id, 'open_loop:' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE rtrim(printf('%.6f', v), '0') END AS condition_id FROM v""")
 def f05(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.condition_id(F.lit("closed_loop"), F.col("o_orderkey") / 4).alias("condition_id"))
+    k = F.col("o_orderkey")
+    v = F.round((k % 1000 + 1) * F.element_at(F.array(*[F.lit(x) for x in _SCALE]), (k % 4 + 1).cast("int")), 9)
+    return table(spark, d, "orders").select(k.alias("id"), text.condition_id(F.lit("open_loop"), v).alias("condition_id"))
 
 
 @query("f08_flag_names", "SELECT p_partkey AS id, lower(replace(replace(p_name, ' ', '_'), '_', '-')) AS flag FROM part")
@@ -283,10 +332,10 @@ def f10(spark, d):
     return c.select("conv_id", F.md5(text.prompt_text(F.col("m"))).alias("h"), F.md5(text.last_user_text(F.col("m"))).alias("last_user"))
 
 
-@query("f12_pieces", "WITH c AS (SELECT conv_id, turn, text, unnest(range(0, length(text), 10)) AS a FROM conversations) SELECT conv_id, turn, count(*) AS n, md5(string_agg(substr(text, a + 1, 10), '|' ORDER BY a)) AS h FROM c GROUP BY conv_id, turn")
+@query("f12_pieces", "SELECT conv_id, turn, ceil(length(text) / 10)::BIGINT AS n, md5(array_to_string(list_transform(range(0, length(text), 10), lambda a: substr(text, a + 1, 10)), '|')) AS h FROM conversations")
 def f12(spark, d):
     p = text.pieces("text")
-    return table(spark, d, "conversations").where(F.length("text") > 0).select("conv_id", "turn", F.size(p).cast("long").alias("n"), F.md5(F.array_join(p, "|")).alias("h"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(p).cast("long").alias("n"), F.md5(F.array_join(p, "|")).alias("h"))
 
 
 @query("p15_canonical_int", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey * 900000 <= 2147483647 AND o_orderkey > 0 THEN o_orderkey * 900000 END AS n FROM orders")
@@ -444,7 +493,25 @@ def c05(spark, d):
     return cache.in_flight(request_log(spark, d).withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("s", F.col("e2e_seconds") * 3600), ["user_id"], "request_id", "arrival", "s")
 
 
-@query("c06_window_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
-def c06(spark, d):
+@query("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def daily_counts(spark, d):
     got = cache.windowed_counts(table(spark, d, "events").withColumn("ts", F.to_timestamp_ltz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))), "ts", ["event_type"])
     return got.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type").agg(F.sum("n").alias("n"))
+
+
+@query("c06_polling_window", """WITH s AS (SELECT user_id % 400 AS run, dayofyear(ts) AS seq, count(*) AS n, dayofyear(ts) * 1.5::DOUBLE + user_id % 400 % 7 * (dayofyear(ts) % 5) AS t FROM events GROUP BY ALL),
+o AS (SELECT *, t - lag(t) OVER (PARTITION BY run ORDER BY seq) AS gap FROM s),
+a AS (SELECT run, min(seq) AS before_seq, max(seq) AS after_seq, count(*) - 2 AS observations, sum(n)::BIGINT AS recognized_samples, max_by(t, seq) - min_by(t, seq) AS elapsed, bool_or(gap < 0 OR gap > 5) AS bad FROM o GROUP BY run)
+SELECT run, before_seq::INT AS before_seq, after_seq::INT AS after_seq, greatest(observations, 0) AS observations, recognized_samples, round(elapsed, 6) AS elapsed, CASE WHEN observations < 0 THEN 'experimental_metrics_window_invalid' WHEN bad THEN 'experimental_metrics_sample_gap_exceeded' WHEN observations > 20 THEN 'experimental_metrics_observation_limit' WHEN recognized_samples > 5000 THEN 'experimental_metrics_window_too_large' END AS code FROM a""")
+def c06(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 400).alias("run"), F.dayofyear("ts").alias("seq"))
+    snapshots = e.groupBy("run", "seq").agg(F.count("*").alias("recognized_samples")).withColumn("at", F.col("seq") * 1.5 + F.col("run") % 7 * (F.col("seq") % 5))
+    got = windows.polling_windows(snapshots, ["run"], "at", most_observations=20, most_samples=5000)
+    return got.select("run", "before_seq", "after_seq", "observations", "recognized_samples", r6("elapsed").alias("elapsed"), "code")
+
+
+@query("j10_in_flight_scopes", f"""WITH {RL} SELECT request_id, min(request_id) OVER (PARTITION BY user_id % 50, finish_reason, epoch_us(ts) // 3600000000) AS leader FROM g WHERE ok""")
+def j10(spark, d):
+    log = request_log(spark, d).where(runs.valid()).withColumn("scope", text.scope_key(F.to_json(F.struct("finish_reason", (F.col("user_id") % 50).alias("n"))))).withColumn("prompt", F.date_format("ts", "yyyy-MM-dd HH"))
+    at = log.select("request_id", "scope", "prompt", F.col("request_id").cast("double").alias("arrival"), F.lit(1e12).alias("s"))
+    return cache.in_flight(at, ["scope", "prompt"], "request_id", "arrival", "s").select("request_id", "leader")

@@ -29,14 +29,15 @@ def p10(spark, d):
     return reports.preflight(s).select("id", "code")
 
 
-@query("p16_fingerprint", "SELECT count(*) AS reports, 2 AS fingerprints FROM supplier")
+@query("p16_fingerprint", "SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_suppkey % 5, s_nationkey) AS same_as FROM supplier")
 def p16(spark, d):
-    good = report_samples.sound()
-    other = {**good, "mode": "x", "note": "y"}
-    third = {**good, "schema_version": "9"}
-    s = table(spark, d, "supplier").select(_pick([json.dumps(x) for x in (good, other, third)], F.col("s_suppkey") % 3).alias("report"))
-    f = reports.fingerprint(F.from_json("report", reports.REPORT))
-    return s.select(f.alias("f")).agg(F.count("*").alias("reports"), F.count_distinct("f").cast("int").alias("fingerprints"))
+    """Reports of one seed and one server have one fingerprint, whatever their notes say."""
+    good = json.dumps({**report_samples.sound(), "note": "NOTE"}).replace('"seed": 1', '"seed": SEED').replace('"server_version": "1"', '"server_version": "v SERVER"')
+    body = F.lit(good)
+    for mark, value in (("SEED", F.col("s_suppkey") % 5), ("SERVER", F.col("s_nationkey")), ("NOTE", F.col("s_suppkey"))):
+        body = F.replace(body, F.lit(mark), value.cast("string"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), reports.fingerprint(F.from_json(body, reports.REPORT)).alias("f"))
+    return s.select("id", F.min("id").over(Window.partitionBy("f")).alias("same_as"))
 
 
 _RUNTIME = report_samples.sound()["manifest"]["runtime"]
@@ -169,9 +170,11 @@ def f02(spark, d):
     return p.where("q is not null").select("conv_id", "turn", r6(text.jaccard(F.col("w"), F.col("q"))).alias("j"))
 
 
-@query("f09_scope_keys", """SELECT event_id, '{"model":"m' || event_id % 3 || '","temperature":"0"}' AS scope FROM events""")
+@query("f09_scope_keys", """SELECT event_id, '{"meta": {"x": ' || event_id % 2 || ', "y": "' || event_id % 2 || '"}, "model": "m' || event_id % 3 || '", "temperature": ' || CASE WHEN event_id % 5 = 0 THEN '"0"' ELSE '0' END || '}' AS scope FROM events""")
 def f09(spark, d):
-    body = F.concat(F.lit('{"stream":true,"temperature":0,"messages":[1],"model":"m'), (F.col("event_id") % 3).cast("string"), F.lit('"}'))
+    two, zero = (F.col("event_id") % 2).cast("string"), F.when(F.col("event_id") % 5 == 0, '"0"').otherwise("0")
+    parts = ['{"stream":true,"temperature":', zero, ',"messages":[1],"model":"m', (F.col("event_id") % 3).cast("string"), '","meta":{"y":"', two, '","x":', two, "}}"]
+    body = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     return table(spark, d, "events").select("event_id", text.scope_key(body).alias("scope"))
 
 

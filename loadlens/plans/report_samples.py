@@ -48,7 +48,7 @@ def sound() -> dict:
     elapsed, attempted = 40.0, 3 * n + 5
     total = 1.5 * elapsed / 3600
     return {
-        "schema_version": "2.0", "artifact_type": "throttle.run", "mode": "benchmark", "status": "complete", "stop_reason": None, "started_at": "2026-01-01T00:00:00Z", "completed_at": "2026-01-01T00:00:41+00:00",
+        "schema_version": "2.0", "artifact_type": "loadlens.run", "mode": "benchmark", "status": "complete", "stop_reason": None, "started_at": "2026-01-01T00:00:00Z", "completed_at": "2026-01-01T00:00:41+00:00",
         "manifest": {
             "manifest_version": "1.1", "tool": {"name": "loadlens", "version": "1"}, "engine": {"backend": "native", "backend_version": "1", "http_client_version": "1", "server_version": "1", "effective_flags": {"max_num_seqs": "8"}, "effective_flags_provenance": "runtime_verified"},
             "model": {"id": "m", "immutable_revision": "a" * 40},

@@ -110,18 +110,24 @@ def scoped_replay(requests: DataFrame, cache: str, order: str, prompt: str, scop
 
 
 def in_flight(requests: DataFrame, key: list[str], order: str, arrival: str, seconds: str) -> DataFrame:
-    """leader of each request: the running request of the same key that it waits for, or itself. A leader runs until its arrival plus its seconds."""
+    """leader of each request: the running request of the same key that it waits for, or itself. A leader runs until its arrival plus its seconds.
+
+    The requests of a key are sorted by arrival in one partition and read in one pass, so a key is never held as a whole.
+    """
     kinds = dict(requests.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, until, leader, out = pdf.sort_values([arrival, order], kind="stable"), float("-inf"), None, []
-        for o, a, s in pdf[[order, arrival, seconds]].itertuples(index=False):
-            if not a < until:
-                leader, until = o, a + s
-            out.append(leader)
-        return pd.DataFrame({order: pdf[order], "leader": out})
-
-    return requests.select(*key, order, arrival, seconds).groupBy(*key).applyInPandas(run, f"{order} {kinds[order]}, leader {kinds[order]}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, until, leader = None, float("-inf"), None
+        for pdf in batches:
+            out = []
+            for *k, o, a, s in pdf.itertuples(index=False):
+                if k != now or not a < until:
+                    now, leader, until = k, o, a + s
+                out.append(leader)
+            yield pd.DataFrame({order: pdf[order], "leader": out})
+
+    ordered = requests.select(*key, order, arrival, seconds).repartition(*key).sortWithinPartitions(*key, arrival, order)
+    return ordered.mapInPandas(run, f"{order} {kinds[order]}, leader {kinds[order]}")
 
 
 def cache_stream(requests: DataFrame, cache: str, order: str, prompt: str, now: str, ttl: float = 3600.0, size: int = 1000, threshold: float = 0.85) -> DataFrame:
