@@ -16,12 +16,27 @@ BASE = (
 #: What the models judge: unbroken runs that could be keys. A digit and a letter must be among them.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 LEAST = 20
-#: About so many rows train the model of identifiers (chosen by the text's hash; texts are read whole), and random strings generated for the other model.
+#: About so many rows train the model of identifiers (chosen by the hash of id and text, at most four times as many where rows repeat; texts are read whole), and random strings generated for the other model.
 TRAIN_ROWS = 2000
 TRAIN_STRINGS = 4000
 #: Mean log-likelihood ratio per character pair (nats) from which a candidate is a secret.
 THRESHOLD = 0.75
 _CODES = 128
+# Ordinary identifiers as programs write them, the labelled sample beside the words of the texts.
+IDENTIFIERS = (
+    "abs_value access_token_name account_balance add_listener allow_origin apply_filters array_length async_iterator attribute_name average_latency background_color base_directory batch_size buffer_length build_number cache_control "
+    "calculateTotal callback_url canonical_name change_password character_count check_sum child_process class_loader client_identifier column_width compare_strings compute_average config_parser connection_timeout content_encoding "
+    "content_type_options context_manager convertToString copy_on_write create_directory createElement current_timestamp customer_address database_connection date_format default_value delete_record dependency_injection description_text "
+    "destination_path dictionary_keys display_name document_identifier download_progress element_count email_address enable_logging encode_utf event_handler exception_message execution_context expected_result export_function "
+    "extract_features field_separator file_extension filter_predicate first_name font_family foreign_key format_string forward_reference function_argument garbage_collection generate_report getElementById global_variable group_by_clause "
+    "handle_request hash_function header_checksum horizontal_alignment identity_provider image_height import_module increment_counter index_of_maximum initial_capacity input_stream insert_statement interface_definition "
+    "invoice_number is_authenticated item_description iterator_adapter javascript_runtime join_condition keyboard_shortcut language_code last_modified_date latitude_longitude learning_rate left_outer_join library_version line_separator "
+    "linked_list listener_registry load_balancer local_storage location_header logging_level lower_case_letters machine_learning_model main_window manifest_version matrix_multiplication maximum_retries memory_allocation merge_request "
+    "message_queue metadata_service method_override minimum_distance module_resolution monotonically_increasing mouse_position network_interface next_sibling normalize_whitespace notification_center number_of_elements object_storage "
+    "offset_in_bytes onClickHandler operating_system optional_parameter order_by_expression output_directory package_manager page_number parallel_execution parent_component parse_arguments partition_columns payment_method percentage_complete "
+    "performance_counter permission_denied phone_number pixel_density placeholder_text pointer_arithmetic post_processing previous_element primary_key print_function priority_queue private_variable process_identifier product_category "
+    "property_descriptor protocol_buffer public_interface query_parameters random_generator read_only_property received_bytes rectangle_area recursive_descent reduce_by_key reference_count regular_expression relative_position remove_duplicates"
+).split()
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -58,16 +73,15 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, strings: int = TRAIN_STRINGS)
 
     Labelled samples: random strings are generated (base 64 and hex of digests of 0, 1, ...), ordinary
     identifiers are the words without digits of about ``rows`` documents, chosen by hash where they lie, and
-    the names of Spark's own functions. Add-one smoothing over
-    the characters that candidates can have.
+    IDENTIFIERS. Add-one smoothing over the characters that candidates can have.
     """
     spark = docs.sparkSession
     digests = spark.range(strings).select(F.sha2(F.concat(F.lit("s"), F.col("id")), 512).alias("h"))
     one = digests.select(F.explode(F.array(F.regexp_replace(F.base64(F.unhex("h")), "=", ""), F.substring("h", 1, 48))).alias("w"), F.lit(1).alias("y"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) * F.lit(docs.count())
-    picked = docs.select("text").where(F.col("text").isNotNull() & (share < rows * 1_000_000))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) * F.lit(docs.count())
+    picked = docs.where(F.col("text").isNotNull() & (share < rows * 1_000_000)).select("text").limit(4 * rows)
     plain = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z][A-Za-z_-]+(?![A-Za-z0-9+/_-])"), F.lit(0))).alias("w"), F.lit(0).alias("y"))
-    names = spark.sql("SHOW FUNCTIONS").where(F.col("function").rlike("^[A-Za-z][A-Za-z_0-9]+$")).select(F.explode(F.array_repeat("function", 8)).alias("w"), F.lit(0).alias("y"))
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in IDENTIFIERS])).alias("w")).select(F.explode(F.array_repeat("w", 20)).alias("w"), F.lit(0).alias("y"))
     counts = one.unionByName(plain).unionByName(names).select("y", F.explode(_pairs(F.col("w"))).alias("b")).groupBy("b").agg(F.count_if(F.col("y") == 1).alias("r"), F.count_if(F.col("y") == 0).alias("o"))
     alphabet = 65.0  # letters, digits, and three of + / _ -
     first = F.expr(f"cast(b div {_CODES} as int)")
@@ -92,8 +106,9 @@ def scan(docs: DataFrame, rows: int = TRAIN_ROWS, strings: int = TRAIN_STRINGS,
     """All spans of every text: ``base`` (the fixed patterns) and ``random`` (what the models add, not overlapping a base span).
 
     Positions are code points, ends exclusive; both arrays are ordered by start, then kind.
-    Null text counts as empty and has no span. Repeated rows are scanned each. Extra columns are ignored; an empty table gives an
-    empty result (the models are then even and add nothing).
+    Null text counts as empty and has no span. Repeated rows are scanned each, and spans that start together are in order of their kind. A very
+    long text is one row of native expressions, whole. Extra columns are ignored; an empty table gives an
+    empty result (the models then rest on the fixed samples alone).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     model = _table(docs, rows, strings)

@@ -421,6 +421,27 @@ def test_base_spans_equal_python(spark):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[1] == k for s in expected) for k in range(3))
 
 
+def test_added_spans_equal_a_plain_reading_of_the_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    extra = [(10**6, "see kR7vQ2mZx9Lw4TbY1cNf8pHd and approx_count_distinct_2_of_rows2 or token=kR7vQ2mZx9Lw4TbY1cNf8pHd"), (10**6 + 1, "é " + hashlib.sha256(b"x").hexdigest().upper())]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    table = docs.sparkSession.range(1).select(secrets._table(docs, secrets.TRAIN_ROWS, secrets.TRAIN_STRINGS).alias("m")).first()["m"]
+    added = 0
+    given = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in secrets.scan(docs).collect():
+        t = given[r["doc_id"]]
+        base = python_spans(t)
+        expected = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            w = m[0]
+            score = sum(table[ord(a) * 128 + ord(b)] for a, b in zip(w, w[1:])) / (len(w) - 1)
+            if re.search("[0-9]", w) and re.search("[A-Za-z]", w) and not any(m.start() < e and s < m.end() for s, _, e, _ in base) and score >= secrets.THRESHOLD:
+                expected.append((m.start(), m.end()))
+        assert [(x["s"], x["e"]) for x in r["random"]] == expected
+        added += len(expected)
+    assert added >= 2
+
+
 def test_random_strings_score_above_identifiers(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = secrets._table(docs, secrets.TRAIN_ROWS, secrets.TRAIN_STRINGS)
