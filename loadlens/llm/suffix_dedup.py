@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.llm.anchors import GRAM, LENGTH, anchors, hashes, mixed, prefix_sums
-from loadlens.llm.common import identified, staged, table
-from loadlens.llm.suffix_sort import packed, repeated, shard_text, sort_suffixes
+from loadlens.llm.common import identified, shared_dir, staged, table
+from loadlens.llm.suffix_sort import MEMORY, Store, repeated, sort_suffixes
 
 #: Strings of an anchor that start within STEP bytes share a run of KEYED bytes, which keys them.
 STEP = 40
@@ -79,25 +79,34 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("a", pa.int64()), ("c", pa.int64()), ("hot", pa.bool_()), ("place", pa.int64()), ("data", pa.binary()), ("keys", pa.list_(pa.int64()))]))
 
 
-def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of repeated strings in each of the shard's surroundings, as runs (from, to) relative to them."""
-    names, strings, places = [], [], []
-    for batch in batches:
-        names += zip(batch.column("a").to_pylist(), batch.column("c").to_pylist(), strict=True)
-        strings += batch.column("data").to_pylist()
-        places += batch.column("place").to_pylist()
-    if not strings:
-        return
-    text, starts = shard_text(strings)
-    words = packed(text)
-    sizes = np.diff(np.append(starts, len(text)))
-    place = np.repeat(np.array(places, np.int64) - starts, sizes) + np.arange(len(text))
-    marks = repeated(text, sort_suffixes(text, words=words), words=words, place=place)
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8)))
-    begin, end = edges[::2], edges[1::2]  # runs never cross a separator, where no string of LENGTH bytes starts
-    owner = np.searchsorted(starts, begin, side="right") - 1
-    rows = [(*names[o], int(b - starts[o]), int(e - starts[o])) for o, b, e in zip(owner.tolist(), begin, end, strict=True)]
-    yield pa.RecordBatch.from_pylist([dict(zip(("a", "c", "s", "e"), r, strict=True)) for r in rows], schema=pa.schema([("a", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]))
+def _sorter(memory: int, folder: str | None):
+    """Starts of repeated strings in each of a shard's surroundings, as runs (from, to) relative to them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, names, lie = Store(memory, folder), [], []
+
+        def strings() -> Iterator[bytes]:
+            for batch in batches:
+                names.append(np.stack([batch.column(x).to_numpy() for x in ("a", "c")], axis=1))
+                lie.append(batch.column("place").to_numpy())
+                yield from (x.as_py() for x in batch.column("data"))
+
+        text, starts = store.text(strings())
+        if not len(starts):
+            return
+        name, places = np.concatenate(names), np.concatenate(lie)
+        order, prefix = sort_suffixes(text, LENGTH, store)
+        marks = repeated(text, order, prefix, starts, places, LENGTH, store)
+        open_at = None  # a run that the block before left open; runs never cross a separator, where no string of LENGTH bytes starts
+        for i, j in store.blocks(len(text)):
+            edges = np.flatnonzero(np.diff(np.concatenate(([open_at is not None], marks[i:j])).astype(np.int8))) + i
+            edges = np.concatenate(([open_at] if open_at is not None else [], edges)).astype(np.int64)
+            open_at = int(edges[-1]) if len(edges) % 2 else None
+            begin, end = edges[: len(edges) // 2 * 2 : 2], edges[1::2]
+            owner = np.searchsorted(starts, begin, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*(pa.array(name[owner, k]) for k in (0, 1)), pa.array((begin - starts[owner]).astype(np.int32)), pa.array((end - starts[owner]).astype(np.int32))], ["a", "c", "s", "e"])
+
+    return run
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +120,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(strings: DataFrame) -> DataFrame:
-    """Starts of repeated strings in surroundings (a, c, place, data), as ``_sort_shard`` gives them, by native counts: no task holds a group."""
+    """Starts of repeated strings in surroundings (a, c, place, data), as ``_sorter`` gives them, by native counts: no task holds a group."""
     each = strings.mapInArrow(_strings, "a long, c long, s int, place long, h long")
     again = each.groupBy("a", "h").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p < q").select("a", "h")
     return each.join(again, ["a", "h"]).select("a", "c", "s", (F.col("s") + 1).alias("e"))
@@ -150,8 +159,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(_rid, s, e) byte spans of ``docs`` (with _rid and text) that repeated strings cover; spans may overlap."""
+def _scratch(spark: SparkSession) -> str | None:
+    """The shared folder as a path of the file system, where scratch files of large shards go; None (the workers' own) where it has no such path."""
+    folder = shared_dir(spark)
+    return folder.removeprefix("file://") if folder.startswith(("/", "file:///")) else None
+
+
+def repeated_spans(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
+    """(_rid, s, e) byte spans of ``docs`` (with _rid and text) that repeated strings cover; spans may overlap.
+
+    Shards of more than ``memory`` bytes are sorted in scratch files.
+    """
     spark = docs.sparkSession
     seen = staged(docs.select("_rid", "text").mapInArrow(_occurrences, f"_rid {RID}, pos long, left int, right int, a long, c long"), "anchors")
     kinds = seen.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_rid", "pos", "left", "right")).alias("one"))
@@ -169,19 +187,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counted = _counted(large.join(cut.select("a", "c", "place", "data"), ["a", "c"]))
     size = cut.agg(F.sum(F.octet_length("data") + 1)).first()[0] or 0
     parts = max(1, -(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
-    found = staged(strings.repartition(int(parts), "shard").select("a", "c", "place", "data").mapInArrow(_sort_shard, "a long, c long, s int, e int").unionByName(counted).distinct(), "found")
+    found = staged(strings.repartition(int(parts), "shard").select("a", "c", "place", "data").mapInArrow(_sorter(memory, _scratch(spark)), "a long, c long, s int, e int").unionByName(counted).distinct(), "found")
     some = again.select("_rid", "pos", "left", "a", "c").join(found, ["a", "c"]).select("_rid", (F.col("pos") - F.col("left") + F.col("s")).alias("s"), (F.col("pos") - F.col("left") + F.col("e") - 1 + LENGTH).alias("e"))
     return whole.unionByName(some)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
 
     Matches never cross rows; repeated rows repeat each other. Null and empty texts have no byte. Texts under 200 bytes
-    hold no string to repeat. Extra columns are ignored; an empty table gives an empty result.
+    hold no string to repeat. A very long text is hashed whole in one task, about eighty bytes of memory a byte; where bytes tie, all are
+    removed. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = identified(docs.select("doc_id", "text")).select("_rid", "doc_id", "text")
-    spans = repeated_spans(rows).groupBy("_rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # at most one document's anchors
+    spans = repeated_spans(rows, memory).groupBy("_rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # at most one document's anchors
     return rows.join(spans, "_rid", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loadlens.llm import decontaminate, html_extract, langid, mixing, near_dedup, secrets, simhash, suffix_sort, toxicity, warc
+from loadlens.llm import decontaminate, html_extract, langid, mixing, near_dedup, secrets, simhash, suffix_dedup, suffix_sort, toxicity, warc
 from loadlens.llm.components import components
 from loadlens.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF
@@ -280,19 +280,34 @@ def test_toxicity_does_not_learn_held_out_rows(spark):
     assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
 
 
-@pytest.mark.parametrize("memory", [10, 1 << 20])
+@pytest.mark.parametrize("memory", [10, 600, 1 << 20])
 def test_suffixes_are_in_order_and_repeats_marked(memory):
     rng = np.random.default_rng(8)
-    for _ in range(60):
-        strings = [bytes(rng.choice(list(alphabet), int(rng.integers(0, 60)))) for alphabet in (b"ab", b"a", b"abcdef", bytes(range(256)))]
-        depth = int(rng.integers(7, 16))
-        text, starts = suffix_sort.shard_text(strings)
-        order = suffix_sort.sort_suffixes(text, depth, memory)
+    for _ in range(40):
+        strings = [bytes(rng.choice(list(alphabet), int(rng.integers(0, 60)))) for alphabet in (b"ab", b"a", b"abcdef", bytes(range(256)), b"ab", b"abc")]
+        depth, store = int(rng.integers(7, 16)), suffix_sort.Store(memory)
+        store.block = max(3, store.block // 9)
+        text, starts = store.text(strings)
+        order, prefix = suffix_sort.sort_suffixes(text, depth, store)
         keys = [tuple(text[i : i + depth]) for i in order]
         assert keys == sorted(keys) and sorted(order) == list(range(len(text)))
-        counts = Counter(s[i : i + depth] for s in strings for i in range(len(s) - depth + 1))
-        expected = {int(a) + i for s, a in zip(strings, starts, strict=True) for i in range(len(s) - depth + 1) if counts[s[i : i + depth]] > 1}
-        assert set(np.flatnonzero(suffix_sort.repeated(text, order, depth, block=50)).tolist()) == expected
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert prefix.tolist() == [0, *(shared(a, b) for a, b in zip(keys, keys[1:]))]
+        places = starts.copy()
+        places[-1] = starts[0] + 5  # the last string lies where the first one does, five bytes on
+        for given in (None, places):
+            seen = {}
+            for s, a in zip(strings, starts if given is None else given, strict=True):
+                for i in range(len(s) - depth + 1):
+                    seen.setdefault(s[i : i + depth], set()).add(int(a) + i)
+            expected = {int(a) + i for s, a in zip(strings, starts, strict=True) for i in range(len(s) - depth + 1) if len(seen[s[i : i + depth]]) > 1}
+            assert set(np.flatnonzero(suffix_sort.repeated(text, order, prefix, starts, given, depth, store)).tolist()) == expected
+
+
+def test_shards_larger_than_memory_give_the_same_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few, many = (sorted(map(tuple, suffix_dedup.remove_repeats(docs, memory).collect())) for memory in (4096, suffix_sort.MEMORY))
+    assert few == many and any(r[2] for r in few)
 
 
 def test_repeated_bytes_equal_brute_force(spark):
