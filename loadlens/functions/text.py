@@ -21,7 +21,7 @@ GAP = r"(?U)[\s\x1c-\x1f]+"
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased words between white space, repeats included."""
-    return F.filter(F.split(F.lower(_col(text)), GAP), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), GAP), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -258,9 +258,9 @@ def f01(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
-@query("j08_similar_prompts", r"""WITH p AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
-c AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM p a JOIN p b ON a.id < b.id AND least(len(a.w), len(b.w)) >= greatest(len(a.w), len(b.w)) * 0.8 WHERE len(a.w) > 0)
-SELECT a, b, round(k / (n - k), 6) AS similarity FROM c WHERE k >= 0.8 * (n - k)""")
+@query("j08_similar_prompts", r"""WITH p AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS w FROM documents), m AS (SELECT *, min(id) OVER (PARTITION BY w) AS name FROM p WHERE len(w) > 0),
+r AS (SELECT id, w FROM m WHERE id = name), c AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM r a JOIN r b ON a.id < b.id AND least(len(a.w), len(b.w)) >= greatest(len(a.w), len(b.w)) * 0.8)
+SELECT a, b, round(k / (n - k), 6) AS similarity FROM c WHERE k >= 0.8 * (n - k) UNION ALL SELECT name, id, 1.0 FROM m WHERE id <> name""")
 def j08(spark, d):
     return similarity.similar_pairs(table(spark, d, "documents"), "doc_id", "text", 0.8).select("a", "b", r6("similarity").alias("similarity"))
 
