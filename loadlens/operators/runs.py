@@ -53,36 +53,47 @@ def request_counts(requests: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def walls(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Seconds between a group's first and last request."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return requests.groupBy(*keys).agg(((F.max(micros) - F.min(micros)) / 1e6).alias("wall_seconds"))
-
-
-def metrics(requests: DataFrame, keys: list[str], wall: DataFrame | None = None, e2e_ms: float | None = None, ttft_ms: float | None = None) -> DataFrame:
-    """Diagnostic metrics per group: tokens, rates, error rate, latency summaries and goodput, in one aggregation.
-
-    Latencies and the token rate come from generated responses; goodput spans cache hits too. ``wall`` gives
-    wall_seconds per group; without it the requests' own span is used.
-    """
+def _totals(requests: DataFrame, keys: list[str], e2e_ms: float | None, ttft_ms: float | None, percentiles: bool) -> DataFrame:
+    """Counts, tokens, span and latency summaries per group: one aggregation, and two more passes for exact percentiles of inputs of any size."""
+    one = percentiles and stats.fits_one_task(requests)
     ok, gpu = valid(), generated()
     hit = ok & F.coalesce("cache_hit", F.lit(False))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     tokens = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
+    ms = {n: stats.finite(F.when(gpu, F.col(c)) * 1000.0) for n, c in (("e2e_ms", "e2e_seconds"), ("ttft_ms", "ttft_seconds"))}
     out = requests.groupBy(*keys).agg(
         F.count("*").alias("attempted"), F.count_if(ok).alias("valid"), tokens("completion_tokens", ok).alias("completion_tokens"), tokens("prompt_tokens", ok).alias("prompt_tokens"),
         tokens("completion_tokens", gpu).alias("gpu_completion_tokens"), F.count_if(hit).alias("cache_hit_count"), tokens("completion_tokens", hit).alias("cache_completion_tokens"),
-        stats.summary_ms(F.when(gpu, F.col("e2e_seconds"))).alias("e2e_ms"), stats.summary_ms(F.when(gpu, F.col("ttft_seconds"))).alias("ttft_ms"),
-        F.count_if(ok & within_slo(e2e_ms, ttft_ms)).alias("slo_passing"),
+        F.count_if(ok & within_slo(e2e_ms, ttft_ms)).alias("slo_passing"), ((F.max(micros) - F.min(micros)) / 1e6).alias("wall_seconds"),
+        *[c for n, v in ms.items() for c in (F.count(v).alias(f"_n_{n}"), F.avg(v).alias(f"_m_{n}"), *([stats.points(v).alias(f"_p_{n}")] if one else []))],
     )
-    out = out.join(wall if wall is not None else walls(requests, keys), keys)
+    plain = [c for c in out.columns if c not in keys and not c.startswith("_")]
+    part = lambda n: (F.col(f"_n_{n}"), F.col(f"_m_{n}"))
+    if not percentiles:
+        return out.select(*keys, *plain, *[F.struct(part(n)[0].alias("count"), part(n)[1].alias("mean")).alias(n) for n in ms])
+    if one:
+        return out.select(*keys, *plain, *[stats.summary_struct(*part(n), F.col(f"_p_{n}")).alias(n) for n in ms])
+    both = stats.join_same(out, stats.percentiles(requests, keys, ms), keys, "left")
+    return both.select(*keys, *plain, *[stats.summary_struct(*part(n), F.col(n)).alias(n) for n in ms])
+
+
+def _rates(totals: DataFrame, slo: bool) -> DataFrame:
     positive = F.when(F.col("wall_seconds") > 0, F.col("wall_seconds"))
-    return out.select(
+    return totals.select(
         "*", F.try_divide("valid", positive).alias("requests_per_second"), F.try_divide("gpu_completion_tokens", positive).alias("output_tokens_per_second"),
         F.try_divide(F.col("attempted") - F.col("valid"), F.col("attempted")).alias("error_rate"),
-        (F.try_divide("slo_passing", positive) if e2e_ms is not None or ttft_ms is not None else F.lit(None).cast("double")).alias("goodput_per_second"),
+        (F.try_divide("slo_passing", positive) if slo else F.lit(None).cast("double")).alias("goodput_per_second"),
     )
 
 
+def metrics(requests: DataFrame, keys: list[str], e2e_ms: float | None = None, ttft_ms: float | None = None, percentiles: bool = True) -> DataFrame:
+    """Diagnostic metrics per group over the requests' own span: tokens, rates, error rate, latency summaries (with ``percentiles``, or of count and mean alone) and goodput.
+
+    Latencies and the token rate come from generated responses; goodput spans cache hits too. A null key is a group of its own.
+    """
+    return _rates(_totals(requests, keys, e2e_ms, ttft_ms, percentiles), e2e_ms is not None or ttft_ms is not None)
+
+
 def block_report(blocks: DataFrame) -> DataFrame:
     """Validity and offered-rate evidence of blocks.
 
@@ -102,16 +113,22 @@ def block_report(blocks: DataFrame) -> DataFrame:
 def condition_aggregate(requests: DataFrame, keys: list[str], block: str = "block_index", e2e_ms: float | None = None, ttft_ms: float | None = None) -> DataFrame:
     """Conditions from requests: pooled metrics over the sum of the blocks' walls, and block means with Student-t intervals.
 
-    Pooled percentiles come from the requests, repeated-block intervals from the blocks' own percentiles.
+    Pooled percentiles come from the requests, repeated-block intervals from the blocks' own percentiles. Blocks and
+    pools are groups of one aggregation, in which each request counts twice.
     """
-    per_block = metrics(requests, [*keys, block], e2e_ms=e2e_ms, ttft_ms=ttft_ms)
-    over = per_block.groupBy(*keys).agg(
-        F.count("*").alias("blocks"), F.sum("wall_seconds").alias("wall_seconds"), F.min(F.col("attempted") == F.col("valid")).alias("all_blocks_valid"),
-        stats.t_interval("output_tokens_per_second").alias("tokens_ci"), stats.t_interval("requests_per_second").alias("requests_ci"),
-        stats.t_interval("e2e_ms.p95").alias("e2e_p95_ci"), stats.t_interval("ttft_ms.p95").alias("ttft_p95_ci"),
+    levels = F.array(F.struct(F.lit(False).alias("_pool"), F.col(block).alias("_block")), F.struct(F.lit(True).alias("_pool"), F.lit(None).cast(requests.schema[block].dataType).alias("_block")))
+    groups = _totals(requests.select("*", F.inline(levels)), [*keys, "_pool", "_block"], e2e_ms, ttft_ms, True)
+    one = ~F.col("_pool")
+    rated = _rates(groups, False)
+    of = lambda c: F.when(one, F.col(c))
+    held = [c for c in groups.columns if c not in (*keys, "_pool", "_block", "wall_seconds")]
+    over = rated.groupBy(*keys).agg(
+        F.first(F.when(F.col("_pool"), F.struct(*held)), ignorenulls=True).alias("_held"), F.count_if(one).alias("blocks"), F.sum(of("wall_seconds")).alias("wall_seconds"),
+        F.min(F.when(one, F.col("attempted") == F.col("valid"))).alias("all_blocks_valid"), stats.t_interval(of("output_tokens_per_second")).alias("tokens_ci"), stats.t_interval(of("requests_per_second")).alias("requests_ci"),
+        stats.t_interval(of("e2e_ms.p95")).alias("e2e_p95_ci"), stats.t_interval(of("ttft_ms.p95")).alias("ttft_p95_ci"),
     )
-    pooled = metrics(requests, keys, over.select(*keys, "wall_seconds"), e2e_ms, ttft_ms)
-    return pooled.join(over.drop("wall_seconds"), keys)
+    pooled = over.select(*keys, "_held.*", "wall_seconds", "blocks", "all_blocks_valid", "tokens_ci", "requests_ci", "e2e_p95_ci", "ttft_p95_ci")
+    return _rates(pooled, e2e_ms is not None or ttft_ms is not None)
 
 
 def grade(conditions: DataFrame, mode: str = "benchmark", target: Column | None = None, warmup: Column | None = None, open_loop: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ def position(c: str = "position_idx") -> Column:
 
 
 def _rates(spark, d, keys) -> DataFrame:
-    return runs.metrics(request_log(spark, d), keys)
+    return runs.metrics(request_log(spark, d), keys, percentiles=False)
 
 
 # --- matching and comparison -------------------------------------------------------------------------------------------
@@ -178,7 +178,7 @@ f AS (SELECT run, sum(valid) AS v, sum(attempted) AS a, count(*) FILTER (valid >
 SELECT run, CASE WHEN v < 10 OR (a - v) / a > 0.5 OR cv > 1 OR tcv > 1 THEN 'inconclusive' WHEN eff < 0.5 AND dom > 0.6 AND dom <= 0.7 THEN 'dispatch-bound' WHEN eff < 0.6 AND dom < 0.4 THEN 'orchestration-bound' WHEN cv < 0.25 AND eff > 0.7 THEN 'compute-bound' WHEN dom > 0.7 AND eff < 0.45 THEN 'memory-bound' ELSE 'mixed' END AS classification, round(eff, 3) AS scaling_efficiency, round(dom, 3) AS ttft_dominance, round(cv, 3) AS tpot_cv FROM f""")
 def r01(spark, d):
     log = request_log(spark, d).withColumn("run", F.col("user_id") % 20).withColumn("tpot_seconds", F.when(runs.generated(), F.col("e2e_seconds") - F.col("ttft_seconds")))
-    m = runs.metrics(log, ["run", "concurrency"])
+    m = runs.metrics(log, ["run", "concurrency"], percentiles=False)
     tpot = log.groupBy("run", "concurrency").agg(F.avg(F.col("tpot_seconds") * 1000.0).alias("tpot_mean_ms"))
     probes = m.join(tpot, ["run", "concurrency"]).select("run", "concurrency", F.col("output_tokens_per_second").alias("throughput"), F.col("ttft_ms.mean").alias("ttft_mean_ms"), "tpot_mean_ms", F.col("valid").alias("valid_count"), F.col("attempted").alias("attempted_count"))
     return diagnose.classify(probes, ["run"]).select("run", "classification", "scaling_efficiency", "ttft_dominance", "tpot_cv")

@@ -162,13 +162,13 @@ def a09(spark, d):
 
 @query("a10_merge_summaries", f"WITH {RL}, b AS (SELECT concurrency, block_index, count(*) FILTER (gpu) AS n, avg(e2e_seconds * 1000.0) FILTER (gpu) AS m FROM g GROUP BY ALL) SELECT concurrency, sum(n)::BIGINT AS count, round(sum(n * m) / sum(n), 6) AS mean, CAST(NULL AS DOUBLE) AS p95 FROM b GROUP BY concurrency")
 def a10(spark, d):
-    b = runs.metrics(request_log(spark, d), ["concurrency", "block_index"]).select("concurrency", "block_index", F.col("e2e_ms.count").alias("count"), F.col("e2e_ms.mean").alias("mean"))
+    b = runs.metrics(request_log(spark, d), ["concurrency", "block_index"], percentiles=False).select("concurrency", "block_index", F.col("e2e_ms.count").alias("count"), F.col("e2e_ms.mean").alias("mean"))
     return runs.merge_summaries(b, ["concurrency"]).select("concurrency", "count", r6("mean").alias("mean"), "p95")
 
 
 @query("a17_token_spread", f"WITH {RL}, b AS ({blocks_sql('concurrency, position_idx')}) SELECT position_idx, round((max(completion_tokens / valid) - min(completion_tokens / valid)) / max(completion_tokens / valid), 9) AS spread FROM b GROUP BY position_idx")
 def a17(spark, d):
-    m = runs.metrics(request_log(spark, d), ["concurrency", "position_idx"])
+    m = runs.metrics(request_log(spark, d), ["concurrency", "position_idx"], percentiles=False)
     return m.groupBy("position_idx").agg(F.round(stats.relative_spread(F.col("completion_tokens") / F.col("valid")), 9).alias("spread"))
 
 
@@ -182,7 +182,9 @@ def a20(spark, d):
 
 @query("t02_percentile", "SELECT event_type, round(quantile_cont(value, 0.0), 6) AS p0, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 1.0), 6) AS p100 FROM events GROUP BY event_type")
 def t02(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(*[r6(stats.percentile("value", f)).alias(f"p{int(f * 100)}") for f in (0.0, 0.25, 0.5, 0.95, 1.0)])
+    fractions = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = stats.percentiles(table(spark, d, "events"), ["event_type"], {"p": F.col("value")}, fractions)
+    return got.select("event_type", *[r6(F.col("p")[i]).alias(f"p{int(f * 100)}") for i, f in enumerate(fractions)])
 
 
 @query("t03_t_critical", f"""WITH z AS (SELECT o_orderkey AS k, (o_orderkey % 60 + 1)::INT AS df, 1.959963984540054::DOUBLE AS z FROM orders)

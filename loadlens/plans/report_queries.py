@@ -83,7 +83,7 @@ s AS (SELECT concurrency, abs(sum(t) FILTER (position_idx % 2 = 1) - sum(t) FILT
 k AS (SELECT concurrency, max(s) AS bs FROM (SELECT concurrency, block_index, (max(completion_tokens) - min(completion_tokens)) / max(completion_tokens) AS s FROM b GROUP BY ALL) GROUP BY concurrency)
 SELECT concurrency, round(d, 6) AS token_difference, round(ps, 6) AS position_spread, round(bs, 6) AS block_spread, CASE WHEN d <= 0.05 AND ps <= 0.05 AND bs <= 0.05 THEN 'comparable' ELSE 'completion_tokens_outside_5_percent_tolerance' END AS tokens FROM s JOIN k USING (concurrency)""")
 def r10(spark, d):
-    b = runs.metrics(request_log(spark, d), ["concurrency", "position_idx", "block_index"]).withColumn("position", position())
+    b = runs.metrics(request_log(spark, d), ["concurrency", "position_idx", "block_index"], percentiles=False).withColumn("position", position())
     rates = compare.phase_contrasts(b.select("concurrency", "position", F.col("output_tokens_per_second").alias("rate")), ["concurrency"])
     got = reports.golden_conditions(rates, b.select("concurrency", "position", "block_index", "completion_tokens"), ["concurrency"])
     outside = "completion_tokens_outside_5_percent_tolerance"
@@ -147,7 +147,7 @@ def t01(spark, d):
 
 @query("a05_latency_summary", "SELECT event_type, count(value) AS n, round(avg(value * 1000.0), 4) AS mean, round(quantile_cont(value * 1000.0, 0.99), 4) AS p99 FROM events GROUP BY event_type")
 def a05(spark, d):
-    got = table(spark, d, "events").groupBy("event_type").agg(stats.summary_ms("value").alias("s"))
+    got = stats.summaries_ms(table(spark, d, "events"), ["event_type"], {"s": F.col("value")})
     return got.select("event_type", F.col("s.count").alias("n"), F.round("s.mean", 4).alias("mean"), F.round("s.p99", 4).alias("p99"))
 
 
