@@ -12,7 +12,7 @@ from loadlens.operators import bottleneck, compare, diagnose, reports, runs, win
 from loadlens.plans import report_samples
 from loadlens.plans.more_queries import _WINDOWS, _windows, position
 from loadlens.plans.queries import query, r6
-from loadlens.plans.views import GAUGES, RL, SAMPLES, blocks_sql, gauges, request_log, samples, table
+from loadlens.plans.views import RL, blocks_sql, request_log, table
 from loadlens.sources import files
 
 _CASES = report_samples.cases()
@@ -117,17 +117,41 @@ def r02(spark, d):
     return diagnose.classify(df, ["run"]).where(F.length("recommendation") > 0).select("classification", "confidence")
 
 
-@query("a16_window", f"""WITH {SAMPLES}, {GAUGES}, d AS (SELECT run, family, labels, max_by(value, seq) - min_by(value, seq) AS delta FROM samples GROUP BY ALL), t AS (SELECT run, max(seq) - min(seq) AS elapsed, count(DISTINCT seq) AS observations FROM samples GROUP BY run),
-c AS (SELECT run, sum(delta) FILTER (family = 'count') AS finished, sum(delta) FILTER (family = 'sum') AS total FROM d GROUP BY run), o AS (SELECT run, max(v) AS running FROM (SELECT run, seq, sum(value) AS v FROM gauges GROUP BY ALL) GROUP BY run)
-SELECT run, elapsed::INT AS elapsed, observations, finished, round(finished / elapsed, 6) AS per_day, round(1000 * total / finished, 4) AS mean_ms, running FROM t JOIN c USING (run) JOIN o USING (run)""")
+_REASONS = "CASE event_type WHEN 'view' THEN 'length' WHEN 'error' THEN 'abort' WHEN 'signup' THEN 'other' ELSE 'stop' END"
+_PARTS = {
+    "vllm:request_success_total": "n", "vllm:generation_tokens_total": "n * 3", "vllm:num_preemptions": "CASE WHEN run = 7 AND seq > 2 THEN 0.0 ELSE n END", "vllm:e2e_request_latency_seconds_sum": "s",
+    "vllm:e2e_request_latency_seconds_count": "CASE WHEN run <> 5 THEN n END", "vllm:num_requests_running": "d", "vllm:gpu_cache_usage_perc": "d / 100000.0",
+}
+_LONG = " UNION ALL ".join(f"SELECT run, seq, '{f}' AS family, labels, CASE WHEN '{f}' = 'vllm:request_success_total' THEN reason END AS reason, CAST({v} AS DOUBLE) AS value FROM cum WHERE {v} IS NOT NULL" for f, v in _PARTS.items())
+
+
+@query("a16_window", f"""WITH q AS (SELECT user_id % 20 AS run, quarter(ts)::INT AS seq, event_type AS labels, {_REASONS} AS reason, count(*)::DOUBLE AS d, sum(value) AS v FROM events GROUP BY ALL),
+cum AS (SELECT run, seq, labels, reason, d, sum(d) OVER w AS n, sum(v) OVER w AS s FROM q WINDOW w AS (PARTITION BY run, labels ORDER BY seq ROWS UNBOUNDED PRECEDING)), long AS ({_LONG}),
+ser AS (SELECT run, family, labels, reason, max_by(value, seq) - min_by(value, seq) AS d, count(*) AS n FROM long GROUP BY ALL),
+t AS (SELECT run, count(DISTINCT seq) AS observations FROM long GROUP BY run), lost AS (SELECT run, bool_or(n < observations) AS lost FROM ser JOIN t USING (run) GROUP BY run),
+gone AS (SELECT run, bool_or(k < observations) AS gone FROM (SELECT run, family, count(DISTINCT seq) AS k FROM long GROUP BY ALL) JOIN t USING (run) GROUP BY run),
+c AS (SELECT run, sum(d) FILTER (family LIKE '%success%') AS fin, sum(d) FILTER (family LIKE '%generation%') AS tok, sum(d) FILTER (family LIKE '%preempt%') AS pre, sum(d) FILTER (family LIKE '%_sum') AS s, sum(d) FILTER (family LIKE '%_seconds_count') AS k, sum(d) FILTER (reason IN ('stop', 'length')) AS allowed,
+  sum(d) FILTER (reason = 'abort') AS disallowed, coalesce(sum(d) FILTER (reason = 'other'), 0) AS unclassified, count(DISTINCT labels) AS scopes FROM ser GROUP BY run),
+g AS (SELECT run, max(v) AS running FROM (SELECT run, seq, sum(value) AS v FROM long WHERE family LIKE '%running' GROUP BY ALL) GROUP BY run), kv AS (SELECT run, max(value) AS kv FROM long WHERE family LIKE '%usage_perc' GROUP BY run),
+x AS (SELECT *, 30.0::DOUBLE + run AS elapsed, CASE WHEN observations < 2 THEN 'experimental_metrics_window_invalid' WHEN gone THEN 'metrics_alias_or_availability_changed' WHEN run = 5 THEN 'metrics_histogram_pair_incomplete' WHEN lost THEN 'metrics_series_topology_changed' WHEN run = 7 AND observations > 2 THEN 'metrics_counter_reset' END AS code FROM t JOIN lost USING (run) JOIN gone USING (run) JOIN c USING (run) JOIN g USING (run) JOIN kv USING (run))
+SELECT run, elapsed, code, CASE WHEN code IS NULL THEN observations END AS observations, CASE WHEN code IS NULL THEN fin::BIGINT END AS finished, CASE WHEN code IS NULL THEN tok::BIGINT END AS output_tokens, CASE WHEN code IS NULL THEN pre::BIGINT END AS preemptions, CASE WHEN code IS NULL THEN round(fin / elapsed, 6) END AS finished_rate, CASE WHEN code IS NULL THEN round(tok / elapsed, 6) END AS token_rate,
+  CASE WHEN code IS NULL THEN round(1000 * s / nullif(k, 0), 4) END AS mean_e2e, CASE WHEN code IS NULL THEN running::BIGINT END AS running, CASE WHEN code IS NULL THEN round(kv, 9) END AS kv, CASE WHEN code IS NULL THEN allowed::BIGINT END AS allowed, CASE WHEN code IS NULL THEN disallowed::BIGINT END AS disallowed, CASE WHEN code IS NULL THEN unclassified::BIGINT END AS unclassified,
+  CASE WHEN code IS NULL THEN scopes::INT END AS scopes, CASE WHEN code IS NULL THEN TRUE END AS consistent, CASE WHEN code IS NULL THEN 7 END AS sources, CASE WHEN code IS NULL THEN 'e2e=' || k::BIGINT END AS observed, CAST(NULL AS DOUBLE) AS mean_ttft, CAST(NULL AS BIGINT) AS prompt_tokens FROM x""")
 def a16(spark, d):
-    s, g = samples(spark, d), gauges(spark, d)
-    span = s.groupBy("run").agg((F.max("seq") - F.min("seq")).alias("elapsed"), F.count_distinct("seq").alias("observations"))
-    finished = windows.counter_deltas(s.where("family = 'count'"), ["run"]).select("run", F.col("delta").alias("finished"))
-    mean = windows.histogram_mean_ms(s.where("family = 'sum'"), s.where("family = 'count'"), ["run"]).drop("observations")
-    most = windows.gauge_max(g, ["run"]).select("run", F.col("max_value").alias("running"))
-    out = span.join(finished, "run").join(mean, "run").join(most, "run")
-    return out.select("run", "elapsed", "observations", "finished", r6(F.try_divide("finished", "elapsed")).alias("per_day"), F.round("mean_ms", 4).alias("mean_ms"), "running")
+    """Cumulative counts of events by quarter as exporter snapshots: run 5 loses a histogram's counts, run 7 resets a counter."""
+    e = table(spark, d, "events")
+    q = e.groupBy((F.col("user_id") % 20).alias("run"), F.quarter("ts").alias("seq"), F.col("event_type").alias("labels"), F.expr(_REASONS).alias("reason")).agg(F.count("*").cast("double").alias("d"), F.sum("value").alias("v"))
+    w = Window.partitionBy("run", "labels").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    cum = q.select("run", "seq", "labels", "reason", "d", F.sum("d").over(w).alias("n"), F.sum("v").over(w).alias("s"))
+    parts = F.array(*[F.struct(F.lit(f).alias("family"), F.expr(f"CAST({v} AS DOUBLE)").alias("value")) for f, v in _PARTS.items()])
+    long = cum.select("run", "seq", "labels", "reason", F.inline(parts)).where("value is not null").withColumn("reason", F.when(F.col("family") == "vllm:request_success_total", F.col("reason")))
+    elapsed = e.select((F.col("user_id") % 20).alias("run")).distinct().withColumn("elapsed_seconds", F.lit(30.0) + F.col("run"))
+    got = windows.assemble(long, elapsed, ["run"])
+    return got.select(
+        "run", F.col("elapsed_seconds").alias("elapsed"), "code", "observations", F.col("requests_finished").alias("finished"), "output_tokens", "preemptions", r6("finished_requests_per_second").alias("finished_rate"), r6("output_tokens_per_second").alias("token_rate"),
+        F.round("mean_e2e_ms", 4).alias("mean_e2e"), F.col("max_requests_running").alias("running"), F.round("max_kv_cache_usage_fraction", 9).alias("kv"), F.col("allowed_finished_requests").alias("allowed"), F.col("disallowed_finished_requests").alias("disallowed"), F.col("unclassified_finished_requests").alias("unclassified"),
+        F.col("metric_scope_count").alias("scopes"), F.col("metric_scope_consistent").alias("consistent"), F.size("source_families").alias("sources"), F.array_join(F.transform("histogram_observation_counts", lambda p: F.concat(p["key"], F.lit("="), p["n"])), ",").alias("observed"), F.col("mean_ttft_ms").alias("mean_ttft"), "prompt_tokens",
+    )
 
 
 _STAGES = ("signup", "view", "click", "purchase")
