@@ -264,10 +264,11 @@ def treatment(baseline: Column, candidate: Column) -> Column:
     return F.when((names == F.array(F.lit("max-num-seqs"))) & (x != y), F.struct(x.alias("baseline_value"), y.alias("candidate_value")))
 
 
-def golden_conditions(rates: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+def golden_conditions(rates: DataFrame, tokens: DataFrame, keys: list[str], bounds: DataFrame | None = None, e2e_ms: float | None = None, ttft_ms: float | None = None) -> DataFrame:
     """State, outcome and reason of each condition of a six-position sequence.
 
-    ``rates``: contrast rows of ``compare.phase_contrasts``; ``tokens``: completion_tokens by keys, position and block_index.
+    ``rates``: contrast rows of ``compare.phase_contrasts``; ``tokens``: completion_tokens by keys, position and block_index;
+    ``bounds``: upper interval bounds e2e_p95_high and ttft_p95_high (ms) by keys and position, held against the SLOs that are set; a missing bound fails one.
     """
     treated = F.col("position").startswith("C")
     total = F.sum("completion_tokens")
@@ -276,9 +277,32 @@ def golden_conditions(rates: DataFrame, tokens: DataFrame, keys: list[str]) -> D
     sides = by_position.groupBy(*keys).agg(F.sum(F.when(treated, F.col("t"))).alias("_c"), F.sum(F.when(~treated, F.col("t"))).alias("_b"), spread("t").alias("position_spread"))
     blocks = tokens.groupBy(*keys, "block_index").agg(spread("completion_tokens").alias("s")).groupBy(*keys).agg(F.max("s").alias("block_spread"))
     got = rates.join(sides, keys).join(blocks, keys).withColumn("token_difference", F.abs(F.col("_c") - F.col("_b")) / F.greatest("_c", "_b"))
+    fails = [~F.coalesce(F.col(c) <= most, F.lit(False)) for c, most in (("e2e_p95_high", e2e_ms), ("ttft_p95_high", ttft_ms)) if most is not None]
+    if bounds is not None and fails:
+        failed = bounds.groupBy(*keys).agg(F.max(F.greatest(*fails) if len(fails) > 1 else fails[0]).alias("_failed"))
+        got = got.join(failed, keys, "left").withColumn("_failed", F.coalesce("_failed", F.lit(True)))
+    else:
+        got = got.withColumn("_failed", F.lit(False))
     comparable = (F.col("token_difference") <= TOKEN_TOLERANCE) & (F.col("position_spread") <= TOKEN_TOLERANCE) & (F.col("block_spread") <= TOKEN_TOLERANCE)
-    outcome = F.when(comparable & (F.col("low") > 0), "candidate_higher_throughput").when(comparable & (F.col("high") < 0), "baseline_higher_throughput")
-    return got.select(*keys, "estimate", "low", "high", "token_difference", "position_spread", "block_spread", outcome.alias("outcome"), F.when(outcome.isNotNull(), "supported").otherwise("inconclusive").alias("state"), F.when(~comparable, "completion_tokens_outside_5_percent_tolerance").when(outcome.isNull(), "order_balanced_ci_includes_zero").alias("reason"))
+    fit = comparable & ~F.col("_failed")
+    outcome = F.when(fit & (F.col("low") > 0), "candidate_higher_throughput").when(fit & (F.col("high") < 0), "baseline_higher_throughput")
+    return got.select(*keys, "estimate", "low", "high", "token_difference", "position_spread", "block_spread", outcome.alias("outcome"), F.when(outcome.isNotNull(), "supported").otherwise("inconclusive").alias("state"), F.when(~comparable, "completion_tokens_outside_5_percent_tolerance").when(F.col("_failed"), "one_or_more_runs_fail_declared_slo").when(outcome.isNull(), "order_balanced_ci_includes_zero").alias("reason"))
+
+
+def golden_decision(conditions: DataFrame, keys: list[str], order: str, baseline_value: Column, candidate_value: Column) -> DataFrame:
+    """Decision of each sequence from ``golden_conditions``: supported if all its conditions are, with one outcome.
+
+    A supported one names the winner and its value and gives the estimate and interval of the first condition by ``order``; else these are null.
+    """
+    first = F.min_by(F.struct("estimate", "low", "high"), order)
+    got = conditions.groupBy(*keys).agg(F.count("*").alias("conditions"), F.min(F.col("state") == "supported").alias("_all"), F.count_distinct("outcome").alias("_n"), F.min("outcome").alias("_o"), first.alias("_i"))
+    ok = F.col("_all") & (F.col("_n") == 1)
+    candidate = F.col("_o") == "candidate_higher_throughput"
+    keep = lambda c: F.when(ok, c)
+    return got.select(
+        *keys, "conditions", F.when(ok, "supported").otherwise("inconclusive").alias("decision_state"), ok.alias("decision_eligible"), keep(F.col("_o")).alias("overall_outcome"), keep(F.when(candidate, "candidate").otherwise("baseline")).alias("winner"),
+        keep(F.when(candidate, candidate_value).otherwise(baseline_value)).alias("winner_value"), keep(F.col("_i.estimate")).alias("estimate"), keep(F.col("_i.low")).alias("low"), keep(F.col("_i.high")).alias("high"),
+    )
 
 
 def fingerprint(report: Column) -> Column:

@@ -154,6 +154,33 @@ def a16(spark, d):
     )
 
 
+_GOLDEN = """q AS (SELECT s_suppkey AS id, c, p, b, 1000 + (s_suppkey * 7 + p * 3 + b * 5) % (CASE WHEN (s_suppkey + c) % 7 = 0 THEN 400 ELSE 40 END) AS tokens, 100.0 + CASE WHEN p % 2 = 1 THEN (s_suppkey % 9 - 4) * 3.0 ELSE 0.0 END + (s_suppkey * c * p) % 3 * 0.1 AS rate, 640.0 + (s_suppkey * 13 + p * 11 + c) % 170 AS bound
+  FROM supplier, {positions}, {blocks}, {loads})"""
+
+
+@query("r10_golden_decision", f"""WITH {_GOLDEN.format(positions="(SELECT unnest(range(6)) AS p)", blocks="(SELECT unnest(range(1, 4)) AS b)", loads="(SELECT unnest([1, 4]) AS c)")},
+w AS (SELECT id, c, {", ".join(f"max(rate::DOUBLE) FILTER (p = {i}) AS p{i}" for i in range(6))}, sum(tokens) FILTER (p % 2 = 1) AS tc, sum(tokens) FILTER (p % 2 = 0) AS tb, max(bound) AS bound FROM q GROUP BY ALL),
+ps AS (SELECT id, c, (max(t) - min(t)) / max(t) AS ps FROM (SELECT id, c, p, sum(tokens) AS t FROM q GROUP BY ALL) GROUP BY ALL), bs AS (SELECT id, c, max(s) AS bs FROM (SELECT id, c, b, (max(tokens) - min(tokens)) / max(tokens) AS s FROM q GROUP BY ALL) GROUP BY ALL),
+d AS (SELECT *, (p1 / ((p0 + p2) / 2) - 1) * 100 AS x, ((p3 + p5) / 2 / p4 - 1) * 100 AS y, abs(tc - tb) / greatest(tc, tb) <= 0.05 AND ps <= 0.05 AND bs <= 0.05 AND bound <= 800 AS fit FROM w JOIN ps USING (id, c) JOIN bs USING (id, c)),
+e AS (SELECT *, (x + y) / 2 AS est, (x + y) / 2 - 12.706 * abs(x - y) / 2 AS low, (x + y) / 2 + 12.706 * abs(x - y) / 2 AS high FROM d),
+o AS (SELECT *, CASE WHEN fit AND low > 1e-9 THEN 'candidate_higher_throughput' WHEN fit AND high < -1e-9 THEN 'baseline_higher_throughput' END AS outcome FROM e),
+r AS (SELECT id, count(*) AS conditions, count(outcome) = count(*) AND count(DISTINCT outcome) = 1 AS ok, min(outcome) AS outcome, min_by(est, c) AS est, min_by(low, c) AS low, min_by(high, c) AS high FROM o GROUP BY id)
+SELECT id, conditions, CASE WHEN ok THEN 'supported' ELSE 'inconclusive' END AS decision_state, ok AS decision_eligible, CASE WHEN ok THEN outcome END AS overall_outcome, CASE WHEN ok THEN CASE WHEN outcome LIKE 'c%' THEN 'candidate' ELSE 'baseline' END END AS winner,
+  CASE WHEN ok THEN CASE WHEN outcome LIKE 'c%' THEN 16 ELSE 8 END END AS winner_value, CASE WHEN ok THEN round(est, 5) END AS estimate, CASE WHEN ok THEN round(low, 4) END AS low, CASE WHEN ok THEN round(high, 4) END AS high FROM r""")
+def r10_decision(spark, d):
+    """Six-run sequences made of suppliers: some with unlike tokens, missed SLOs or intervals that include zero."""
+    ids = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    spread = ids.select("id", F.explode(F.array(F.lit(1), F.lit(4))).alias("c")).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("p")).select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("b"))
+    q = spread.select(
+        "id", "c", position("p").alias("position"), F.col("b").alias("block_index"), (1000 + (F.col("id") * 7 + F.col("p") * 3 + F.col("b") * 5) % F.when((F.col("id") + F.col("c")) % 7 == 0, 400).otherwise(40)).alias("completion_tokens"),
+        (100.0 + F.when(F.col("p") % 2 == 1, (F.col("id") % 9 - 4) * 3.0).otherwise(0.0) + (F.col("id") * F.col("c") * F.col("p")) % 3 * 0.1).alias("rate"), (640.0 + (F.col("id") * 13 + F.col("p") * 11 + F.col("c")) % 170).alias("e2e_p95_high"),
+    )
+    contrasts = compare.phase_contrasts(q.select("id", "c", "position", "rate"), ["id", "c"])
+    conditions = reports.golden_conditions(contrasts, q, ["id", "c"], q, e2e_ms=800.0)
+    got = reports.golden_decision(conditions, ["id"], "c", F.lit(8), F.lit(16))
+    return got.select("id", "conditions", "decision_state", "decision_eligible", "overall_outcome", "winner", "winner_value", F.round("estimate", 5).alias("estimate"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
 _STAGES = ("signup", "view", "click", "purchase")
 
 
