@@ -125,7 +125,7 @@ _PARTS = {
 _LONG = " UNION ALL ".join(f"SELECT run, seq, '{f}' AS family, labels, CASE WHEN '{f}' = 'vllm:request_success_total' THEN reason END AS reason, CAST({v} AS DOUBLE) AS value FROM cum WHERE {v} IS NOT NULL" for f, v in _PARTS.items())
 
 
-@query("a16_window", f"""WITH q AS (SELECT user_id % 20 AS run, quarter(ts)::INT AS seq, event_type AS labels, {_REASONS} AS reason, count(*)::DOUBLE AS d, sum(value) AS v FROM events GROUP BY ALL),
+@query("a16_window", f"""WITH q AS (SELECT user_id % 20 AS run, (dayofyear(ts) // 8)::INT AS seq, event_type AS labels, {_REASONS} AS reason, count(*)::DOUBLE AS d, sum(value) AS v FROM events GROUP BY ALL),
 cum AS (SELECT run, seq, labels, reason, d, sum(d) OVER w AS n, sum(v) OVER w AS s FROM q WINDOW w AS (PARTITION BY run, labels ORDER BY seq ROWS UNBOUNDED PRECEDING)), long AS ({_LONG}),
 ser AS (SELECT run, family, labels, reason, max_by(value, seq) - min_by(value, seq) AS d, count(*) AS n FROM long GROUP BY ALL),
 t AS (SELECT run, count(DISTINCT seq) AS observations FROM long GROUP BY run), lost AS (SELECT run, bool_or(n < observations) AS lost FROM ser JOIN t USING (run) GROUP BY run),
@@ -138,9 +138,9 @@ SELECT run, elapsed, code, CASE WHEN code IS NULL THEN observations END AS obser
   CASE WHEN code IS NULL THEN round(1000 * s / nullif(k, 0), 4) END AS mean_e2e, CASE WHEN code IS NULL THEN running::BIGINT END AS running, CASE WHEN code IS NULL THEN round(kv, 9) END AS kv, CASE WHEN code IS NULL THEN allowed::BIGINT END AS allowed, CASE WHEN code IS NULL THEN disallowed::BIGINT END AS disallowed, CASE WHEN code IS NULL THEN unclassified::BIGINT END AS unclassified,
   CASE WHEN code IS NULL THEN scopes::INT END AS scopes, CASE WHEN code IS NULL THEN TRUE END AS consistent, CASE WHEN code IS NULL THEN 7 END AS sources, CASE WHEN code IS NULL THEN 'e2e=' || k::BIGINT END AS observed, CAST(NULL AS DOUBLE) AS mean_ttft, CAST(NULL AS BIGINT) AS prompt_tokens FROM x""")
 def a16(spark, d):
-    """Cumulative counts of events by quarter as exporter snapshots: run 5 loses a histogram's counts, run 7 resets a counter."""
+    """Cumulative counts of events by eight days as exporter snapshots: run 5 loses a histogram's counts, run 7 resets a counter."""
     e = table(spark, d, "events")
-    q = e.groupBy((F.col("user_id") % 20).alias("run"), F.quarter("ts").alias("seq"), F.col("event_type").alias("labels"), F.expr(_REASONS).alias("reason")).agg(F.count("*").cast("double").alias("d"), F.sum("value").alias("v"))
+    q = e.groupBy((F.col("user_id") % 20).alias("run"), F.floor(F.dayofyear("ts") / 8).cast("int").alias("seq"), F.col("event_type").alias("labels"), F.expr(_REASONS).alias("reason")).agg(F.count("*").cast("double").alias("d"), F.sum("value").alias("v"))
     w = Window.partitionBy("run", "labels").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     cum = q.select("run", "seq", "labels", "reason", "d", F.sum("d").over(w).alias("n"), F.sum("v").over(w).alias("s"))
     parts = F.array(*[F.struct(F.lit(f).alias("family"), F.expr(f"CAST({v} AS DOUBLE)").alias("value")) for f, v in _PARTS.items()])
