@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 
 def _col(c: Column | str) -> Column:
@@ -144,30 +144,57 @@ def immutable_revision(text: Column | str) -> Column:
     return F.coalesce(_col(text).rlike("^([0-9a-f]{40}|[0-9a-f]{64})$"), F.lit(False))
 
 
-#: Shapes that public metadata must not hold.
+# Shapes that public metadata must not hold: assigned credentials, tokens by their prefixes, signed tokens, addresses, absolute paths and traversal.
+_LABEL = r"access[\s_-]*token|api[\s_-]*key|auth[\s_-]*token|authorization|bearer|client[\s_-]*secret|credentials?|password|passwd|private[\s_-]*key|secret(?:[\s_-]*key)?|token"
+_DIGEST = r"[A-Za-z][A-Za-z0-9._+-]{0,31}:[0-9A-Fa-f]{16,256}"
+_NAME = r"[A-Za-z0-9][A-Za-z0-9._/+:-]{0,183}"
+_OPENS = r"(?:^|[\s=\"'(<\[{,;:])"
 UNSAFE = (
-    r"(?i)\b(bearer|basic)\s+[a-z0-9._~+/=-]{8,}", r"(?i)(api[_-]?key|token|secret|password|passwd)\s*[:=]", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*",
-    r"\b(sk|hf|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{8,}", r"(?i)\b[a-z][a-z0-9+.-]*://", r"(^|[\s\"'=])(/|~/|[A-Za-z]:\\)", r"(^|[/\\])\.\.([/\\]|$)", r"[^\s/@]+:[^\s/@]+@", r"[\x00-\x1f\x7f]",
+    rf"(?iU)(?:^|[^a-z0-9])(?:{_LABEL})\s*[:=]",
+    r"(?i)(?:^|[^A-Za-z0-9])(?:(?:hf|npm|pk|pypi|rk|rpa|rps|sk)[-_][A-Za-z0-9_-]{8,}|gh[oprsu]_[A-Za-z0-9_]{8,}|github_pat_[A-Za-z0-9_]{8,}|glpat-[A-Za-z0-9_-]{8,}|xox[baprs]-[A-Za-z0-9-]{8,}|(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{20,}|SG\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|ya29\.[A-Za-z0-9_-]{8,})(?=$|@|[^A-Za-z0-9_])",
+    r"(?:^|[^A-Za-z0-9_])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    r"(?i)://|bearer |authorization:",
+    rf"(?iU)file:(?:/{{1,2}}|\\)|data:[^\s,;]{{1,128}}[,;]|mailto:[^\s@]+@|{_OPENS}(?:data|file|ftp|ftps|gs|https?|mailto|s3|ssh):",
+    rf"(?U){_OPENS}(?:/(?!/)(?=[A-Za-z0-9._~-])|~[/\\]|[A-Za-z]:[/\\]|[/\\]{{2}}[^/\\\s])",
+    r"(?U)(?:^|[\s=\"'(<\[{,;:/\\])\.\.?(?=$|[/\\])",
+    r"^(?:/|~/|\\|[A-Za-z]:[\\/])|(?:^|[/\\])\.\.?(?:$|[/\\])",
 )
+#: Controls, format characters, surrogates, line and paragraph separators.
+_BARRED = r"[\p{Cc}\p{Cf}\p{Cs}\p{Zl}\p{Zp}]"
+_USER = r"[^\s:@/\\]+:"
 
 
-def safe_metadata(text: Column | str, most: int = 16_384) -> Column:
-    """Whether a text is free of credentials, addresses, paths, traversal, user info and control characters, and short enough."""
-    t = _col(text)
-    ok = F.octet_length(t) <= most
+def _unsafe_form(t: Column) -> Column:
+    """Whether a text has an unsafe shape or a user and a secret before an at sign; the digest of an artifact's name may stand behind one."""
+    artifact = t.rlike(rf"^(?:{_DIGEST}|{_NAME}(?:@{_DIGEST})?)$")
+    bad = t.rlike(rf"(?iU){_USER}(?:{_LABEL})@") | (~artifact & t.rlike(rf"(?U){_USER}[^\s:@/\\]+@")) | t.rlike(rf"(?U){_USER}[^\s:@/\\]+@(?!{_DIGEST}(?=$|\s))")
     for shape in UNSAFE:
-        ok = ok & ~t.rlike(shape)
-    return F.coalesce(ok, F.lit(False))
+        bad = bad | t.rlike(shape)
+    return bad
+
+
+def safe_metadata(text: Column | str, most: int = 256) -> Column:
+    """Whether a text as it stands may be published: not empty, no white space at its ends, at most ``most`` bytes, no barred character and no unsafe shape. False for null."""
+    t = _col(text)
+    return F.coalesce((t != "") & (F.octet_length(t) <= most) & ~t.rlike(r"(?U)^\s|\s$") & ~t.rlike(_BARRED) & ~_unsafe_form(t), F.lit(False))
 
 
-@F.pandas_udf(BooleanType())
-def _is_plain(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t is not None and unicodedata.normalize("NFKC", t) == t and not any(unicodedata.category(c) in ("Cc", "Cf", "Cs", "Co") for c in t))
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility form of texts, which no built-in function gives."""
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t)).astype(object)
 
 
-def plain_unicode(text: Column | str) -> Column:
-    """Whether a text is in NFKC form and without control, format, surrogate or private characters."""
-    return _is_plain(_col(text))
+def public_metadata(text: Column | str, most: int = 256) -> Column:
+    """Whether a text may be published both as it stands and in its compatibility form, which may be four times as long, and is no odd spelling of ``unknown``.
+
+    Only texts beyond ASCII are handed to the function that normalises.
+    """
+    t = _col(text)
+    ascii_only = t.rlike(r"^[\x00-\x7F]*$")
+    form = F.coalesce(nfkc(F.when(~ascii_only, t)), t)
+    sized = (form != "") & (F.length(form) <= 4 * F.length(t)) & (F.octet_length(form) <= most) & ~form.rlike(r"(?U)^\s|\s$") & ~((F.lower(form) == "unknown") & (t != "unknown"))
+    return F.coalesce(safe_metadata(t, most) & sized & ~_unsafe_form(form), F.lit(False))
 
 
 def loopback(host: Column | str) -> Column:

@@ -1,128 +1,129 @@
-"""Checks of chat responses: whole payloads, and streams as a fold over ordered events."""
+"""Checks of chat responses: whole payloads, and streams by what their events say and what came before them.
 
-from __future__ import annotations
+Codes are those of the first check that fails, in a fixed order. Everything is expressed over variants: no Python runs.
+"""
 
-import json
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadlens.sources.files import is_blank, json_kind, member, sse_events, sse_rest, strict_json
+
+# Finish reasons of a text answer.
 FINISH = ("stop", "length", "content_filter")
 
-PAYLOAD = "struct<error:string,choices:array<struct<index:string,finish_reason:string,message:struct<role:string,content:string>>>,usage:struct<prompt_tokens:string,completion_tokens:string>>"
 
+def _no(c: Column) -> Column:
+    """Whether a condition does not hold; null is no."""
+    return ~F.coalesce(c, F.lit(False))
+
+
+def _said(value: Column) -> Column:
+    """Whether a variant is a text that is not blank."""
+    return F.coalesce((json_kind(value) == "string") & ~is_blank(value.try_cast("string")), F.lit(False))
+
+
+def _text(value: Column) -> Column:
+    return F.when(json_kind(value) == "string", value.try_cast("string"))
+
+
+def _zero(value: Column) -> Column:
+    """Whether a variant equals zero: a number, or false, which counts as it."""
+    kind = json_kind(value)
+    return F.coalesce((kind.isin("integer", "number") & (value.try_cast("double") == 0)) | ((kind == "boolean") & ~value.try_cast("boolean")), F.lit(False))
+
+
+def _usage_code(usage: Column) -> Column:
+    """What is wrong with token counts: completion before prompt tokens."""
+    count = lambda name: F.when(json_kind(member(usage, name)) == "integer", member(usage, name).try_cast("decimal(38,0)"))
+    return F.when(_no(json_kind(usage) == "object"), "missing_usage").when(_no(count("completion_tokens") > 0), "invalid_completion_tokens").when(_no(count("prompt_tokens") >= 0), "invalid_prompt_tokens")
 
-def payload_code(body: Column | str) -> Column:
-    """First failing code of a whole response body; null if it is a complete answer."""
+
+def _completion(usage: Column) -> Column:
+    return member(usage, "completion_tokens").try_cast("decimal(38,0)")
+
+
+def payload_code(body: Column | str, max_tokens: int | None = None, max_bytes: int | None = None) -> Column:
+    """First failing code of a whole response body; null if it is a complete answer.
+
+    ``max_tokens`` is what the request asked for at most and ``max_bytes`` the longest body that is read. A null body is no JSON.
+    """
     text = F.col(body) if isinstance(body, str) else body
-    root = F.try_parse_json(text)
-    get = lambda path: F.try_variant_get(root, f"$.{path}", "string")
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(root, f"$.{path}", "variant"))
-    whole = lambda path: F.coalesce(kind(path) == "BIGINT", F.lit(False))
-    finish = get("choices[0].finish_reason")
-    return (
-        F.when(root.isNull(), "invalid_json")
-        .when(~F.schema_of_variant(root).startswith("OBJECT"), "response_not_object")
-        .when(get("error").isNotNull(), "error_response_shape")
-        .when(F.coalesce(~kind("choices").startswith("ARRAY"), F.lit(True)) | F.try_variant_get(root, "$.choices[0]", "variant").isNull(), "missing_or_empty_choices")
-        .when(~kind("choices[0]").startswith("OBJECT"), "choice_not_object")
-        .when(get("choices[0].index").isNotNull() & (get("choices[0].index") != "0"), "invalid_choice_index")
-        .when(finish.isNull(), "missing_finish_reason")
-        .when(~finish.isin(*FINISH), "unsupported_finish_reason")
-        .when(F.coalesce(~kind("choices[0].message").startswith("OBJECT"), F.lit(True)), "missing_assistant_message")
-        .when(F.coalesce(get("choices[0].message.role") != "assistant", F.lit(True)), "invalid_assistant_role")
-        .when(F.coalesce(get("choices[0].message.content"), F.lit("")) == "", "empty_completion_output")
-        .when(F.coalesce(~kind("usage").startswith("OBJECT"), F.lit(True)), "missing_usage")
-        .when(~whole("usage.completion_tokens") | (F.try_variant_get(root, "$.usage.completion_tokens", "bigint") <= 0), "invalid_completion_tokens")
-        .when(~whole("usage.prompt_tokens") | (F.try_variant_get(root, "$.usage.prompt_tokens", "bigint") < 0), "invalid_prompt_tokens")
-    )
-
-
-def _is_count(x: object, least: int) -> bool:
-    return isinstance(x, int) and not isinstance(x, bool) and x >= least
-
-
-def stream_code(events: list[str]) -> str | None:
-    """First failing code of a stream's data payloads in order; null if role, output, finish, usage and the end mark follow each other as they must."""
-    role = output = finish = usage = done = False
-    for data in events:
-        if data == "[DONE]":
-            if done:
-                return "duplicate_stream_done"
-            done = True
-            continue
-        if done:
-            return "stream_data_after_done"
-        try:
-            event = json.loads(data)
-        except ValueError:
-            return "malformed_stream_json"
-        if not isinstance(event, dict):
-            return "stream_event_not_object"
-        if event.get("error") is not None:
-            return "stream_error_event"
-        choices, counts = event.get("choices"), event.get("usage")
-        if counts is not None:
-            if usage:
-                return "duplicate_stream_usage"
-            if not finish:
-                return "stream_usage_before_finish"
-            if choices:
-                return "stream_usage_with_choice_data"
-            if not isinstance(counts, dict):
-                return "missing_usage"
-            if not _is_count(counts.get("completion_tokens"), 1):
-                return "invalid_completion_tokens"
-            if not _is_count(counts.get("prompt_tokens"), 0):
-                return "invalid_prompt_tokens"
-            usage = True
-            continue
-        if choices == []:
-            return "empty_stream_event_without_usage"
-        if usage:
-            return "stream_choice_after_usage"
-        if finish:
-            return "stream_choice_after_finish"
-        if not isinstance(choices, list) or len(choices) != 1 or not isinstance(choices[0], dict) or choices[0].get("index", 0) != 0:
-            return "invalid_stream_choices"
-        reason, delta = choices[0].get("finish_reason"), choices[0].get("delta", {})
-        if reason is not None and reason not in FINISH:
-            return "invalid_finish_reason"
-        if not isinstance(delta, dict):
-            return "invalid_stream_delta"
-        said = delta.get("role")
-        if said is not None:
-            if said != "assistant":
-                return "invalid_assistant_role"
-            role = True
-        for field, code in (("content", "invalid_stream_content_type"), ("reasoning_content", "invalid_stream_reasoning_type")):
-            if delta.get(field) is not None and not isinstance(delta[field], str):
-                return code
-            if delta.get(field):
-                if not role:
-                    return "output_before_assistant_role"
-                output = True
-        finish = finish or reason is not None
-    if not done:
-        return "stream_missing_done"
-    if not role:
-        return "missing_assistant_role"
-    if not finish:
-        return "missing_finish_reason"
-    if not output:
-        return "empty_completion_output"
-    return None if usage else "missing_usage"
-
-
-def check_streams(chunks: DataFrame, key: str = "request_id", order: str = "seq", data: str = "event") -> DataFrame:
-    """request_id and code of each stream in a log of chunks. A stream's events are gathered in order; streams are spread over the cluster."""
-    kind = dict(chunks.dtypes)[key]
-    ordered = chunks.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, data))), lambda x: x[data]).alias("events"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([stream_code(e) for e in b.column("events").to_pylist()], pa.string())], [key, "code"])
-
-    return ordered.mapInArrow(run, f"{key} {kind}, code string")
+    root = strict_json(text)
+    choice = member(root, "choices[0]")
+    finish, message, usage = member(choice, "finish_reason"), member(choice, "message"), member(root, "usage")
+    code = (
+        F.when(F.octet_length(text) > max_bytes, "response_too_large") if max_bytes is not None else F.when(F.lit(False), "response_too_large")
+    ).when(root.isNull(), "invalid_json").when(json_kind(root) != "object", "response_not_object").when(member(root, "error").isNotNull(), "error_response_shape")
+    code = (
+        code.when(_no(json_kind(member(root, "choices")) == "array") | choice.isNull() | member(root, "choices[1]").isNotNull(), "missing_or_empty_choices").when(_no(json_kind(choice) == "object"), "choice_not_object")
+        .when(~_zero(member(choice, "index")), "invalid_choice_index").when(~_said(finish), "missing_finish_reason").when(~_text(finish).isin(*FINISH), "unsupported_finish_reason").when(_no(json_kind(message) == "object"), "missing_assistant_message")
+        .when(_no(_text(member(message, "role")) == "assistant"), "invalid_assistant_role").when(~_said(member(message, "content")), "empty_completion_output").when(_usage_code(usage).isNotNull(), _usage_code(usage))
+    )
+    return code if max_tokens is None else code.when(_completion(usage) > max_tokens, "reported_completion_tokens_exceed_request_cap")
+
+
+def stream_steps(chunks: DataFrame, key: str = "request_id", order: str = "seq", data: str = "event") -> DataFrame:
+    """What each event of a stream says by itself: key, order, done, wrong (its own code), usage_wrong, shape (the code of its choice), and the marks role, output, finish, usage, empty and tokens that it leaves."""
+    root = F.col("_root")
+    choices, choice = member(root, "choices"), member(root, "choices[0]")
+    usage, finish, delta = member(root, "usage"), member(choice, "finish_reason"), member(choice, "delta")
+    role, content, reasoning = member(delta, "role"), member(delta, "content"), member(delta, "reasoning_content")
+    there = lambda v: F.coalesce(json_kind(v) != "null", F.lit(False))
+    other = lambda v: there(v) & (json_kind(v) != "string")
+    wrong = F.when(root.isNull(), "malformed_stream_json").when(json_kind(root) != "object", "stream_event_not_object").when(member(root, "error").isNotNull(), "stream_error_event")
+    shape = (
+        F.when(_no(json_kind(choices) == "array") | _no(json_kind(choice) == "object") | member(root, "choices[1]").isNotNull(), "invalid_stream_choices").when(~_zero(member(choice, "index")), "invalid_choice_index")
+        .when(there(finish) & ~_said(finish), "invalid_finish_reason").when(there(finish) & ~_text(finish).isin(*FINISH), "unsupported_finish_reason").when(_no(json_kind(delta) == "object"), "invalid_stream_delta")
+        .when(role.isNotNull() & _no(_text(role) == "assistant"), "invalid_assistant_role").when(other(content), "invalid_stream_content_type").when(other(reasoning), "invalid_stream_reasoning_type")
+    )
+    rows = chunks.select(F.col(key), F.col(order), F.col(data).alias("_data")).withColumn("_done", F.coalesce(F.col("_data") == "[DONE]", F.lit(False))).withColumn("_root", strict_json(F.when(~F.col("_done"), F.col("_data"))))
+    live = ~F.col("_done")
+    has_usage = live & there(usage)
+    return rows.select(
+        key, order, F.col("_done").alias("done"), F.when(live, wrong).alias("wrong"), F.when(has_usage, _usage_code(usage)).alias("usage_wrong"), F.when(live, shape).alias("shape"), has_usage.alias("usage"),
+        (live & F.coalesce((json_kind(choices) == "array") & choice.isNull(), F.lit(False))).alias("empty"), (live & role.isNotNull()).alias("role"), (live & (_said(content) | _said(reasoning))).alias("output"), (live & there(finish)).alias("finish"),
+        F.when(has_usage, _completion(usage)).alias("tokens"),
+    )
+
+
+def check_streams(chunks: DataFrame, key: str = "request_id", order: str = "seq", data: str = "event", max_tokens: int | None = None) -> DataFrame:
+    """key, code, events and tokens of each stream in a log of chunks; code is null where role, output, finish, usage and the end mark follow each other as they must.
+
+    The marks of a stream only ever go from unseen to seen, so the state before an event is a running maximum over the
+    events before it: a window that holds one row at a time, however long a stream is. The first event with a code decides;
+    a stream without one is judged by what it never said. Events of equal order are in the order of their data. A null event is malformed.
+    """
+    steps = stream_steps(chunks, key, order, data)
+    before = Window.partitionBy(key).orderBy(order, "done", "finish", "usage").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda mark: F.coalesce(F.max(mark).over(before), F.lit(False))
+    state = steps.select("*", *[seen(m).alias(f"_{m}") for m in ("done", "usage", "finish", "role")])
+    c = F.col
+    sound = F.lit("")
+    code = (
+        F.when(c("done") & c("_done"), "duplicate_stream_done").when(c("done"), sound).when(c("_done"), "stream_data_after_done").when(c("wrong").isNotNull(), c("wrong"))
+        .when(c("usage") & c("_usage"), "duplicate_stream_usage").when(c("usage") & ~c("_finish"), "stream_usage_before_finish").when(c("usage_wrong").isNotNull(), c("usage_wrong"))
+        .when(c("empty") & ~c("usage"), "empty_stream_event_without_usage").when(c("empty"), sound).when(c("usage"), "stream_usage_with_choice_data").when(c("_usage"), "stream_choice_after_usage").when(c("_finish"), "stream_choice_after_finish")
+        .when(c("shape").isNotNull(), c("shape")).when(c("output") & ~c("_role") & ~c("role"), "output_before_assistant_role")
+    )
+    judged = state.withColumn("_code", F.nullif(code, sound))
+    of = judged.groupBy(key).agg(
+        F.min(F.when(c("_code").isNotNull(), F.struct(order, "_code"))).alias("_first"), *[F.max(m).alias(f"_{m}") for m in ("done", "output", "finish", "usage", "role")], F.count("*").alias("events"), F.max("tokens").cast("long").alias("tokens")
+    )
+    rest = F.when(~c("_done"), "stream_missing_done").when(~c("_output"), "empty_completion_output").when(~c("_finish"), "missing_finish_reason").when(~c("_usage"), "missing_usage")
+    if max_tokens is not None:
+        rest = rest.when(c("tokens") > max_tokens, "reported_completion_tokens_exceed_request_cap")
+    rest = rest.when(~c("_role"), "missing_assistant_role")
+    return of.select(key, F.coalesce(c("_first._code"), rest).alias("code"), "events", "tokens")
+
+
+def check_stream_bodies(bodies: DataFrame, key: str = "request_id", body: str = "body", max_tokens: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """key, code, events and tokens of raw stream bodies: events are cut out and judged; a longer body than ``max_bytes`` is response_too_large, one that breaks off in a line of no kind malformed_sse. A body without events has no end mark."""
+    found = check_streams(sse_events(bodies.where(F.col(body).isNotNull()), key, body), key, max_tokens=max_tokens)
+    large = F.coalesce(F.octet_length(body) > max_bytes, F.lit(False)) if max_bytes is not None else F.lit(False)
+    marks = bodies.select(key, large.alias("_large"), F.coalesce(sse_rest(F.col(body)), F.lit(False)).alias("_rest"))
+    # A finding inside the events comes before the broken end; what a stream never said does not count then.
+    late = F.col("code").isNull() | F.col("code").isin("stream_missing_done", "empty_completion_output", "missing_finish_reason", "missing_usage", "reported_completion_tokens_exceed_request_cap", "missing_assistant_role")
+    code = F.when(F.col("_large"), "response_too_large").when(F.col("_rest") & late, "malformed_sse").when(F.col("events").isNull(), "stream_missing_done").otherwise(F.col("code"))
+    return marks.join(found, key, "left").select(key, code.alias("code"), F.coalesce("events", F.lit(0).cast("long")).alias("events"), "tokens")

@@ -384,13 +384,55 @@ def f06(spark, d):
 # --- sources and responses ----------------------------------------------------------------------------------------------------
 
 
-@query("s01_prompts", "SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 3 THEN 'exactly_one_of_prompt_and_messages' WHEN 2 THEN 'blank_prompt' END AS error, CASE WHEN (conv_id + turn) % 4 < 2 THEN length(text) END AS n FROM conversations")
+def quoted(c: Column | str) -> Column:
+    """A text as a JSON string."""
+    j = F.to_json(F.struct(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).alias("t")))
+    return F.substring(j, F.lit(6), F.length(j) - 6)
+
+
+def filled(templates: list[str], k: Column, text_: Column | str) -> Column:
+    """The template of number ``k`` with each TEXT replaced by the text as a JSON string."""
+    at = F.element_at(F.array(*[F.lit(t) for t in templates]), (k + 1).cast("int"))
+    return F.replace(at, F.lit("TEXT"), quoted(text_))
+
+
+# One-line prompts around a conversation's text, and what is wrong with each.
+PROMPTS = {
+    '{"prompt":TEXT}': None, '{"messages":[{"role":"user","content":TEXT}]}': None, '{"prompt":"  \\t"}': "blank_prompt", '{"prompt":TEXT,"messages":[{"role":"user","content":TEXT}]}': "exactly_one_of_prompt_and_messages", '{"text":TEXT}': "exactly_one_of_prompt_and_messages",
+    '{"prompt":TEXT,"id":1e999,"note":"NaN, Infinity and 1e400"}': None, '{"prompt":TEXT,"score":NaN}': "invalid_json_object", '{"prompt":TEXT,"prompt":TEXT}': "invalid_json_object", "[TEXT]": "invalid_json_object", '{"messages":[]}': "empty_messages", '{"messages":TEXT}': "empty_messages",
+    '{"messages":[{"role":"user","content":TEXT},{"role":" ","content":TEXT}]}': "invalid_message", '{"messages":[{"content":TEXT}]}': "invalid_message", '{"messages":[TEXT]}': "invalid_message", '{"prompt":7}': "blank_prompt", '{"prompt":TEXT} TEXT': "invalid_json_object",
+}
+
+
+def code_list(codes) -> str:
+    """Codes as a list in SQL."""
+    return "[" + ", ".join("NULL" if c is None else f"'{c}'" for c in codes) + "]"
+
+
+_LINE = "(conv_id * 8 + turn)"
+
+
+def _line() -> Column:
+    return F.col("conv_id") * 8 + F.col("turn")
+
+
+@query("s01_prompts", f"WITH p AS (SELECT *, {code_list(PROMPTS.values())}[{_LINE} % {len(PROMPTS)} + 1] AS error FROM conversations) SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN md5(text) END AS prompt FROM p")
 def s01(spark, d):
-    k = (F.col("conv_id") + F.col("turn")) % 4
-    message = F.array(F.struct("role", F.col("text").alias("content")))
-    body = F.when(k == 0, F.to_json(F.struct(F.col("text").alias("prompt")))).when(k == 1, F.to_json(F.struct(message.alias("messages")))).when(k == 2, F.to_json(F.struct(F.lit("  ").alias("prompt")))).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"), message.alias("messages"))))
-    got = files.parse_prompts(table(spark, d, "conversations").select("conv_id", "turn", body.alias("value")))
-    return got.select("conv_id", "turn", "error", F.length(F.col("messages")[0]["content"]).cast("long").alias("n"))
+    c = table(spark, d, "conversations")
+    got = files.parse_prompts(c.select("conv_id", "turn", filled(list(PROMPTS), _line() % len(PROMPTS), "text").alias("value")))
+    return got.select("conv_id", "turn", "error", F.md5(F.col("messages")[0]["content"]).alias("prompt"))
+
+
+# Texts around a conversation's text, and whether they are strict JSON.
+STRICT = {
+    "TEXT": True, '{"a":TEXT}': True, '{"a":TEXT,"a":1}': False, '{"a":TEXT,"b":NaN}': False, '{"a":TEXT,"b":"NaN -Infinity 1e999"}': True, '{"a":TEXT,"b":1e999}': True, '{"a":[TEXT,-Infinity]}': False, '{"a":[{"b":TEXT,"b":TEXT}]}': False, '[{"b":TEXT},{"b":TEXT}]': True, "TEXT TEXT": False, "[TEXT": False,
+    '{"NaN":TEXT,"b":1E+400}': True, "[TEXT],[TEXT": False, '{"a":TEXT}}': False, "[TEXT,]": False, ' {"a" : TEXT }\n': True, "{'a':TEXT}": False,
+}
+
+
+@query("s02_strict_json", f"SELECT conv_id, turn, [{', '.join(str(x) for x in STRICT.values())}][{_LINE} % {len(STRICT)} + 1] AS ok FROM conversations")
+def s02(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", files.strict_json(filled(list(STRICT), _line() % len(STRICT), "text")).isNotNull().alias("ok"))
 
 
 @query("s05_exposition", "SELECT event_id, 'vllm:num_requests_running' AS family, 'engine=' || user_id || ',kind=' || event_type AS series, (event_id % 7)::DOUBLE AS number, CASE WHEN event_id % 11 = 0 THEN 'metrics_negative_value' END AS code FROM events WHERE event_id % 2 = 0")
@@ -415,32 +457,71 @@ def s09(spark, d):
     return table(spark, d, "orders").select(k.alias("id"), files.report_kind(F.element_at(F.array(F.lit("2.0"), F.lit("1.0"), F.lit("x")), (k % 3 + 1).cast("int"))).alias("kind"))
 
 
-@query("p04_payload_codes", "SELECT event_id, [NULL, 'invalid_json', 'missing_or_empty_choices', 'invalid_assistant_role', 'empty_completion_output', 'missing_usage', 'invalid_completion_tokens', 'unsupported_finish_reason'][event_id % 8 + 1] AS code FROM events")
-def p04(spark, d):
-    k = F.col("event_id") % 8
-    body = lambda choices, usage: F.lit('{"choices":' + choices + usage + "}")
-    good = '[{"index":0,"finish_reason":"stop","message":{"role":"assistant","content":"x"}}]'
-    use = ',"usage":{"prompt_tokens":1,"completion_tokens":2}'
-    kinds = [body(good, use), F.lit("{"), body("[]", use), body(good.replace("assistant", "user"), use), body(good.replace('"x"', '""'), use), body(good, ""), body(good, use.replace("2", "true")), body(good.replace('"stop"', '"tool_calls"'), use)]
-    return table(spark, d, "events").select("event_id", responses.payload_code(F.element_at(F.array(*kinds), (k + 1).cast("int"))).alias("code"))
+_ANSWER = '{"choices":[{"index":0,"finish_reason":"stop","message":{"role":"assistant","content":TEXT}}],"usage":{"prompt_tokens":1,"completion_tokens":WORDS}}'
+# One change of a sound answer for each code.
+_ANSWER_CHANGES = (
+    ("", "", None), ("WORDS}}", "WORDS}", "invalid_json"), ('"choices"', '"a":NaN,"choices"', "invalid_json"), (_ANSWER, "[TEXT]", "response_not_object"), ('{"choices"', '{"error":null,"choices"', "error_response_shape"), ('[{"index"', '[5,{"index"', "missing_or_empty_choices"), (_ANSWER, '{"choices":[]}', "missing_or_empty_choices"),
+    (_ANSWER, '{"choices":[TEXT]}', "choice_not_object"), ('"index":0', '"index":"0"', "invalid_choice_index"), ('"index":0,', "", "invalid_choice_index"), ('"stop"', '" "', "missing_finish_reason"), ('"stop"', "TEXT", "unsupported_finish_reason"), ('"message"', '"text"', "missing_assistant_message"),
+    ('"assistant"', '"user"', "invalid_assistant_role"), ("TEXT", '" \\u2003"', "empty_completion_output"), ("TEXT", "5", "empty_completion_output"), ('"usage"', '"use"', "missing_usage"), ("WORDS", "true", "invalid_completion_tokens"), ("WORDS", "0", "invalid_completion_tokens"), ('"prompt_tokens":1', '"prompt_tokens":1.0', "invalid_prompt_tokens"), ('"index":0', '"index":0.0', None),
+)
+ANSWERS = [_ANSWER.replace(old, new) if old else _ANSWER for old, new, _ in _ANSWER_CHANGES]
+_CAP = 60
 
 
-@query("p05_stream_codes", "SELECT conv_id, [NULL, 'stream_missing_done', 'output_before_assistant_role', 'stream_usage_before_finish', 'malformed_stream_json'][conv_id % 5 + 1] AS code FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("p04_payload_codes", f"WITH p AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS words, {code_list(c for *_, c in _ANSWER_CHANGES)}[{_LINE} % {len(ANSWERS)} + 1] AS wrong FROM conversations) SELECT conv_id, turn, CASE WHEN wrong IS NULL AND words > {_CAP} THEN 'reported_completion_tokens_exceed_request_cap' ELSE wrong END AS code FROM p")
+def p04(spark, d):
+    words = F.regexp_count("text", F.lit(r"[^ \t\n\f\r]+"))
+    body = F.replace(filled(ANSWERS, _line() % len(ANSWERS), "text"), F.lit("WORDS"), words.cast("string"))
+    return table(spark, d, "conversations").select("conv_id", "turn", responses.payload_code(body, max_tokens=_CAP).alias("code"))
+
+
+def _chunk(delta: str, finish: str = "null", index: str = "0") -> str:
+    return f'{{"choices":[{{"index":{index},"delta":{delta},"finish_reason":{finish}}}]}}'
+
+
+_ROLE, _SAID, _END, _USE = _chunk('{"role":"assistant"}'), _chunk('{"content":TEXT}'), _chunk("{}", '"stop"'), '{"choices":[],"usage":{"prompt_tokens":1,"completion_tokens":TURNS}}'
+#: Places of a stream: its role, its first text, what stands behind the texts, and three places behind the end.
+_AT = {"role": 0, "text": 1, "gap": 900, "finish": 1000, "late": 1001, "usage": 1002, "after": 1003, "done": 1004, "end": 1005}
+# What each kind of stream has at some places instead of a sound one's events (None: nothing), its code, and how many events more it has.
+STREAMS = (
+    ({}, None, 0), ({"done": None}, "stream_missing_done", -1), ({"end": "[DONE]"}, "duplicate_stream_done", 1), ({"end": _SAID}, "stream_data_after_done", 1), ({"gap": "{"}, "malformed_stream_json", 1), ({"gap": '{"a":1,"a":2}'}, "malformed_stream_json", 1), ({"gap": "[TEXT]"}, "stream_event_not_object", 1),
+    ({"gap": '{"error":null}'}, "stream_error_event", 1), ({"after": _USE}, "duplicate_stream_usage", 1), ({"gap": _USE}, "stream_usage_before_finish", 1), ({"usage": '{"choices":[],"usage":[]}'}, "missing_usage", 0), ({"usage": _USE.replace("TURNS", "true")}, "invalid_completion_tokens", 0),
+    ({"usage": _USE.replace(":1,", ":-1,")}, "invalid_prompt_tokens", 0), ({"gap": '{"choices":[]}'}, "empty_stream_event_without_usage", 1), ({"usage": _SAID[:-1] + ',"usage":{"prompt_tokens":1,"completion_tokens":2}}'}, "stream_usage_with_choice_data", 0), ({"after": _SAID}, "stream_choice_after_usage", 1), ({"late": _SAID}, "stream_choice_after_finish", 1),
+    ({"gap": '{"choices":TEXT}'}, "invalid_stream_choices", 1), ({"gap": _chunk("{}", index='"0"')}, "invalid_choice_index", 1), ({"finish": _chunk("{}", '" "')}, "invalid_finish_reason", 0), ({"finish": _chunk("{}", "TEXT")}, "unsupported_finish_reason", 0), ({"gap": _chunk("TEXT")}, "invalid_stream_delta", 1), ({"role": _chunk('{"role":null}')}, "invalid_assistant_role", 0),
+    ({"gap": _chunk('{"content":[TEXT]}')}, "invalid_stream_content_type", 1), ({"gap": _chunk('{"reasoning_content":5}')}, "invalid_stream_reasoning_type", 1), ({"role": None}, "output_before_assistant_role", -1), ({"finish": None, "usage": None}, "missing_finish_reason", -2), ({"usage": None}, "missing_usage", -1),
+    ({"gap": _chunk('{"reasoning_content":TEXT}')}, None, 1), ({"usage": _USE.replace("TURNS", "999")}, "reported_completion_tokens_exceed_request_cap", 0),
+)
+
+
+def streams(spark, d) -> DataFrame:
+    """Events of a stream for each conversation: every turn is a chunk of content; the conversation's number says what is changed."""
+    c = table(spark, d, "conversations")
+    kind = (F.col("conv_id") % len(STREAMS)).cast("int")
+    heads = c.groupBy("conv_id").agg(F.count("*").cast("string").alias("turns"), F.min_by("text", "turn").alias("text"))
+    sound = {"role": _ROLE, "finish": _END, "usage": _USE, "done": "[DONE]"}
+    rows = [(k, _AT[place], (sound | changes)[place]) for k, (changes, *_) in enumerate(STREAMS) for place in {**sound, **changes}]
+    places = F.broadcast(spark.createDataFrame([r for r in rows if r[2] is not None], "kind int, seq int, event string"))  # one row a kind and place
+    ends = heads.withColumn("kind", kind).join(places, "kind").select("conv_id", "seq", F.replace(F.replace("event", F.lit("TEXT"), quoted("text")), F.lit("TURNS"), F.col("turns")).alias("event"))
+    texts = c.select("conv_id", (F.col("turn") + 1).cast("int").alias("seq"), F.replace(F.lit(_SAID), F.lit("TEXT"), quoted("text")).alias("event"))
+    return texts.unionByName(ends)
+
+
+@query("p05_stream_codes", f"SELECT conv_id, {code_list(c for _, c, _ in STREAMS)}[conv_id % {len(STREAMS)} + 1] AS code, (count(*) + 4 + [{', '.join(str(n) for *_, n in STREAMS)}][conv_id % {len(STREAMS)} + 1])::BIGINT AS events FROM conversations GROUP BY conv_id")
 def p05(spark, d):
-    chunk = lambda delta, finish="null": '{"choices":[{"index":0,"delta":' + delta + ',"finish_reason":' + finish + "}]}"
-    role, said, end = chunk('{"role":"assistant"}'), chunk('{"content":"x"}'), chunk("{}", '"stop"')
-    use = '{"choices":[],"usage":{"prompt_tokens":1,"completion_tokens":2}}'
-    kinds = [[role, said, end, use, "[DONE]"], [role, said, end, use], [said, role, end, use, "[DONE]"], [role, said, use, end, "[DONE]"], [role, "{", end]]
-    c = table(spark, d, "conversations").select("conv_id").distinct()
-    rows = c.select("conv_id", F.posexplode(F.element_at(F.array(*[F.array(*[F.lit(x) for x in k]) for k in kinds]), (F.col("conv_id") % 5 + 1).cast("int"))).alias("seq", "event"))
-    return responses.check_streams(rows, "conv_id")
+    return responses.check_streams(streams(spark, d), "conv_id", max_tokens=99).select("conv_id", "code", "events")
+
 
+# Texts around a part's name, and whether they may be published.
+METADATA = (
+    ("NAME", True), ("NAME GPU (80GB)", True), ("NAME ", False), ("Bearer NAME", False), ("password: NAME", False), ("NAME api_key=x", False), ("https://NAME", False), ("../NAME", False), ("NAME/..", False), ("/NAME", False), ("see /NAME", False), ("C:/NAME", False), ("~/NAME", False), ("NAME\u0007", False), ("NAME\u2028b", False), ("NAME\u200bb", False),
+    ("ﬁne NAME", True), ("ＡＢ NAME", True), ("NAME\ue000", True), ("／NAME", False), ("ｐassword: NAME", False), ("user:pass@NAME", False), ("img:v1@sha256:0123456789abcdef", True), ("img:token@sha256:0123456789abcdef", False), ("hf_abcdefgh1234 NAME", False), ("NAME @ 3:4", True), ("unknown", True), ("Unknown", False), ("", False), ("NAME s3:x", False),
+)
 
-@query("p07_public_metadata", "SELECT o_orderkey AS id, o_orderkey % 5 = 0 AS safe FROM orders")
+
+@query("p07_public_metadata", f"WITH p AS (SELECT p_partkey AS id, replace([{', '.join(chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t, _ in METADATA)}][p_partkey % {len(METADATA)} + 1], 'NAME', p_name) AS t, [{', '.join(str(x) for _, x in METADATA)}][p_partkey % {len(METADATA)} + 1] AS safe FROM part) SELECT id, safe AND strlen(t) <= 256 AS safe FROM p")
 def p07(spark, d):
-    k = F.col("o_orderkey")
-    t = F.element_at(F.array(F.lit("A100 80GB"), F.lit("Bearer abcdefgh1234"), F.lit("https://x.example"), F.lit("../etc"), F.lit("a\u0007b")), (k % 5 + 1).cast("int"))
-    return table(spark, d, "orders").select(k.alias("id"), (text.safe_metadata(t) & text.plain_unicode(t)).alias("safe"))
+    at = F.element_at(F.array(*[F.lit(t) for t, _ in METADATA]), (F.col("p_partkey") % len(METADATA) + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.public_metadata(F.replace(at, F.lit("NAME"), F.col("p_name"))).alias("safe"))
 
 
 # --- order-dependent: checked by tests against plain Python ---------------------------------------------------------------------

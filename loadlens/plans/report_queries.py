@@ -234,12 +234,6 @@ def f14(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("s02_strict_json", "SELECT event_id, event_id % 5 = 0 AS ok FROM events")
-def s02(spark, d):
-    body = _pick(['{"a":1}', '{"a":1,"a":2}', '{"a":NaN}', '{"a":1} x', '{"a":1e999}'], F.col("event_id") % 5)
-    return table(spark, d, "events").select("event_id", files.strict_json(body).isNotNull().alias("ok"))
-
-
 @query("s07_imported_reports", "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'unsupported_report_version' WHEN 2 THEN 'inconsistent_report_totals' WHEN 3 THEN 'invalid_report_json' END AS code, CASE WHEN event_id % 4 < 3 THEN 2.0 END::DOUBLE AS duration FROM events")
 def s07(spark, d):
     ok = '{"metadata":{"version":2},"benchmarks":[{"duration":2.0,"metrics":{"request_totals":{"successful":3,"errored":1,"incomplete":0,"total":4}}}]}'

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loadlens.functions import stats, text
 from loadlens.operators import bottleneck, compare, diagnose, sampling
-from loadlens.operators.responses import stream_code
 from loadlens.sources import files
 from loadlens.streaming import cache
 
@@ -117,12 +116,6 @@ def test_report_tree_codes():
     assert files.tree_code('{"a": "' + "x" * 20000 + '"}') == "report_string_too_long"
 
 
-def test_strict_json(spark):
-    texts = ['{"a":1}', '{"a":1,"a":2}', '{"a":NaN}', '{"a":1} x', '{"a":1e400}', "", None, '{"a":"NaN"}']
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(files.strict_json("t").isNotNull().alias("ok")).collect()
-    assert [r["ok"] for r in got] == [True, False, False, False, False, False, False, True]
-
-
 def test_prompt_files(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"prompt": "a"}\n\n{"messages": []}\n{"messages": [{"role": "user", "content": "b"}]}\n{"prompt": "a", "messages": []}\n')
     got = files.read_prompts(spark, str(tmp_path)).orderBy("line").collect()
@@ -145,17 +138,6 @@ def test_imported_report(spark):
     assert [r["code"] for r in files.imported_report(df).collect()] == [None, "inconsistent_report_totals", "unsupported_report_version", "invalid_report_json"]
 
 
-def test_stream_codes():
-    chunk = lambda d, f="null": '{"choices":[{"index":0,"delta":' + d + ',"finish_reason":' + f + "}]}"
-    role, said, end, use = chunk('{"role":"assistant"}'), chunk('{"content":"x"}'), chunk("{}", '"stop"'), '{"choices":[],"usage":{"prompt_tokens":0,"completion_tokens":1}}'
-    assert stream_code([role, said, end, use, "[DONE]"]) is None
-    assert stream_code([role, said, end, use, "[DONE]", "[DONE]"]) == "duplicate_stream_done"
-    assert stream_code([role, said, end, use, use]) == "duplicate_stream_usage"
-    assert stream_code([role, end, use, "[DONE]"]) == "empty_completion_output"
-    assert stream_code([role, said, end, said]) == "stream_choice_after_finish"
-    assert stream_code([role, said, end, use.replace("1}", "true}")]) == "invalid_completion_tokens"
-
-
 def test_cache_rules():
     c = cache.Cache(ttl=10, size=2, threshold=0.5)
     c.put("a b c", 0)
