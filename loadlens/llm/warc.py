@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,9 @@ EOL = "\r\n"
 VERSION = f"WARC/1.1{EOL}"
 #: Address of a record whose page has none.
 NO_URL = "about:unknown"
+CONTROLS = re.compile(r"[\x00-\x20\x7F]")
+#: Bytes that no archive file exceeds (whole files are read when the index is built), unless one record does.
+MOST_BYTES = 1 << 30
 #: Fixed value of the standard: profile of a revisit that repeats a payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CAPTURE = pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64())])
@@ -66,10 +70,6 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT, few: int = BROADCAST_D
     return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_k.page_id")).alias("refers_to"), "_rid", F.when(again, F.col("_k._rid")).alias("_refers_rid"))
 
 
-def _header(name: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))).otherwise(F.lit(""))
-
-
 def _record_id(archive: str, rid: str) -> Column:
     """A record's identifier: a name-based UUID of the archive and the row."""
     digest = F.md5(F.concat_ws("/", F.lit(archive), F.col(f"{rid}.f"), F.col(f"{rid}.i")))
@@ -84,7 +84,7 @@ def write_archive(pages: DataFrame, least: int = LEAST_REVISIT, file_bytes: int
     """
     spark, archive = pages.sparkSession, str(uuid.uuid4())
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    total, n = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
+    total, n, longest = pages.agg(F.sum(F.octet_length("html")), F.count("*"), F.max(F.octet_length(F.concat_ws("", "html", "url")))).first()
     html = F.when(F.col("record_type") == "response", F.coalesce("html", F.lit(""))).otherwise(F.lit(""))
     url = F.coalesce("url", F.lit(NO_URL))
     for c in "\r\n":
@@ -96,12 +96,12 @@ def write_archive(pages: DataFrame, least: int = LEAST_REVISIT, file_bytes: int
         _header("WARC-Record-ID", _record_id(archive, "_rid")), _header("WARC-Date", F.lit(date)), _header("WARC-Target-URI", url),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         _header("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(PROFILE))), _header("WARC-Refers-To", F.when(F.col("record_type") == "revisit", _record_id(archive, "_refers_rid"))),
-        _header("X-Page-ID", F.col("page_id")), _header("X-Refers-To-Page-ID", F.col("refers_to")),
+        _header("X-Page-ID", F.col("page_id")), _header("X-Page-Without-URL", F.when(F.col("url").isNull(), "1")), _header("X-Refers-To-Page-ID", F.col("refers_to")),
         _header("Content-Type", F.lit("application/http; msgtype=response")), _header("Content-Length", stored), F.lit(EOL + EOL),
     )
     path = fresh_path(spark, "warc")
     records = planned(pages, least).select(F.concat(head, http, html).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", max(1, file_bytes * (n or 1) // max(1, (total or 0) + 700 * (n or 1)))).text(path)
+    records.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", max(1, min(file_bytes * (n or 1) // max(1, (total or 0) + 700 * (n or 1)), MOST_BYTES // ((longest or 0) + 1000)))).text(path)
     return path
 
 
@@ -122,22 +122,25 @@ def parsed(record: bytes) -> dict:
     if not whole or (kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest)) or (kind == "revisit" and payload):
         raise ValueError(f"damaged WARC record {fields.get('WARC-Record-ID')}")
     number = lambda x: int(x) if x is not None else None
-    url = fields["WARC-Target-URI"]
-    return {"page_id": number(fields.get("X-Page-ID")), "url": None if url == NO_URL else url, "record_type": kind, "refers_to": number(fields.get("X-Refers-To-Page-ID")), "payload_bytes": size, "payload_digest": digest, "payload": payload.decode("utf-8", "replace") if kind == "response" else None}
+    return {"page_id": number(fields.get("X-Page-ID")), "url": None if "X-Page-Without-URL" in fields else fields["WARC-Target-URI"], "record_type": kind, "refers_to": number(fields.get("X-Refers-To-Page-ID")), "payload_bytes": size, "payload_digest": digest, "payload": payload.decode("utf-8", "replace") if kind == "response" else None}
 
 
 def url_key(url: str | None) -> str:
-    """Sort key of an address: host labels reversed, then port, path and query; the scheme, user and fragment do not count."""
+    """Sort key of an address: host labels reversed, then port, path and query; the scheme, user and fragment do not count.
+
+    An address that cannot be split is its own key. Controls are percent-encoded, so that a key is one field of an index line.
+    """
     if not url:
         return ""
     try:
         parts = urlsplit(url)
         host, port = (parts.hostname or "").removeprefix("www."), parts.port
     except ValueError:
-        return url.lower()
-    default = {"http": 80, "https": 443}.get(parts.scheme)
-    key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port != default else "") + ")"
-    return key + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        key = url.lower()
+    else:
+        default = {"http": 80, "https": 443}.get(parts.scheme)
+        key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port != default else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return CONTROLS.sub(lambda m: f"%{ord(m[0]):02X}", key)
 
 
 def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
