@@ -22,12 +22,12 @@ STOP_WORDS = frozenset(
 RAW = frozenset("script style textarea template noscript iframe object svg math canvas select title xmp noembed noframes audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BAD_TAGS = frozenset("nav header footer aside form menu dialog button fieldset head datalist".split())
+BAD_TAGS = frozenset("nav header footer aside menu dialog button fieldset legend label head datalist".split())
 MAIN_TAGS = frozenset("article main".split())
 #: Never main text, whatever they hold: adverts, notices, reader comments.
 BARRED_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall "
-    "comment comments commentlist respond reply replies discussion disqus teaser teasers".split()
+    "comment comments commentlist respond reply replies discussion discussions disqus teaser teasers adsbygoogle doubleclick taboola outbrain".split()
 )
 #: Usually not main text, unless the page has no other.
 SIDE_WORDS = frozenset(
@@ -43,8 +43,11 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-PARTS = re.compile(r"[A-Za-z]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LETTERS = re.compile(r"[^\W\d_]+")
+LATIN = re.compile(r"[A-Za-z\u00C0-\u024F]+")
+#: Scripts without spaces: a character says about as much as three Latin ones.
+DENSE = re.compile(r"[\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]")
 
 #: Characters under which a block is short, and from which it is long.
 SHORT, LONG = 70, 200
@@ -54,33 +57,37 @@ STOP_LOW, STOP_HIGH, LINKED = 0.08, 0.2, 0.5
 BAD, GOOD, OPEN = -1, 1, 0
 #: Regions of a page.
 BARRED, SIDE, PLAIN, MAIN = -2, -1, 0, 1
+DOUBTFUL = 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("li dd dt td th".split())
 
 
 class _Block:
-    __slots__ = ("heading", "item", "linked", "links", "pieces", "region")
+    __slots__ = ("doubts", "heading", "item", "linked", "links", "pieces", "region")
 
-    def __init__(self, region: int, tag: str = ""):
+    def __init__(self, region: int, tag: str = "", doubts: tuple[int, ...] = ()):
         self.pieces: list[str] = []
         self.linked = self.links = 0
-        self.region, self.heading, self.item = region, tag in HEADINGS, tag in ITEMS
+        self.region, self.heading, self.item, self.doubts = region, tag in HEADINGS, tag in ITEMS, doubts
 
 
 def _kind(token: str) -> int:
-    """What a class, id or role says: a whole name counts, so all its words but neutral ones must be of the kind."""
-    words = [w for w in PARTS.findall(token.lower()) if w not in NEUTRAL_WORDS]
+    """What a class, id or role says: a whole name counts, so all its words but neutral ones must be of the kind. A barred word beside others makes it doubtful."""
+    words = [w for w in map(str.lower, PARTS.findall(token)) if w not in NEUTRAL_WORDS]
+    barred = any(w in BARRED_WORDS for w in words)
     if words and all(w in BARRED_WORDS or w in SIDE_WORDS for w in words):
-        return BARRED if any(w in BARRED_WORDS for w in words) else SIDE
+        return BARRED if barred else SIDE
+    if barred:
+        return DOUBTFUL
     return MAIN if words and all(w in MAIN_WORDS for w in words) else PLAIN
 
 
-def _region(tag: str, attrs: str, above: int, inside: bool) -> tuple[int, bool]:
-    """Region of an element's content, and whether it lies in the article."""
+def _region(tag: str, attrs: str, above: int, inside: bool) -> tuple[int, bool, bool]:
+    """Region of an element's content, whether it lies in the article, and whether the element is doubtful: a form, or with a barred word in a name of several."""
     if above == BARRED:
-        return BARRED, inside
+        return BARRED, inside, False
     if tag in BAD_TAGS and not (tag == "header" and inside):
-        return BARRED, inside
+        return BARRED, inside, False
     kinds: set[int] = set()
     if attrs and not attrs.isspace():
         for name, *values in ATTRIBUTE.findall(attrs):
@@ -88,26 +95,28 @@ def _region(tag: str, attrs: str, above: int, inside: bool) -> tuple[int, bool]:
             if name in ("class", "id", "role"):
                 kinds.update(map(_kind, value.split()))
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return BARRED, inside
+                return BARRED, inside, False
+    doubtful = tag == "form"
     if tag not in ("html", "body") and tag not in HEADINGS:
         if BARRED in kinds:
-            return BARRED, inside
+            return BARRED, inside, False
+        doubtful = doubtful or DOUBTFUL in kinds
         if SIDE in kinds and not (MAIN in kinds and inside):
-            return min(above, SIDE), inside
+            return min(above, SIDE), inside, doubtful
     if tag in MAIN_TAGS or (MAIN in kinds and tag in ("div", "section")):
-        return (MAIN, True) if above != SIDE else (SIDE, inside)
-    return above, inside
+        return (MAIN, True, doubtful) if above != SIDE else (SIDE, inside, doubtful)
+    return above, inside, doubtful
 
 
 def blocks(html: str) -> list[_Block]:
-    """The page's text blocks in order, each with its region (in the article, in boilerplate, or neither) and linked characters."""
+    """The page's text blocks in order, each with its region (in the article, in boilerplate, or neither), the doubtful elements around it and linked characters."""
     out: list[_Block] = []
-    stack: list[tuple[str, int, bool]] = [("", PLAIN, False)]
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", PLAIN, False, ())]
     now = _Block(PLAIN)
-    link, at, size = False, 0, len(html)
+    link, at, size, doubts = False, 0, len(html), 0
 
     def text(piece: str) -> None:
-        if stack[-1][1] < PLAIN <= now.region:  # an inline part of a block, such as an advert
+        if stack[-1][1] < PLAIN <= now.region or len(stack[-1][3]) > len(now.doubts):  # an inline part of a block, such as an advert
             return
         now.pieces.append(piece)
         if link:
@@ -117,7 +126,7 @@ def blocks(html: str) -> list[_Block]:
         nonlocal now
         if now.pieces:
             out.append(now)
-        now = _Block(stack[-1][1])
+        now = _Block(stack[-1][1], "", stack[-1][3])
 
     while at < size:
         m = TOKEN.search(html, at)
@@ -163,12 +172,15 @@ def blocks(html: str) -> list[_Block]:
             elif tag == "a":
                 link = True
                 now.links += 1
-            _, above, inside = stack[-1]
-            region = _region(tag, m["attrs"], above, inside)
-            if block or region != (above, inside):
-                stack.append((tag, *region))
+            _, above, inside, around = stack[-1]
+            region, within, doubtful = _region(tag, m["attrs"], above, inside)
+            if doubtful:
+                doubts += 1
+                around = (*around, doubts)
+            if block or doubtful or (region, within) != (above, inside):
+                stack.append((tag, region, within, around))
         if block:
-            now = _Block(stack[-1][1], stack[-1][0])
+            now = _Block(stack[-1][1], stack[-1][0], stack[-1][3])
     close()
     return out
 
@@ -179,10 +191,17 @@ def _decided(block: _Block, text: str) -> int:
     The region only shifts what is asked: in the article a link of its own or a block without stop words stays open.
     """
     size, main = len(text), block.region == MAIN
+    other = False
+    if not text.isascii():
+        size += 2 * len(DENSE.findall(text))
+        letters = sum(map(len, LETTERS.findall(text)))
+        other = 2 * sum(map(len, LATIN.findall(text))) < letters  # a script that the stop words do not speak of
     if block.linked > LINKED * max(1, sum(map(len, block.pieces))):
         return BAD if not main or block.item or block.links > 1 else OPEN
     if size < SHORT:
         return OPEN
+    if other:
+        return GOOD
     words = [w.lower() for w in LETTERS.findall(text)]
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if stops >= STOP_HIGH:
@@ -219,16 +238,36 @@ def _inherited(i: int, before: tuple[int, int] | None, after: tuple[int, int] |
     return min(sides, key=lambda x: (abs(x[0] - i), -x[1]))[1]
 
 
+def _undoubted(found: list[tuple[_Block, str]], labels: list[int]) -> list[tuple[_Block, str]]:
+    """The blocks that lie in no doubtful element, save in one that holds most of the page's running text while no running text of an article lies outside it."""
+    total, inside, articles, article = 0, {}, {}, 0
+    for (b, t), label in zip(found, labels, strict=True):
+        if label != GOOD and b.doubts:
+            inside.setdefault(b.doubts[-1], 0)
+        if label == GOOD:
+            total += len(t)
+            article += len(t) if b.region == MAIN else 0
+            for d in b.doubts:
+                inside[d] = inside.get(d, 0) + len(t)
+                articles[d] = articles.get(d, 0) + (len(t) if b.region == MAIN else 0)
+    kept = {d for d, n in inside.items() if 2 * n > total and article == articles.get(d, 0)}
+    return [x for x in found if all(d in kept for d in x[0].doubts)]
+
+
 def extract(html: str | None) -> str:
     """The main text of a page: its article's blocks, each on one line.
 
     Blocks are labelled by density and neighbours. Parts whose names say that they are beside the main text drop out, unless no
     other part holds any. Where a named article holds most of the running text, only its blocks are main text; a named
-    article that does not (a card, say) is read like the rest. Null and empty pages give an empty text, equal pages equal texts. Markup may
+    article that does not (a card, say) is read like the rest. Forms and parts with a barred word among the words of their name drop out unless they hold
+    most of the running text. Blocks in scripts that the stop words do not cover are decided by length and links alone. Null and empty pages give an empty text, equal pages equal texts. Markup may
     be broken or cut off anywhere: open elements end with the page. Very long pages are read in one pass, a block at a time.
     """
     found = [(b, text) for b in blocks(html or "") if b.region != BARRED and (text := " ".join(unescape("".join(b.pieces)).split()))]
+    found = _undoubted(found, [_decided(b, text) for b, text in found])
     labels = [_decided(b, text) for b, text in found]
+    if GOOD not in labels:  # words say nothing here: what is no list of links and not short is running text
+        labels = [GOOD if label == BAD and len(t) >= SHORT and 2 * b.linked <= sum(map(len, b.pieces)) else label for (b, t), label in zip(found, labels, strict=True)]
     running = lambda keep: sum(len(t) for (b, t), label in zip(found, labels, strict=True) if label == GOOD and keep(b.region))
     sides = any(b.region == SIDE for b, _ in found) and not running(lambda r: r >= PLAIN) and running(lambda r: r == SIDE) > 0
     named = running(lambda r: r == MAIN)
