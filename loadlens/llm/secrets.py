@@ -79,7 +79,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, strings: int = TRAIN_STRINGS)
     digests = spark.range(strings).select(F.sha2(F.concat(F.lit("s"), F.col("id")), 512).alias("h"))
     one = digests.select(F.explode(F.array(F.regexp_replace(F.base64(F.unhex("h")), "=", ""), F.substring("h", 1, 48))).alias("w"), F.lit(1).alias("y"))
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) * F.lit(docs.count())
-    picked = docs.where(F.col("text").isNotNull() & (share < rows * 1_000_000)).select("text").limit(4 * rows)
+    picked = docs.where(F.col("text").isNotNull() & (share < rows * 1_000_000)).orderBy(F.xxhash64("doc_id", "text"), "text").select("text").limit(4 * rows)  # equal rows are alike, so the choice is the same whenever it is made
     plain = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_-])[A-Za-z][A-Za-z_-]+(?![A-Za-z0-9+/_-])"), F.lit(0))).alias("w"), F.lit(0).alias("y"))
     names = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in IDENTIFIERS])).alias("w")).select(F.explode(F.array_repeat("w", 20)).alias("w"), F.lit(0).alias("y"))
     counts = one.unionByName(plain).unionByName(names).select("y", F.explode(_pairs(F.col("w"))).alias("b")).groupBy("b").agg(F.count_if(F.col("y") == 1).alias("r"), F.count_if(F.col("y") == 0).alias("o"))
