@@ -16,6 +16,8 @@ from loadlens.llm.common import WORD, table
 LEAST_WORDS, LEAST_PERIODS = 6, 4
 #: Rounds of cutting texts at words that are too rare for a run. They only save work: a cut never goes through a run.
 CUTS = 8
+#: Words whose numbers a task holds at once, unless one text has more.
+AT_ONCE = 1 << 18
 _MOD, _BASE = (1 << 61) - 1, 1_000_003_337
 _NEAR = 4
 
@@ -159,8 +161,17 @@ def periodic_runs(rows: DataFrame, words: str = "words", keep: Sequence[str] = (
     kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "runs array<struct<start:bigint,length:bigint,period:bigint>>", "collapsed string"])
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Slices of about AT_ONCE words; a longer text is one of its own."""
+        after = np.cumsum(pc.list_value_length(batch.column("_w")).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(after):
+            high = max(low + 1, int(np.searchsorted(after, (after[low - 1] if low else 0) + AT_ONCE, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             column = batch.column("_w")
             sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)])

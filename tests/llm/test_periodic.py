@@ -102,3 +102,10 @@ def test_extra_columns_and_nulls(spark):
     rows = spark.createDataFrame([(1, ["a", "b"] * 4 + ["c"], "x"), (None, None, "y"), (2, [], None)], "doc_id long, words array<string>, runs string")
     got = {r["doc_id"]: r for r in periodic.periodic_runs(rows).collect()}
     assert [tuple(r) for r in got[1]["runs"]] == [(0, 8, 2)] and got[1]["collapsed"] == "a b c" and got[None]["runs"] == [] and got[2]["collapsed"] == ""
+
+
+def test_slices_of_a_batch(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, ["a", "b"] * (i % 5) + ["c"] * (i % 7)) for i in range(40)] + [(99, ["x"] * 50)], "doc_id long, words array<string>").coalesce(1)
+    whole = sorted(map(str, periodic.periodic_runs(rows).collect()))
+    monkeypatch.setattr(periodic, "AT_ONCE", 9)
+    assert sorted(map(str, periodic.periodic_runs(rows).collect())) == whole
