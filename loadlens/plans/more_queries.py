@@ -184,11 +184,11 @@ def r01(spark, d):
     return diagnose.classify(probes, ["run"]).select("run", "classification", "scaling_efficiency", "ttft_dominance", "tpot_cv")
 
 
-def _windows(spark, d) -> DataFrame:
-    """Windows made of orders: every rule is met by some and broken by others."""
-    k = F.col("o_orderkey")
+def _windows(spark, d, source: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """Windows made of orders (or another table): every rule is met by some and broken by others."""
+    k = F.col(key)
     m = lambda a, b: (k * a) % b
-    o = table(spark, d, "orders")
+    o = table(spark, d, source)
     w = o.select(
         k.alias("id"), (4.0 + m(1, 9)).alias("elapsed_seconds"), (4 + m(3, 11)).cast("int").alias("observations"), (28 + m(5, 40)).alias("requests_finished"), F.when(m(1, 31) != 0, m(7, 5) * 0 + F.when(m(1, 4) == 0, 3).otherwise(0)).cast("long").alias("preemptions"),
         F.when(m(1, 17) == 0, "operator_attested").otherwise("runtime_verified").alias("flags_provenance"), F.when(m(1, 19) == 0, "unconfirmed").otherwise("operator_attested_exclusive").alias("traffic_scope"), F.when(m(1, 23) == 0, 1).otherwise(0).alias("failed_requests"),
