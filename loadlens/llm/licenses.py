@@ -139,8 +139,9 @@ t AS (SELECT t, label, whole, base, {words("text")} AS w, CASE WHEN whole THEN {
 p AS (SELECT t, k, label, whole, base, len(w) AS n, unnest(range(len(w) - k + 1)) AS o, w FROM t),
 q AS (SELECT t, k, label, whole, base, n, o, array_to_string(w[o + 1:o + k], ' ') AS g FROM p),
 d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
-e AS (SELECT r, w, unnest(range(len(w))) AS a FROM d),
-m AS (SELECT r, a, k.k, array_to_string(w[a + 1:a + k.k], ' ') AS g FROM e, (VALUES ({PHRASE_GRAM}), ({TEXT_GRAM})) k(k) WHERE a + k.k <= len(w)),
+e AS (SELECT r, unnest(w) AS w0, unnest(range(len(w))) AS a FROM d),
+l AS (SELECT r, a, w0, lead(w0) OVER x AS w1, lead(w0, 2) OVER x AS w2, lead(w0, 3) OVER x AS w3 FROM e WINDOW x AS (PARTITION BY r ORDER BY a)),
+m AS (SELECT r, a, 2 AS k, w0 || ' ' || w1 AS g FROM l WHERE w1 IS NOT NULL UNION ALL SELECT r, a, 4, w0 || ' ' || w1 || ' ' || w2 || ' ' || w3 FROM l WHERE w3 IS NOT NULL),
 v AS (SELECT r, q.t, label, whole, base, n, q.k, a - o AS diag, o, a FROM m JOIN q ON m.g = q.g AND m.k = q.k),
 x AS (SELECT *, CASE WHEN lag(diag) OVER w = diag THEN 0 WHEN NOT whole AND diag - lag(diag) OVER w <= {SLACK} THEN 0 ELSE 1 END AS new FROM v WINDOW w AS (PARTITION BY r, t ORDER BY diag, o)),
 y AS (SELECT *, sum(new) OVER (PARTITION BY r, t ORDER BY diag, o ROWS UNBOUNDED PRECEDING) AS run FROM x),
