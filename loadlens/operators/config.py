@@ -1,4 +1,4 @@
-"""Validation of run configurations before any traffic: the first fault of each."""
+"""Validation of run configurations before any traffic: the code of the first fault of each."""
 
 from __future__ import annotations
 
@@ -37,11 +37,11 @@ def _load_fault(conditions: Column, most: Column) -> Column:
 
     def fault(c, i):
         return (
-            F.when(_no(c["kind"].isin(*KINDS)), "unsupported traffic kind").when(_no(_finite(c["value"]) & (c["value"] > 0)), "load condition values must be positive and finite")
-            .when(_no(c["max_in_flight"] > 0), "condition max_in_flight must be a positive integer").when(c["max_in_flight"] > most, "load condition exceeds max_concurrency safety limit")
-            .when(closed(c) & ~whole(c), "closed-loop concurrency must be an integer").when(closed(c) & (c["value"] > most), "concurrency exceeds max_concurrency safety limit")
-            .when(closed(c) & (c["max_in_flight"] != c["value"]), "closed-loop max_in_flight must equal its concurrency")
-            .when(F.exists(before(i), lambda b: (b["kind"] == c["kind"]) & (b["value"] == c["value"])), "load condition values must be unique")
+            F.when(_no(c["kind"].isin(*KINDS)), "load_kind").when(_no(_finite(c["value"]) & (c["value"] > 0)), "load_value")
+            .when(_no(c["max_in_flight"] > 0), "load_in_flight").when(c["max_in_flight"] > most, "load_in_flight_over_limit")
+            .when(closed(c) & ~whole(c), "load_value_not_whole").when(closed(c) & (c["value"] > most), "load_value_over_limit")
+            .when(closed(c) & (c["max_in_flight"] != c["value"]), "load_in_flight_not_value")
+            .when(F.exists(before(i), lambda b: (b["kind"] == c["kind"]) & (b["value"] == c["value"])), "load_value_repeated")
         )
 
     return F.try_element_at(F.filter(F.transform(conditions, fault), lambda x: x.isNotNull()), F.lit(1))
@@ -53,24 +53,59 @@ def planned_requests(c: Column) -> Column:
 
 
 def first_fault(c: Column, traffic: bool = True) -> Column:
-    """The first fault of a configuration (CONFIG), null if it is sound. Without ``traffic`` what only a live run needs is not asked."""
+    """The code of the first fault of a configuration (CONFIG), null if it is sound. Without ``traffic`` what only a live run needs is not asked."""
     live, positive = F.lit(traffic), lambda x: _finite(x) & (x > 0)
     limits, planned = c["limits"], planned_requests(c)
     return (
-        F.when(_no(c["mode"].isin(*MODES)), "mode must be smoke or benchmark").when(_no(c["backend"].isin(*BACKENDS)), "backend must be native or guidellm").when(c["stream"].isNull(), "stream must be a boolean")
-        .when(live & (c["backend"] == "guidellm") & _no(c["gaps_acknowledged"]), "GuideLLM cannot enforce strict completion shape or max response bytes; pass --allow-guidellm-validation-gaps for cross-check-only traffic")
-        .when(_no(F.trim(c["model"]) != ""), "model must not be empty").when(text.chat_url(c["url"]).isNull(), "endpoint must be a safe address").when(live & _no(c["api_key"] != ""), "API key must not be empty")
-        .when(_no(c["max_tokens"] > 0), "max_tokens must be a positive integer").when(c["max_tokens"] > limits["max_tokens_per_request"], "max_tokens exceeds max_tokens_per_request safety limit")
-        .when(_no(F.size(c["conditions"]) > 0), "at least one load condition is required").when(_load_fault(c["conditions"], limits["max_concurrency"]).isNotNull(), _load_fault(c["conditions"], limits["max_concurrency"]))
-        .when(F.size(F.array_distinct(F.transform(c["conditions"], lambda x: x["kind"]))) != 1, "one run cannot mix closed-loop and open-loop conditions").when(_no(c["blocks"] > 0), "blocks must be a positive integer")
-        .when((c["mode"] == "smoke") & (c["blocks"] != 1), "smoke mode always uses one measured block").when((c["mode"] == "benchmark") & (c["blocks"] < LEAST_BLOCKS), "benchmark mode requires at least three repeated blocks")
-        .when(c["requests_per_block"].isNull() & c["block_duration_seconds"].isNull(), "provide a request or duration bound per block").when(c["requests_per_block"].isNotNull() & c["block_duration_seconds"].isNotNull(), "choose either a request bound or a duration bound per block")
-        .when(c["requests_per_block"] <= 0, "requests_per_block must be a positive integer").when(c["block_duration_seconds"].isNotNull() & _no(positive(c["block_duration_seconds"])), "block_duration_seconds must be positive and finite")
-        .when(_no(c["warmup_requests"] >= 0), "warmup_requests_per_condition must be non-negative").when(_no(positive(c["timeout_seconds"])), "request_timeout_seconds must be positive and finite")
-        .when(c["p95_slo_ms"].isNotNull() & _no(positive(c["p95_slo_ms"])), "p95_slo_ms must be positive and finite").when(c["ttft_slo_ms"].isNotNull() & _no(positive(c["ttft_slo_ms"])), "ttft_slo_ms must be positive and finite")
-        .when(c["seed"].isNull(), "seed must be an integer").when(_no(c["cache_policy"].isin(*CACHE_POLICIES)), "unsupported cache policy").when(_no(c["evidence_source"].isin(*EVIDENCE)), "unsupported evidence source")
-        .when(_no(c["flags_provenance"].isin(*PROVENANCE)), "unsupported engine flag provenance").when(live & (planned > limits["max_requests"]), "planned inference requests exceed max_requests")
-        .when(live & (planned * c["max_tokens"] > limits["max_total_requested_tokens"]), "planned requested output tokens exceed the total token limit")
-        .when(live & c["cost_upper_bound"].isNull() & _no(c["unknown_cost_allowed"]), "the selected billing model cannot enforce max spend; pass --allow-unknown-cost to acknowledge this explicitly")
-        .when(live & (c["cost_upper_bound"] > limits["max_estimated_spend"]), "known pre-run cost ceiling exceeds max_estimated_spend")
+        F.when(_no(c["mode"].isin(*MODES)), "config_mode").when(_no(c["backend"].isin(*BACKENDS)), "config_backend").when(c["stream"].isNull(), "config_stream")
+        .when(live & (c["backend"] == "guidellm") & _no(c["gaps_acknowledged"]), "config_gaps_not_acknowledged")
+        .when(_no(F.trim(c["model"]) != ""), "config_model").when(text.chat_url(c["url"]).isNull(), "config_address").when(live & _no(c["api_key"] != ""), "config_key")
+        .when(_no(c["max_tokens"] > 0), "config_max_tokens").when(c["max_tokens"] > limits["max_tokens_per_request"], "config_max_tokens_over_limit")
+        .when(_no(F.size(c["conditions"]) > 0), "config_no_conditions").when(_load_fault(c["conditions"], limits["max_concurrency"]).isNotNull(), _load_fault(c["conditions"], limits["max_concurrency"]))
+        .when(F.size(F.array_distinct(F.transform(c["conditions"], lambda x: x["kind"]))) != 1, "config_mixed_loops").when(_no(c["blocks"] > 0), "config_blocks")
+        .when((c["mode"] == "smoke") & (c["blocks"] != 1), "config_smoke_blocks").when((c["mode"] == "benchmark") & (c["blocks"] < LEAST_BLOCKS), "config_benchmark_blocks")
+        .when(c["requests_per_block"].isNull() & c["block_duration_seconds"].isNull(), "config_no_block_bound").when(c["requests_per_block"].isNotNull() & c["block_duration_seconds"].isNotNull(), "config_two_block_bounds")
+        .when(c["requests_per_block"] <= 0, "config_requests_per_block").when(c["block_duration_seconds"].isNotNull() & _no(positive(c["block_duration_seconds"])), "config_block_duration")
+        .when(_no(c["warmup_requests"] >= 0), "config_warmups").when(_no(positive(c["timeout_seconds"])), "config_timeout")
+        .when(c["p95_slo_ms"].isNotNull() & _no(positive(c["p95_slo_ms"])), "config_p95_slo").when(c["ttft_slo_ms"].isNotNull() & _no(positive(c["ttft_slo_ms"])), "config_ttft_slo")
+        .when(c["seed"].isNull(), "config_seed").when(_no(c["cache_policy"].isin(*CACHE_POLICIES)), "config_cache_policy").when(_no(c["evidence_source"].isin(*EVIDENCE)), "config_evidence_source")
+        .when(_no(c["flags_provenance"].isin(*PROVENANCE)), "config_flags_provenance").when(live & (planned > limits["max_requests"]), "config_requests_over_limit")
+        .when(live & (planned * c["max_tokens"] > limits["max_total_requested_tokens"]), "config_tokens_over_limit")
+        .when(live & c["cost_upper_bound"].isNull() & _no(c["unknown_cost_allowed"]), "config_unknown_cost_not_allowed")
+        .when(live & (c["cost_upper_bound"] > limits["max_estimated_spend"]), "config_cost_over_limit")
     )
+
+
+#: Fields of a billing model and of safety limits.
+COST = "struct<currency:string,kind:string,total_hourly_rate:double,active_second_rate:double,max_active_workers:bigint,billed_active_seconds:double,user_supplied_total:double,gpu_count:bigint>"
+LIMITS = "struct<max_requests:bigint,max_tokens_per_request:bigint,max_total_requested_tokens:bigint,max_concurrency:bigint,max_response_bytes:bigint,max_errors:bigint,max_elapsed_seconds:double,max_estimated_spend:double>"
+#: What each billing model needs; everything else of a cost has to be absent.
+BILLING = {"unknown": (), "dedicated_hourly": ("total_hourly_rate", "gpu_count"), "serverless_active_seconds": ("active_second_rate", "max_active_workers"), "user_supplied": ("user_supplied_total",)}
+_PRICES = ("total_hourly_rate", "active_second_rate", "max_active_workers", "billed_active_seconds", "user_supplied_total", "gpu_count")
+
+
+def cost_fault(c: Column) -> Column:
+    """The code of the first fault of a billing model (COST): currency, kind, what the kind needs, and what belongs to another kind. Null if it is sound."""
+    code = F.when(_no(c["currency"] == "USD"), "cost_currency").when(_no(c["kind"].isin(*BILLING)), "cost_kind")
+    for kind, needed in BILLING.items():
+        mine = c["kind"] == kind
+        for name in needed:
+            code = code.when(mine & _no(_finite(c[name].cast("double")) & (c[name] > 0)), f"cost_{name}")
+        if kind == "serverless_active_seconds":  # billed seconds may be known, from zero on
+            code = code.when(mine & c["billed_active_seconds"].isNotNull() & _no(_finite(c["billed_active_seconds"]) & (c["billed_active_seconds"] >= 0)), "cost_billed_active_seconds")
+        other = F.lit(False)
+        for name in _PRICES:
+            if name not in needed and not (kind == "serverless_active_seconds" and name == "billed_active_seconds"):
+                other = other | c[name].isNotNull()
+        code = code.when(mine & other, "cost_of_another_model")
+    return code
+
+
+def limits_fault(c: Column) -> Column:
+    """The code of the first limit (LIMITS) that is not positive and finite, in their order. Null if all are."""
+    code = None
+    for field in LIMITS.removeprefix("struct<").removesuffix(">").split(","):
+        name = field.split(":")[0]
+        bad = _no(_finite(c[name].cast("double")) & (c[name] > 0))
+        code = F.when(bad, f"limit_{name}") if code is None else code.when(bad, f"limit_{name}")
+    return code

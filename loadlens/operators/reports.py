@@ -255,6 +255,37 @@ def run_decision_reasons(**checks: Column) -> Column:
     return stats.reasons(*[(no(c), code) for code, c in checks.items()])
 
 
+def finalize(runs: DataFrame) -> DataFrame:
+    """Runs with what closes them: status, stop_reason, best_state, best_reason, reasons (sorted) against deciding from them, decision_eligible and cost of a million tokens.
+
+    Columns read: mode, status, stop_reason, elapsed_seconds, max_elapsed_seconds, spend_estimate, max_estimated_spend, conditions and graded (numbers of conditions and of those that are decision-grade),
+    best_state, backend, stream, evidence_source, flags_provenance, cache_policy, model_revision, server_version, warmup_prompts_disjoint, manifest_version, runtime (RUNTIME), total_cost and
+    completion_tokens. Columns that null is in count as not fulfilled. A run that has crossed its time or its spend is stopped, whatever its runner said; one that is not
+    complete has no best condition, and a supported one of a run that cannot decide becomes inconclusive.
+    """
+    c = F.col
+    limit = F.when(c("elapsed_seconds") >= c("max_elapsed_seconds"), "max_elapsed_time").when(c("spend_estimate") >= c("max_estimated_spend"), "max_estimated_spend")
+    crossed = (c("status") == "complete") & (c("stop_reason").isNotNull() | limit.isNotNull())
+    closed = runs.withColumns({"_status": F.when(crossed, "stopped").otherwise(c("status")), "_stop": F.when(crossed, F.coalesce("stop_reason", limit)).otherwise(c("stop_reason"))})
+    complete = c("_status") == "complete"
+    best = F.when(no(complete), "inconclusive").when(no(c("conditions") > 0), "not_evaluated").otherwise(c("best_state"))
+    provenance = F.coalesce(runtime_reasons(c("runtime"), c("manifest_version")), F.array(F.lit("complete_runtime_provenance_required")))
+    why = stats.reasons(
+        (no(c("mode") == "benchmark"), "smoke_mode_is_not_decision_grade"), (no(complete), "run_is_not_complete"), (no((c("conditions") > 0) & (c("graded") == c("conditions"))), "one_or_more_conditions_are_not_decision_grade"),
+        (no(best == "supported"), "best_tested_result_is_not_statistically_supported"), (no(c("backend") == "native"), "strict_native_completion_validation_required"), (no(c("stream")), "streaming_required_for_decision_grade"), (no(c("evidence_source") == "live_inference"), "live_inference_evidence_required"),
+        (no(c("flags_provenance") == "runtime_verified"), "runtime_verified_engine_flags_required"), (no(c("cache_policy") != "unknown"), "explicit_cache_policy_required"), (~text.immutable_revision("model_revision"), "immutable_model_revision_required"), (no(c("server_version") != "unknown"), "complete_runtime_provenance_required"),
+        (no(c("warmup_prompts_disjoint")), "warmup_prompts_must_be_disjoint"),
+    )
+    done = closed.withColumn("_best", best).withColumn("reasons", F.array_sort(F.array_union(why, provenance)))
+    demoted = (c("_best") == "supported") & (F.size("reasons") > 0)
+    out = {
+        "status": c("_status"), "stop_reason": c("_stop"), "best_state": F.when(demoted, "inconclusive").otherwise(c("_best")),
+        "best_reason": F.when(demoted, "run_manifest_or_evidence_is_not_decision_eligible").when(no(c("_status") == "complete"), "partial_or_failed_run").when(no(c("conditions") > 0), "no_completed_conditions"),
+        "decision_eligible": F.size("reasons") == 0, "cost_per_million_output_tokens": F.when(c("completion_tokens") > 0, c("total_cost") / c("completion_tokens") * 1_000_000.0),
+    }
+    return done.withColumns(out).drop("_status", "_stop", "_best")
+
+
 def treatment(baseline: Column, candidate: Column) -> Column:
     """Struct of baseline and candidate values of the one flag (max-num-seqs) in which two flag maps differ; null if anything else does."""
     norm = lambda flags: F.map_from_entries(F.transform(F.map_entries(flags), lambda e: F.struct(text.flag_name(e["key"]).alias("key"), e["value"].alias("value"))))

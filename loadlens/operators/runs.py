@@ -204,19 +204,45 @@ def merge_summaries(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return summaries.groupBy(*keys).agg(F.sum("count").cast("long").alias("count"), mean.alias("mean")).select("*", *none)
 
 
-def running_budget(requests: DataFrame, keys: list[str], order: list[str], requests_limit: int, tokens_limit: int, errors_limit: int) -> DataFrame:
-    """Running requests, tokens and errors in launch order, and the code of the first limit that each row stands at (null before)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = requests.withColumns({"run_requests": F.count("*").over(w), "run_tokens": F.coalesce(F.sum("completion_tokens").over(w), F.lit(0)).cast("long"), "run_errors": F.count_if(~valid()).over(w)})
+def prefix_sums(rows: DataFrame, keys: list[str], order: list[str], slot: Column, sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running sums by ``keys`` in ``order``, in two passes, so that a group of any length is many tasks.
+
+    ``slot`` cuts the order into pieces: it must not decrease along ``order`` (an hour of a time, a million of a number). Each piece is summed up on
+    its own, sums before it are carried from the pieces before (one row a piece, combined before the shuffle), and the running sum inside a piece
+    is a window of that piece alone. Null values count as zero.
+    """
+    given = rows.withColumns({"_slot": slot, **{f"_v{i}": F.coalesce(v, F.lit(0)) for i, v in enumerate(sums.values())}})
+    pieces = given.groupBy(*keys, "_slot").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(sums))])
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_at"), *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_c{i}") for i in range(len(sums))])
+    within = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = given.withColumns({f"_r{i}": F.sum(f"_v{i}").over(within) for i in range(len(sums))})
+    same = F.col("_slot").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return inside.join(carried, same).select(*rows.columns, *[(F.col(f"_r{i}") + F.col(f"_c{i}")).cast("long").alias(name) for i, name in enumerate(sums)])
+
+
+def running_budget(requests: DataFrame, keys: list[str], order: list[str], requests_limit: int, tokens_limit: int, errors_limit: int, slot: Column | None = None) -> DataFrame:
+    """Running requests, tokens and errors in launch order, and the code of the first limit that each row stands at (null before). With ``slot`` a run is many tasks (``prefix_sums``)."""
+    sums = {"run_requests": F.lit(1), "run_tokens": F.col("completion_tokens"), "run_errors": (~valid()).cast("int")}
+    out = prefix_sums(requests, keys, order, F.lit(0) if slot is None else slot, sums)
     stop = F.when(F.col("run_requests") >= requests_limit, "max_requests").when(F.col("run_tokens") >= tokens_limit, "max_output_tokens").when(F.col("run_errors") >= errors_limit, "max_errors")
     return out.withColumn("stop", stop)
 
 
-def peak_in_flight(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Most spans open at once per group, by a sweep over starts and ends; a span that ends when another starts is closed first."""
+def peak_in_flight(spans: DataFrame, keys: list[str], start: str, end: str, width: int | None = None) -> DataFrame:
+    """Most spans open at once per group, by a sweep over starts and ends; a span that ends when another starts is closed first.
+
+    With ``width`` (of start and end, whole numbers) the sweep is cut into pieces of that width: each gives its own change and its highest prefix, and
+    the peak is the highest of these above what the pieces before carry, so a group of any length is many tasks.
+    """
     events = spans.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e"))
-    w = Window.partitionBy(*keys).orderBy("e.t", "e.d").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("_open", F.sum("e.d").over(w)).groupBy(*keys).agg(F.max("_open").cast("long").alias("peak_in_flight"))
+    slot = F.lit(0) if width is None else F.floor(F.col("e.t") / width)
+    inside = Window.partitionBy(*keys, "_slot").orderBy("e.t", "e.d").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = events.withColumn("_slot", slot).withColumn("_open", F.sum("e.d").over(inside)).groupBy(*keys, "_slot").agg(F.sum("e.d").alias("_d"), F.max("_open").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("_peak", F.col("_top") + F.coalesce(F.sum("_d").over(before), F.lit(0))).groupBy(*keys).agg(F.max("_peak").cast("long").alias("peak_in_flight"))
 
 
 def first_output(chunks: DataFrame, starts: DataFrame, keys: list[str], at: str, output: str, started: str) -> DataFrame:

@@ -60,9 +60,9 @@ _SOUND = {
 
 
 @query("p06_config", """WITH x AS (SELECT p_partkey AS id, p_size AS size, p_partkey % 9 - 1 AS tokens, p_partkey % 11 AS load, p_partkey % 7 AS flight, p_partkey % 5 AS blocks, p_retailprice / 400 AS cost FROM part)
-SELECT id, CASE WHEN tokens * 64 <= 0 THEN 'max_tokens must be a positive integer' WHEN tokens * 64 > 256 THEN 'max_tokens exceeds max_tokens_per_request safety limit' WHEN load / 2 <= 0 THEN 'load condition values must be positive and finite' WHEN flight <= 0 THEN 'condition max_in_flight must be a positive integer'
-WHEN load % 2 = 1 THEN 'closed-loop concurrency must be an integer' WHEN flight <> load / 2 THEN 'closed-loop max_in_flight must equal its concurrency' WHEN blocks = 0 THEN 'blocks must be a positive integer' WHEN blocks < 3 THEN 'benchmark mode requires at least three repeated blocks'
-WHEN blocks * size * 3 + 5 > 500 THEN 'planned inference requests exceed max_requests' WHEN (blocks * size * 3 + 5) * tokens * 64 > 60000 THEN 'planned requested output tokens exceed the total token limit' WHEN cost > 5 THEN 'known pre-run cost ceiling exceeds max_estimated_spend' END AS fault FROM x""")
+SELECT id, CASE WHEN tokens * 64 <= 0 THEN 'config_max_tokens' WHEN tokens * 64 > 256 THEN 'config_max_tokens_over_limit' WHEN load / 2 <= 0 THEN 'load_value' WHEN flight <= 0 THEN 'load_in_flight'
+WHEN load % 2 = 1 THEN 'load_value_not_whole' WHEN flight <> load / 2 THEN 'load_in_flight_not_value' WHEN blocks = 0 THEN 'config_blocks' WHEN blocks < 3 THEN 'config_benchmark_blocks'
+WHEN blocks * size * 3 + 5 > 500 THEN 'config_requests_over_limit' WHEN (blocks * size * 3 + 5) * tokens * 64 > 60000 THEN 'config_tokens_over_limit' WHEN cost > 5 THEN 'config_cost_over_limit' END AS fault FROM x""")
 def p06(spark, d):
     k = F.col("p_partkey")
     c = F.from_json(F.lit(json.dumps(_SOUND)), config.CONFIG)
@@ -70,3 +70,31 @@ def p06(spark, d):
     c = c.withField("max_tokens", ((k % 9 - 1) * 64).cast("int")).withField("conditions", load).withField("blocks", (k % 5).cast("int")).withField("requests_per_block", (F.col("p_size") * 3).cast("int"))
     c = c.withField("limits.max_total_requested_tokens", F.lit(60000).cast("long")).withField("cost_upper_bound", (F.col("p_retailprice") / 400).cast("double"))
     return table(spark, d, "part").select(k.alias("id"), config.first_fault(c).alias("fault"))
+
+
+@query("p06_cost", """WITH x AS (SELECT c_custkey AS id, c_custkey % 5 AS k, CASE WHEN c_custkey % 7 < 5 THEN c_acctbal END AS rate, CASE WHEN c_custkey % 11 < 8 THEN c_nationkey END AS n, CASE WHEN c_custkey % 13 = 0 THEN -1.0 WHEN c_custkey % 13 = 1 THEN 0.0 END AS billed FROM customer)
+SELECT id, CASE WHEN id % 17 = 0 THEN 'cost_currency' WHEN k = 4 THEN 'cost_kind' WHEN k = 0 THEN CASE WHEN rate IS NOT NULL OR n IS NOT NULL OR billed IS NOT NULL THEN 'cost_of_another_model' END
+ WHEN k = 1 THEN CASE WHEN rate IS NULL OR rate <= 0 THEN 'cost_total_hourly_rate' WHEN n IS NULL OR n <= 0 THEN 'cost_gpu_count' WHEN billed IS NOT NULL THEN 'cost_of_another_model' END
+ WHEN k = 2 THEN CASE WHEN rate IS NULL OR rate <= 0 THEN 'cost_active_second_rate' WHEN n IS NULL OR n <= 0 THEN 'cost_max_active_workers' WHEN billed < 0 THEN 'cost_billed_active_seconds' END
+ ELSE CASE WHEN rate IS NULL OR rate <= 0 THEN 'cost_user_supplied_total' WHEN n IS NOT NULL OR billed IS NOT NULL THEN 'cost_of_another_model' END END AS fault FROM x""")
+def p06_cost(spark, d):
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in (*config.BILLING, "other")]), (k % 5 + 1).cast("int"))
+    rate, n = F.when(k % 7 < 5, F.col("c_acctbal").cast("double")), F.when(k % 11 < 8, F.col("c_nationkey").cast("long"))
+    at = lambda kinds, v: F.when((k % 5).isin(*kinds), v)
+    cost = F.struct(
+        F.when(k % 17 == 0, "EUR").otherwise("USD").alias("currency"), kind.alias("kind"), at((0, 1), rate).alias("total_hourly_rate"), at((2,), rate).alias("active_second_rate"), at((2,), n).alias("max_active_workers"),
+        F.when(k % 13 == 0, -1.0).when(k % 13 == 1, 0.0).alias("billed_active_seconds"), at((3,), rate).alias("user_supplied_total"), at((0, 1, 3), n).alias("gpu_count"),
+    )
+    return table(spark, d, "customer").select(k.alias("id"), config.cost_fault(cost).alias("fault"))
+
+
+@query("p06_limits", """SELECT o_orderkey AS id, CASE WHEN o_custkey % 50 = 0 THEN 'limit_max_requests' WHEN o_orderkey % 19 = 0 THEN 'limit_max_total_requested_tokens' WHEN o_orderkey % 23 = 0 THEN 'limit_max_concurrency' WHEN o_orderkey % 29 = 0 THEN 'limit_max_errors' WHEN o_orderkey % 31 = 0 THEN 'limit_max_elapsed_seconds' WHEN o_orderkey % 37 = 0 THEN 'limit_max_estimated_spend' END AS fault FROM orders""")
+def p06_limits(spark, d):
+    k = F.col("o_orderkey")
+    odd = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    limits = F.struct(
+        (F.col("o_custkey") % 50).cast("long").alias("max_requests"), F.lit(256).cast("long").alias("max_tokens_per_request"), odd(19, F.lit(None).cast("long"), F.lit(9).cast("long")).alias("max_total_requested_tokens"), odd(23, F.lit(0).cast("long"), F.lit(8).cast("long")).alias("max_concurrency"), F.lit(1000).cast("long").alias("max_response_bytes"),
+        odd(29, F.lit(-1).cast("long"), F.lit(1).cast("long")).alias("max_errors"), odd(31, F.lit(float("inf")), F.lit(60.0)).alias("max_elapsed_seconds"), odd(37, F.lit(float("nan")), F.lit(3.0)).alias("max_estimated_spend"),
+    )
+    return table(spark, d, "orders").select(k.alias("id"), config.limits_fault(limits).alias("fault"))

@@ -246,14 +246,14 @@ def w05(spark, d):
 @query("w07_running_budget", f"""WITH {RL}, s AS (SELECT request_id, count(*) OVER w AS run_requests, coalesce(sum(completion_tokens) OVER w, 0)::BIGINT AS run_tokens, count(*) FILTER (NOT ok) OVER w AS run_errors FROM g WINDOW w AS (PARTITION BY concurrency, position_idx ORDER BY request_id ROWS UNBOUNDED PRECEDING))
 SELECT *, CASE WHEN run_requests >= 40 THEN 'max_requests' WHEN run_tokens >= 1500 THEN 'max_output_tokens' WHEN run_errors >= 5 THEN 'max_errors' END AS stop FROM s""")
 def w07(spark, d):
-    return runs.running_budget(request_log(spark, d), ["concurrency", "position_idx"], ["request_id"], 40, 1500, 5).select("request_id", "run_requests", "run_tokens", "run_errors", "stop")
+    return runs.running_budget(request_log(spark, d), ["concurrency", "position_idx"], ["request_id"], 40, 1500, 5, slot=F.floor(F.col("request_id") / 4096)).select("request_id", "run_requests", "run_tokens", "run_errors", "stop")
 
 
 @query("w08_peak_in_flight", f"""WITH {RL}, e AS (SELECT concurrency, block_index, epoch_us(ts) AS t, 1 AS d FROM g UNION ALL SELECT concurrency, block_index, epoch_us(ts) + CAST(floor(e2e_seconds * 1e9) AS BIGINT), -1 FROM g),
 s AS (SELECT concurrency, block_index, sum(d) OVER (PARTITION BY concurrency, block_index ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS o FROM e) SELECT concurrency, block_index, max(o)::BIGINT AS peak_in_flight FROM s GROUP BY ALL""")
 def w08(spark, d):
     s = request_log(spark, d).withColumn("a", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("z", F.col("a") + F.floor(F.col("e2e_seconds") * 1e9).cast("long"))
-    return runs.peak_in_flight(s, ["concurrency", "block_index"], "a", "z")
+    return runs.peak_in_flight(s, ["concurrency", "block_index"], "a", "z", width=21_600_000_000)
 
 
 @query("w09_scheduler_lag", "WITH s AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER w - 1 AS i, min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6 AS t0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, i AS launch, round(greatest(0, t - (t0 + i / 0.001)), 3) AS lag FROM s")

@@ -154,12 +154,3 @@ def windowed_counts(events: DataFrame, at: str, keys: list[str], width: str = "1
     if timed.isStreaming:
         timed = timed.withWatermark("_at", late)
     return timed.groupBy(F.window("_at", width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, "n")
-
-
-def progress_sink(stream: DataFrame, keys: list[str], path: str, checkpoint: str):
-    """Start a query that keeps the latest partial report of each key under ``path``, one folder per batch."""
-
-    def put(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

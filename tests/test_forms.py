@@ -37,17 +37,17 @@ def test_messages_without_a_role_are_the_users(spark):
 @pytest.mark.parametrize(
     "change, fault",
     [
-        ({}, None), ({"mode": "x"}, "mode must be smoke or benchmark"), ({"backend": "guidellm"}, "GuideLLM cannot enforce"), ({"model": " "}, "model must not be empty"), ({"url": "http://h/v1"}, "endpoint must be"), ({"api_key": None}, "API key"),
-        ({"conditions": []}, "at least one load"), ({"conditions": None}, "at least one load"), ({"conditions": [{"kind": "closed_loop", "value": 4.0, "max_in_flight": 4}] * 2}, "load condition values must be unique"),
-        ({"conditions": [{"kind": "closed_loop", "value": 4.0, "max_in_flight": 4}, {"kind": "open_loop", "value": 0.5, "max_in_flight": 4}]}, "one run cannot mix"), ({"conditions": [{"kind": "open_loop", "value": float("inf"), "max_in_flight": 4}]}, "load condition values must be positive"),
-        ({"mode": "smoke"}, "smoke mode"), ({"requests_per_block": None}, "provide a request"), ({"block_duration_seconds": 1.0}, "choose either"), ({"p95_slo_ms": -1.0}, "p95_slo_ms"), ({"seed": None}, "seed"), ({"cache_policy": "x"}, "unsupported cache"),
-        ({"evidence_source": None}, "unsupported evidence"), ({"flags_provenance": "x"}, "unsupported engine flag"), ({"requests_per_block": 400}, "planned inference requests"), ({"cost_upper_bound": None}, "the selected billing"), ({"cost_upper_bound": 9.0}, "known pre-run"), ({"timeout_seconds": 0.0}, "request_timeout"),
+        ({}, None), ({"mode": "x"}, "config_mode"), ({"backend": "guidellm"}, "config_gaps_not_acknowledged"), ({"model": " "}, "config_model"), ({"url": "http://h/v1"}, "config_address"), ({"api_key": None}, "config_key"),
+        ({"conditions": []}, "config_no_conditions"), ({"conditions": None}, "config_no_conditions"), ({"conditions": [{"kind": "closed_loop", "value": 4.0, "max_in_flight": 4}] * 2}, "load_value_repeated"),
+        ({"conditions": [{"kind": "closed_loop", "value": 4.0, "max_in_flight": 4}, {"kind": "open_loop", "value": 0.5, "max_in_flight": 4}]}, "config_mixed_loops"), ({"conditions": [{"kind": "open_loop", "value": float("inf"), "max_in_flight": 4}]}, "load_value"),
+        ({"mode": "smoke"}, "config_smoke_blocks"), ({"requests_per_block": None}, "config_no_block_bound"), ({"block_duration_seconds": 1.0}, "config_two_block_bounds"), ({"p95_slo_ms": -1.0}, "config_p95_slo"), ({"seed": None}, "config_seed"), ({"cache_policy": "x"}, "config_cache_policy"),
+        ({"evidence_source": None}, "config_evidence_source"), ({"flags_provenance": "x"}, "config_flags_provenance"), ({"requests_per_block": 400}, "config_requests_over_limit"), ({"cost_upper_bound": None}, "config_unknown_cost_not_allowed"), ({"cost_upper_bound": 9.0}, "config_cost_over_limit"), ({"timeout_seconds": 0.0}, "config_timeout"),
     ],
 )
 def test_first_fault_of_a_configuration(spark, change, fault):
     body = json.dumps({**_SOUND, **change})
     got = spark.range(1).select(config.first_fault(F.from_json(F.lit(body), config.CONFIG, {"allowNonNumericNumbers": "true"})).alias("f")).first()["f"]
-    assert got is None if fault is None else got.startswith(fault)
+    assert got == fault
 
 
 def test_empty_and_failed_imports(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loadlens.plans import contract_queries, import_queries, more_queries, queries, report_queries  # noqa: F401
+from loadlens.plans import contract_queries, import_queries, more_queries, queries, report_queries, store_queries  # noqa: F401
 from tests.conftest import SF
 from tests.helpers import assert_same
 
