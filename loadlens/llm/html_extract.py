@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -71,6 +72,7 @@ class _Block:
         self.region, self.heading, self.item, self.doubts = region, tag in HEADINGS, tag in ITEMS, doubts
 
 
+@lru_cache(maxsize=1 << 14)
 def _kind(token: str) -> int:
     """What a class, id or role says: a whole name counts, so all its words but neutral ones must be of the kind. A barred word beside others makes it doubtful."""
     words = [w for w in map(str.lower, PARTS.findall(token)) if w not in NEUTRAL_WORDS]
@@ -238,8 +240,8 @@ def _inherited(i: int, before: tuple[int, int] | None, after: tuple[int, int] |
     return min(sides, key=lambda x: (abs(x[0] - i), -x[1]))[1]
 
 
-def _undoubted(found: list[tuple[_Block, str]], labels: list[int]) -> list[tuple[_Block, str]]:
-    """The blocks that lie in no doubtful element, save in one that holds most of the page's running text while no running text of an article lies outside it."""
+def _undoubted(found: list[tuple[_Block, str]], labels: list[int]) -> list[bool]:
+    """Whether each block lies in no doubtful element, save in one that holds most of the page's running text while no running text of an article lies outside it."""
     total, inside, articles, article = 0, {}, {}, 0
     for (b, t), label in zip(found, labels, strict=True):
         if label != GOOD and b.doubts:
@@ -251,7 +253,7 @@ def _undoubted(found: list[tuple[_Block, str]], labels: list[int]) -> list[tuple
                 inside[d] = inside.get(d, 0) + len(t)
                 articles[d] = articles.get(d, 0) + (len(t) if b.region == MAIN else 0)
     kept = {d for d, n in inside.items() if 2 * n > total and article == articles.get(d, 0)}
-    return [x for x in found if all(d in kept for d in x[0].doubts)]
+    return [all(d in kept for d in b.doubts) for b, _ in found]
 
 
 def extract(html: str | None) -> str:
@@ -264,8 +266,10 @@ def extract(html: str | None) -> str:
     be broken or cut off anywhere: open elements end with the page. Very long pages are read in one pass, a block at a time.
     """
     found = [(b, text) for b in blocks(html or "") if b.region != BARRED and (text := " ".join(unescape("".join(b.pieces)).split()))]
-    found = _undoubted(found, [_decided(b, text) for b, text in found])
     labels = [_decided(b, text) for b, text in found]
+    if any(b.doubts for b, _ in found):
+        clear = _undoubted(found, labels)
+        found, labels = [x for x, c in zip(found, clear, strict=True) if c], [x for x, c in zip(labels, clear, strict=True) if c]
     if GOOD not in labels:  # words say nothing here: what is no list of links and not short is running text
         labels = [GOOD if label == BAD and len(t) >= SHORT and 2 * b.linked <= sum(map(len, b.pieces)) else label for (b, t), label in zip(found, labels, strict=True)]
     running = lambda keep: sum(len(t) for (b, t), label in zip(found, labels, strict=True) if label == GOOD and keep(b.region))
