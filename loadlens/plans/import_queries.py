@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from loadlens.operators import config, imported, runs
 from loadlens.plans.queries import query, r6
+from loadlens.plans.more_queries import code_list
 from loadlens.plans.views import RL, SPAN, ci, request_log, table
+from loadlens.sources import imported_reports as source
 
 _BLOCKS = f"""WITH {RL}, i AS (SELECT position_idx, concurrency, block_index, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok AND position_idx = 3) AS errored, count(*) FILTER (NOT ok AND position_idx = 4 AND concurrency = 8) AS incomplete,
   {SPAN} AS duration_seconds, coalesce(sum(completion_tokens) FILTER (ok), 0)::BIGINT AS output_tokens FROM g GROUP BY ALL),
@@ -98,3 +100,42 @@ def p06_limits(spark, d):
         odd(29, F.lit(-1).cast("long"), F.lit(1).cast("long")).alias("max_errors"), odd(31, F.lit(float("inf")), F.lit(60.0)).alias("max_elapsed_seconds"), odd(37, F.lit(float("nan")), F.lit(3.0)).alias("max_estimated_spend"),
     )
     return table(spark, d, "orders").select(k.alias("id"), config.limits_fault(limits).alias("fault"))
+
+
+# One change of a sound report of the other load generator for each code: text, its replacement, code.
+IMPORT_CHANGES = (
+    ("", "", None), ('"version":2', '"version":3', "unsupported_report_schema"), ('"version":2', '"version":"2"', "invalid_report_number"), ("0.7.3", "0.7.4", "unsupported_report_version"), ("generative_benchmark", "other", "invalid_report_shape"), ('"benchmarks":[', '"benchmarks":[{},', "invalid_report_shape"), ('"duration":', '"duration":-', "invalid_report_number"),
+    ('"request_totals":{"successful":', '"request_totals":{"successful":1', "inconsistent_report_totals"), ('"requests_made":{', '"requests_made":{"x":1,"errored":true,', "invalid_report_json"), ('"requests_made":{"successful":', '"requests_made":{"successful":"1","s":', "invalid_report_number"), ('"mode":', '"mode":NaN,"m":', "invalid_report_json"), ('"p90":', '"p91":', "invalid_report_number"),
+    ('"percentiles":{', '"percentiles":[{', "invalid_report_json"), ('"std_dev":', '"std_dev":9007199254740993,"s":', "invalid_report_number"), ('"scheduler_metrics"', '"scheduler"', "invalid_report_shape"), ('"prompt_token_count":{"successful":{', '"prompt_token_count":{"failed":{', "invalid_report_shape"), ('"metadata":{', '"secret":"x","metadata":{"name":{"a":[1]},', None),
+)
+
+
+def import_bodies(spark, d):
+    """A report of the other load generator for each block of the request log, with one change by its number."""
+    ok = runs.valid()
+    got = request_log(spark, d).groupBy("position_idx", "concurrency", "block_index").agg(
+        F.count_if(ok).alias("successful"), F.count_if(~ok).alias("errored"), F.coalesce(F.sum(F.when(ok, F.col("completion_tokens"))), F.lit(0)).cast("long").alias("out"), F.coalesce(F.sum(F.when(ok, F.col("prompt_tokens"))), F.lit(0)).cast("long").alias("in"),
+    )
+    totals = F.struct("successful", "errored", F.lit(0).alias("incomplete"), (F.col("successful") + F.col("errored")).alias("total"))
+    points = F.struct(*[F.lit(v).alias(p) for v, p in zip((1.5, 2.0, 2.5, 3), source.PERCENTILES, strict=True)])
+    summary = lambda total: F.struct(*[(F.col("successful") if f == "count" else total if f == "total_sum" else F.lit(1.25)).alias(f) for f in source.SUMMARY], points.alias("percentiles"))
+    sums = {"prompt_token_count": F.col("in"), "output_token_count": F.col("out")}
+    metrics = F.struct(totals.alias("request_totals"), *[F.struct(summary(sums.get(m, F.lit(0.5))).alias("successful")).alias(m) for m in source.METRICS])
+    one = F.struct(F.lit(source.KIND).alias("type_"), F.lit(10.5).alias("duration"), metrics.alias("metrics"), F.struct(totals.alias("requests_made")).alias("scheduler_metrics"))
+    body = F.to_json(F.struct(F.struct(F.lit(2).alias("version"), F.lit(source.TOOL_VERSION).alias("guidellm_version")).alias("metadata"), F.array(one).alias("benchmarks")))
+    number = (F.col("position_idx") * 9 + F.col("concurrency") + F.col("block_index")).cast("int")
+    changed = body
+    for i, (old, new, _) in enumerate(IMPORT_CHANGES):
+        if old:
+            changed = F.when(number % len(IMPORT_CHANGES) == i, F.replace(body, F.lit(old), F.lit(new))).otherwise(changed)
+    return got.select("position_idx", "concurrency", "block_index", F.concat_ws("-", "position_idx", "concurrency", "block_index").alias("id"), changed.alias("report"))
+
+
+@query("s07_imported_reports", f"""WITH {RL}, i AS (SELECT position_idx, concurrency, block_index, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS errored, coalesce(sum(completion_tokens) FILTER (ok), 0)::BIGINT AS output_tokens, coalesce(sum(prompt_tokens) FILTER (ok), 0)::BIGINT AS prompt_tokens FROM g GROUP BY ALL),
+c AS (SELECT *, {code_list(c for *_, c in IMPORT_CHANGES)}[(position_idx * 9 + concurrency + block_index) % {len(IMPORT_CHANGES)} + 1] AS code FROM i)
+SELECT position_idx || '-' || concurrency || '-' || block_index AS id, code, CASE WHEN code IS NULL THEN successful END AS successful, CASE WHEN code IS NULL THEN errored END AS errored, CASE WHEN code IS NULL THEN round(errored / (successful + errored), 9) END AS error_rate, CASE WHEN code IS NULL THEN prompt_tokens END AS prompt_tokens, CASE WHEN code IS NULL THEN output_tokens END AS output_tokens,
+ CASE WHEN code IS NULL THEN 117 END AS numbers, CASE WHEN code IS NULL THEN errored = 0 AND successful >= 5 END AS valid FROM c""")
+def s07(spark, d):
+    """Blocks of the request log as the other load generator's reports: what is read from them, and whether each makes a valid block."""
+    read = imported.blocks(source.imported_reports(import_bodies(spark, d)), requests=5)
+    return read.select("id", "code", "successful", "errored", F.round("error_rate", 9).alias("error_rate"), "prompt_tokens", "output_tokens", F.size("metrics").alias("numbers"), F.when(F.col("code").isNull(), F.col("valid")).alias("valid"))

@@ -234,13 +234,6 @@ def f14(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("s07_imported_reports", "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'unsupported_report_version' WHEN 2 THEN 'inconsistent_report_totals' WHEN 3 THEN 'invalid_report_json' END AS code, CASE WHEN event_id % 4 < 3 THEN 2.0 END::DOUBLE AS duration FROM events")
-def s07(spark, d):
-    ok = '{"metadata":{"version":2},"benchmarks":[{"duration":2.0,"metrics":{"request_totals":{"successful":3,"errored":1,"incomplete":0,"total":4}}}]}'
-    body = _pick([ok, ok.replace(":2}", ":1}"), ok.replace('"total":4', '"total":5'), "{"], F.col("event_id") % 4)
-    return files.imported_report(table(spark, d, "events").select("event_id", body.alias("report"))).select("event_id", "code", "duration")
-
-
 @query("k06_sorted_reasons", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a,b' ELSE 'b' END AS reasons FROM events")
 def k06(spark, d):
     even = F.col("event_id") % 2 == 0

@@ -132,12 +132,6 @@ def test_json_sink(spark, tmp_path):
         files.write_json(df.withColumn("a", F.lit(float("nan"))), str(tmp_path / "y"))
 
 
-def test_imported_report(spark):
-    ok = '{"metadata":{"version":2},"benchmarks":[{"duration":2.0,"metrics":{"request_totals":{"successful":3,"errored":1,"incomplete":0,"total":4}}}]}'
-    df = spark.createDataFrame([(ok,), (ok.replace('"total":4', '"total":5'),), (ok.replace(":2}", ":1}"),), ("{",)], "report string")
-    assert [r["code"] for r in files.imported_report(df).collect()] == [None, "inconsistent_report_totals", "unsupported_report_version", "invalid_report_json"]
-
-
 def test_cache_rules():
     c = cache.Cache(ttl=10, size=2, threshold=0.5)
     c.put("a b c", 0)
