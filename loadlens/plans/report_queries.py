@@ -109,12 +109,21 @@ def r14(spark, d):
     return a.select("id", F.col("policy_step").alias("step"), F.col("candidate_max_num_seqs").alias("candidate"), "direction")
 
 
-@query("r02_recommendations", "SELECT unnest(['compute-bound', 'memory-bound', 'mixed']) AS classification, unnest([0.85, 0.75, 0.5])::DOUBLE AS confidence")
+def _by_class(values: dict) -> str:
+    return "CASE classification " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items())
+
+
+@query("r02_recommendations", f"""WITH p AS (SELECT c_custkey AS run, 100.0::DOUBLE + c_nationkey AS low, (100.0::DOUBLE + c_nationkey) * (0.5 + c_custkey % 8) AS high, 10.0::DOUBLE + c_custkey % 90 AS ttft, 100.0::DOUBLE - c_custkey % 90 AS tpot, CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 20 END AS valid FROM customer),
+f AS (SELECT run, valid, high / low / 8 AS eff, ttft / (ttft + tpot) AS dom FROM p),
+c AS (SELECT run, CASE WHEN valid < 10 THEN 'inconclusive' WHEN eff < 0.5 AND dom > 0.6 AND dom <= 0.7 THEN 'dispatch-bound' WHEN eff < 0.6 AND dom < 0.4 THEN 'orchestration-bound' WHEN eff > 0.7 THEN 'compute-bound' WHEN dom > 0.7 AND eff < 0.45 THEN 'memory-bound' ELSE 'mixed' END AS classification FROM f)
+SELECT run, classification, ({_by_class(diagnose.CONFIDENCE)} ELSE 0 END)::DOUBLE AS confidence, {_by_class(diagnose.RECOMMENDATION)} END AS recommendation FROM c""")
 def r02(spark, d):
-    probes = [("compute-bound", 700.0, 50.0), ("memory-bound", 300.0, 90.0), ("mixed", 500.0, 50.0)]
-    rows = [(n, c, 100.0 if c == 1 else t, f, 100.0 - f, 20, 20) for n, t, f in probes for c in (1, 8)]
-    df = spark.createDataFrame(rows, "run string, concurrency int, throughput double, ttft_mean_ms double, tpot_mean_ms double, valid_count int, attempted_count int")
-    return diagnose.classify(df, ["run"]).where(F.length("recommendation") > 0).select("classification", "confidence")
+    """Probes at two concurrencies made of customers: every regime occurs."""
+    k, few = F.col("c_custkey"), F.when(F.col("c_custkey") % 13 == 0, 1).otherwise(10)
+    low = F.lit(100.0) + F.col("c_nationkey")
+    level = F.explode(F.array(*[F.struct(F.lit(c).alias("concurrency"), t.alias("throughput")) for c, t in ((1, low), (8, low * (0.5 + k % 8)))])).alias("p")
+    probes = table(spark, d, "customer").select(k.alias("run"), level, (10.0 + k % 90).alias("ttft_mean_ms"), (100.0 - k % 90).alias("tpot_mean_ms"), few.alias("valid_count"), few.alias("attempted_count"))
+    return diagnose.classify(probes.select("run", "p.*", "ttft_mean_ms", "tpot_mean_ms", "valid_count", "attempted_count"), ["run"]).select("run", "classification", "confidence", "recommendation")
 
 
 _REASONS = "CASE event_type WHEN 'view' THEN 'length' WHEN 'error' THEN 'abort' WHEN 'signup' THEN 'other' ELSE 'stop' END"

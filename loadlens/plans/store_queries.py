@@ -14,7 +14,7 @@ from loadlens.plans.more_queries import code_list, quoted
 from loadlens.plans.queries import query
 from loadlens.plans.views import table
 from loadlens.sources import report_store
-from loadlens.streaming import progress
+from loadlens.streaming import polling, progress
 
 #: Least size of the files that are too large here.
 _LARGE = 60_000
@@ -76,6 +76,27 @@ def c08(spark, d):
     return progress.read_progress(spark, f"{at}/out")
 
 
+@query("c06_polling_stream", """WITH s AS (SELECT user_id % 400 AS run, dayofyear(ts) AS seq, count(*) AS n, dayofyear(ts) * 1.5::DOUBLE + user_id % 400 % 7 * (dayofyear(ts) % 5) AS t FROM events GROUP BY ALL),
+o AS (SELECT *, t - lag(t) OVER (PARTITION BY run ORDER BY seq) AS gap FROM s),
+a AS (SELECT run, min(seq) AS before_seq, max(seq) AS after_seq, count(*) - 2 AS observations, sum(n)::BIGINT AS recognized_samples, max_by(t, seq) - min_by(t, seq) AS elapsed, bool_or(gap < 0 OR gap > 5) AS bad FROM o GROUP BY run)
+SELECT run, before_seq, after_seq, greatest(observations, 0) AS observations, recognized_samples, round(elapsed, 6) AS elapsed, CASE WHEN observations < 0 THEN 'experimental_metrics_window_invalid' WHEN bad THEN 'experimental_metrics_sample_gap_exceeded' WHEN observations > 20 THEN 'experimental_metrics_observation_limit' WHEN recognized_samples > 5000 THEN 'experimental_metrics_window_too_large' END AS code FROM a""")
+def c06_stream(spark, d):
+    """The windows of c06 from a stream of snapshot files, whose updates are kept as progress."""
+    at = report_store.shared_folder(spark, "polling")
+    e = table(spark, d, "events").select((F.col("user_id") % 400).alias("run"), F.dayofyear("ts").alias("seq"))
+    snapshots = e.groupBy("run", "seq").agg(F.count("*").alias("recognized_samples")).withColumn("at", F.col("seq") * 1.5 + F.col("run") % 7 * (F.col("seq") % 5))
+    last = snapshots.groupBy("run").agg(F.max("seq").alias("_last"))
+    rows = snapshots.join(last, "run").withColumn("ended", F.col("seq") == F.col("_last")).drop("_last")
+    parts = [rows.where(F.col("seq") % 400 < 12), rows.where((F.col("seq") % 400 >= 12) & (F.col("seq") % 400 < 20)), rows.where(F.col("seq") % 400 >= 20)]
+    for part in parts:  # three deliveries, in order of time
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        found = polling.stream_polling_windows(stream, "run", "at", "ended", most_observations=20, most_samples=5000, late="3650 days")
+        query_ = found.writeStream.outputMode("update").foreachBatch(lambda b, n: progress.upsert(b, n, f"{at}/out", ["run"], ["after_seq"])).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+        query_.awaitTermination()
+    return progress.read_progress(spark, f"{at}/out").select("run", "before_seq", "after_seq", "observations", "recognized_samples", F.round("elapsed", 6).alias("elapsed"), "code")
+
+
 _RUNTIME = report_samples.sound()["manifest"]["runtime"]
 
 
