@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.operators import reports
+from loadlens.operators import pilot, reports
 from loadlens.plans import report_samples
 from loadlens.plans.more_queries import code_list, quoted
 from loadlens.plans.queries import query
@@ -121,3 +121,36 @@ def a08(spark, d):
     )
     got = reports.finalize(runs_)
     return got.select("id", "status", F.when(F.col("status") != "complete", F.col("stop_reason")).alias("stop_reason"), "best_state", "best_reason", F.array_join("reasons", ",").alias("reasons"), "decision_eligible", F.round("cost_per_million_output_tokens", 6).alias("per_million"))
+
+
+def ledger(spark, d) -> DataFrame:
+    """A ledger of pilots made of orders, a day apart, for 40 accounts in 10 groups."""
+    k = F.col("o_orderkey")
+    day = lambda n: F.concat(F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (k % 200 + n).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    yes = lambda c: F.when(c, "true").otherwise("false")
+    decided, paid = k % 3 != 0, k % 11 == 0
+    cells = {
+        "pilot_id": F.concat(F.lit("p"), F.lpad(k.cast("string"), 12, "0")), "org_id": F.concat(F.lit("o"), F.col("o_custkey") % 40), "segment_code": F.when(k % 17 == 0, "other").otherwise("online_serving"), "source_channel": F.lit("referral"), "decision_kind": F.when(k % 4 == 0, "other_supported_engine_flag").otherwise("max_num_seqs"), "qualified": yes(k % 5 != 0),
+        "real_traffic_started": yes(k % 6 != 0), "benchmark_valid": yes(k % 7 != 0), "minutes_to_valid": F.when(k % 23 == 0, "soon").otherwise((k % 50).cast("string")), "session_started_at": day(0), "session_completed_at": F.when(k % 29 == 0, day(-1)).otherwise(day(1)), "verified_decision_code": F.when(decided, "deployed").otherwise("none"), "verified_decision_at": F.when(decided, day(3)),
+        "unprompted_return_at": F.when(decided & (k % 8 == 0), F.when(k % 16 == 0, day(10)).otherwise(day(40))), "unprompted_return_for_real_decision": yes(k % 8 == 0), "introduction_kind": F.when(k % 9 == 0, "unsolicited_peer").otherwise("none"), "introduced_operator_qualified": yes(k % 9 == 0), "paid_invoice": yes(paid), "paid_invoice_at": F.when(paid, day(9)), "amount_collected_usd": F.when(paid, F.lit("100")),
+    }
+    names = [c.split("`")[1] for c in pilot.LEDGER.split(", ")]
+    return table(spark, d, "orders").select((k % 10).alias("group"), *[cells.get(n, F.lit(None)).cast("string").alias(n) for n in names])
+
+
+@query("s10_ledger_gates", """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 10 AS grp, o_custkey % 40 AS org FROM orders), f AS (SELECT *, k % 17 = 0 OR k % 23 = 0 OR k % 29 = 0 AS bad FROM r), g AS (SELECT *, k % 5 <> 0 AS q, k % 3 <> 0 AS dec, k % 5 <> 0 AND k % 7 <> 0 AS val FROM f WHERE NOT bad),
+b AS (SELECT grp, count(*) FILTER (bad)::BIGINT AS faulty FROM f GROUP BY grp),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY k % 200, k) AS i FROM g WHERE val), v AS (SELECT grp, count(*) FILTER (dec) AS d5, count(*) FILTER (dec AND (k % 16 = 0 OR k % 9 = 0)) AS p5, count(*) AS n5 FROM n WHERE i <= 5 GROUP BY grp),
+m AS (SELECT grp, max(c) AS pat FROM (SELECT grp, k % 4 = 0 AS kind, count(DISTINCT org) AS c FROM g WHERE dec GROUP BY ALL) GROUP BY grp),
+a AS (SELECT grp, count(*) FILTER (q AND k % 6 <> 0) AS started, count(*) FILTER (val) AS completed, median((k % 50)::DOUBLE) FILTER (val) AS med, count(DISTINCT org) FILTER (dec) AS dorgs, count(DISTINCT org) FILTER (k % 11 = 0) AS porgs, count(DISTINCT org) FILTER (val) AS vorgs, count(*) FILTER (dec AND k % 16 = 0) AS rets, count(*) FILTER (k % 9 = 0) AS intro FROM g GROUP BY grp)
+SELECT grp, faulty, started, completed, med AS median_minutes, dorgs AS decided_orgs, porgs AS paid_orgs, rets AS returns, intro AS introductions, coalesce(pat, 0) AS pattern_orgs, started >= 5 AND completed >= 3 AND coalesce(med < 30, false) AS activation, coalesce(n5 = 5 AND d5 >= 2 AND p5 >= 1, false) AS decision_value, dorgs >= 3 AND porgs >= 2 AS payment, vorgs >= 5 AND rets >= 3 AND intro >= 2 AND coalesce(pat, 0) >= 3 AS pull
+FROM a LEFT JOIN v USING (grp) LEFT JOIN m USING (grp) JOIN b USING (grp)""")
+def s10(spark, d):
+    """The ledger is written as CSV, read back, judged, and its gates counted by group over the rows without a fault."""
+    at = report_store.shared_folder(spark, "ledger")
+    ledger(spark, d).write.option("header", True).csv(f"{at}/csv")
+    read = pilot.read_ledger(spark, f"{at}/csv", "`group` bigint")
+    judged = pilot.ledger_faults(read)
+    sound = F.size("faults") == 0
+    faulty = judged.groupBy("group").agg(F.count_if(~sound).alias("faulty"))
+    return pilot.gates(judged.where(sound), ["group"]).join(faulty, "group").withColumnRenamed("group", "grp")
