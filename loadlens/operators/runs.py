@@ -34,23 +34,27 @@ def within_slo(e2e_ms: float | None, ttft_ms: float | None) -> Column:
     return ok
 
 
-def _histogram(requests: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    counts = requests.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col("_v").alias("key"), F.col("_n").alias("n"))))  # one entry per distinct code
-    return counts.groupBy(*keys).agg(entries.alias(name))
+def _histogram(rows: Column, field: str) -> Column:
+    """Sorted (key, n) of the values of a field in an array of counted combinations; null without any."""
+    values = F.array_sort(F.array_distinct(F.array_compact(F.transform(rows, lambda r: r[field]))))
+    entries = F.transform(values, lambda v: F.struct(v.alias("key"), F.aggregate(F.filter(rows, lambda r: r[field] == v), F.lit(0).cast("long"), lambda n, r: n + r["n"]).alias("n")))
+    return F.when(F.size(values) > 0, entries)
 
 
 def request_counts(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Attempted, valid and invalid requests per group, and sorted counts by status (null: transport), error and finish reason."""
-    out = requests.groupBy(*keys).agg(F.count("*").alias("attempted"), F.count_if(valid()).alias("valid"), F.count_if(~valid()).alias("invalid"))
+    """Attempted, valid and invalid requests per group, and sorted counts by status (null: transport), error and finish reason.
+
+    Requests are counted by combination of codes before the shuffle; what meets in a group is one row a combination.
+    """
     parts = {
         "status_counts": F.coalesce(F.col("status_code").cast("string"), F.lit("transport")),
         "error_counts": F.when(F.col("error_code") != "", F.col("error_code")),
         "finish_reason_counts": F.when(F.col("finish_reason") != "", F.col("finish_reason")),
     }
-    for name, value in parts.items():
-        out = out.join(_histogram(requests, keys, value, name), keys, "left")
-    return out
+    coded = requests.select(*keys, valid().alias("_ok"), *[v.alias(f"_{k}") for k, v in parts.items()])
+    counted = coded.groupBy(*keys, *[f"_{k}" for k in parts]).agg(F.count("*").alias("n"), F.count_if("_ok").alias("_valid"))
+    out = counted.groupBy(*keys).agg(F.sum("n").alias("attempted"), F.sum("_valid").alias("valid"), F.collect_list(F.struct("n", *[f"_{k}" for k in parts])).alias("_rows"))
+    return out.select(*keys, "attempted", "valid", (F.col("attempted") - F.col("valid")).alias("invalid"), *[_histogram(F.col("_rows"), f"_{k}").alias(k) for k in parts])
 
 
 def _totals(requests: DataFrame, keys: list[str], e2e_ms: float | None, ttft_ms: float | None, percentiles: bool) -> DataFrame:
@@ -176,10 +180,9 @@ def best_tested(conditions: DataFrame, run: list[str], value: str, e2e_ms: float
         "_hi": F.max(F.when(ok, F.try_divide("completion_tokens", "valid"))).over(w), "_lo": F.min(F.when(ok, F.try_divide("completion_tokens", "valid"))).over(w),
         "_tokens": F.min(F.when(ok, (F.col("completion_tokens") > 0) & (F.col("valid") > 0))).over(w),
     })
-    chosen = ranked.where("_first = 1")
-    rivals = ranked.where("_eligible and _first > 1").select(*run, F.col("tokens_ci.low").alias("_rl"), F.col("tokens_ci.high").alias("_rh"))
-    met = chosen.join(rivals, run).groupBy(*run).agg(F.max(stats.intervals_overlap(F.col("tokens_ci.low"), F.col("tokens_ci.high"), F.col("_rl"), F.col("_rh"))).alias("_meets"))
-    chosen = chosen.join(met, run, "left")
+    rivals = F.collect_list(F.when(F.col("_eligible") & (F.col("_first") > 1), F.struct(F.col("tokens_ci.low").alias("l"), F.col("tokens_ci.high").alias("h")))).over(w)  # the conditions of one run
+    overlap = F.exists("_rivals", lambda r: stats.intervals_overlap(F.col("tokens_ci.low"), F.col("tokens_ci.high"), r["l"], r["h"]))
+    chosen = ranked.withColumn("_rivals", rivals).where("_first = 1").withColumn("_meets", overlap)
     spread = F.when(F.col("_tokens"), (F.col("_hi") - F.col("_lo")) / F.col("_hi"))
     comparable = F.coalesce(spread <= TOKEN_TOLERANCE, F.lit(False))
     bench, boundary = ~smoke, F.col(value) == F.col("_most")
