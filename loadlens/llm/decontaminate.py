@@ -260,7 +260,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns, whatever their names."""
+    """The rows of ``docs`` that leak no item, with all their columns, whatever their names.
+
+    Null and empty texts leak nothing and stay. Repeated rows stay or go together; scores that tie with the threshold count as above it. Very long
+    texts are judged passage by passage, whole. An empty table gives an empty result, an empty benchmark keeps all rows.
+    """
     for index in indexes(benchmark):
         packed = docs.sparkSession.sparkContext.broadcast(index)
         docs = filtered(docs, lambda packed=packed: lambda text: not leaks(packed.value, text, threshold, least))

@@ -50,7 +50,10 @@ def _resolved(docs: DataFrame, support: float) -> DataFrame:
 
 
 def dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Null and empty texts are one group, of which one row stays; ties, repeated rows, long texts and empty tables are as in ``exact_groups``.
+    """
     return chosen(docs, lambda rows: _resolved(rows, support).where("kept"), ["doc_id", "text"])
 
 

@@ -125,7 +125,9 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything where no language can be learned.
-    A null doc_id counts as an empty id. Ties go to the first language in order. Repeated rows are predicted alike.
+    A null doc_id counts as an empty id. Ties go to the first language in order. Repeated rows are predicted alike. A very long text is
+    read whole by the task of its row: its words are counted first, so it costs a number for each different word. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     langs, tables = train(docs, rows)
     packed = docs.sparkSession.sparkContext.broadcast((langs, {k: (list(t), np.array(list(t.values()), np.float32).reshape(-1, max(1, len(langs)))) for k, t in tables.items()}))

@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     Returns _rid, doc_id, source, size, source_size, target, taken.
     Null or empty text: size 0, taken 0. A null source is a source of its own, last in order. A null doc_id has one
-    hash value of its own; rows that share a doc_id share the hash and are taken together. An empty table
+    hash value of its own; rows that share a doc_id share the hash and are taken together. A very long text is taken whole like any other, its words counted in its row. An empty table
     gives an empty result; extra columns are ignored.
     """
     rows = staged(identified(docs.select("doc_id", "source", "text")).select("_rid", "doc_id", F.col("source").alias("_source"), text_size("text").alias("_size"), row_hash("doc_id", seed).alias("_h")), "sized")

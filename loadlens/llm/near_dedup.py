@@ -274,5 +274,9 @@ def _grouped(rows: DataFrame, k: int, similarity: float) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Null and empty texts have no shingle and are copies of each other. Of a group one row stays, also where rows repeat or tie. A very long
+    text is shingled whole by the task of its row. An empty table gives an empty result.
+    """
     return chosen(docs, lambda rows: _grouped(rows, k, similarity).where(F.col("_rid") == F.col("keeper")), ["doc_id", "text"])

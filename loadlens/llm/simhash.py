@@ -164,7 +164,7 @@ def near_groups(docs: DataFrame, k: int = 3, most: int = 3) -> DataFrame:
     Copies are collapsed to their fingerprint before the index is built, so a group of any number of copies is one
     posting. Returns _rid, doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
     Null and empty texts have fingerprint zero, linked like any other. Rows with a null doc_id are members, but never name
-    a component unless no other row can. Repeated rows belong together. Extra columns are ignored; an empty table gives an empty result.
+    a component unless no other row can. Repeated rows belong together, and ids that tie name one component. A very long text is fingerprinted whole in its row. Extra columns are ignored; an empty table gives an empty result.
     """
     prints = staged(identified(docs.select("doc_id", "text")).select("_rid", "doc_id", "text").mapInArrow(_fingerprints(k), "_rid struct<f:long,i:long>, doc_id long, fp long"), "prints")
     first = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("d")), "classes")

@@ -251,7 +251,11 @@ def op5_toxicity(spark, sf_dir):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names.
+
+    Null and empty texts have the lowest score and stay; a score of exactly one half is toxic. Repeated rows are judged alike, very long texts word by
+    word and whole. An empty table gives an empty result; without labels nothing is toxic.
+    """
     model = train(docs, labels)
 
     def start():
