@@ -66,7 +66,7 @@ def sound() -> dict:
 
 
 _C, _B = ("conditions", 0), ("conditions", 0, "blocks", 1)
-#: Path, new value, code.
+# Path, new value, code.
 SPOILT = (
     (("schema_version",), "1.0", "legacy_schema_not_decision_grade"), (("schema_version",), "3.0", "unsupported_schema"), (("artifact_type",), "x", "unsupported_artifact_type"), (("mode",), "smoke", "smoke_or_nonbenchmark_report"), (("status",), "stopped", "partial_or_failed_report"), (("stop_reason",), "x", "complete_report_has_stop_reason"),
     (("manifest", "manifest_version"), "9", "missing_or_invalid_manifest"), (("manifest", "model", "id"), "unknown", "unverified_manifest_metadata"), (("manifest", "runtime", "gpu"), "H100", "runtime_aliases_do_not_reconcile"), (("manifest", "runtime", "gpu_fingerprint_sha256"), "x", "invalid_manifest_digest"), (("manifest", "workload", "warmup_sha256"), "x", "invalid_manifest_digest"),

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.operators import pilot, reports
+from loadlens.operators import pilot, protocol_plan, reports
 from loadlens.plans import report_samples
 from loadlens.plans.more_queries import code_list, quoted
 from loadlens.plans.queries import query
@@ -154,3 +154,29 @@ def s10(spark, d):
     sound = F.size("faults") == 0
     faulty = judged.groupBy("group").agg(F.count_if(~sound).alias("faulty"))
     return pilot.gates(judged.where(sound), ["group"]).join(faulty, "group").withColumnRenamed("group", "grp")
+
+
+#: A session that may run; queries and tests change it.
+SESSION = {
+    "baseline": {"name": "max_num_seqs", "value": "4"}, "candidate": {"name": "max-num-seqs", "value": "8"}, "backend": "native", "stream": True, "conditions": [{"kind": "closed_loop", "value": 8.0, "max_in_flight": 8}], "blocks": 3, "requests_per_block": 70, "warmup_requests": 5, "max_tokens": 128, "evidence_source": "live_inference", "cache_policy": "off",
+    "flags_provenance": "runtime_verified", "variant": "unspecified", "sequence_position": "unspecified", "model_revision": "a" * 40, "server_version": "1", "flags": {"dtype": "auto"}, "warmup_separate": True, "warmup_disjoint": True, "runtime": _RUNTIME, "cost": {"currency": "USD", "kind": "dedicated_hourly", "total_hourly_rate": 3.6, "gpu_count": 1},
+    "limits": {"max_requests": 2000, "max_tokens_per_request": 256, "max_total_requested_tokens": 200_000, "max_concurrency": 8, "max_response_bytes": 1000, "max_errors": 1, "max_elapsed_seconds": 600.0, "max_estimated_spend": 3.0}, "unknown_cost_allowed": False,
+}
+
+
+@query("r18_protocol_plan", """WITH r AS (SELECT c_custkey AS id, 1 + c_custkey % 10 AS lo, 1 + c_nationkey % 10 AS hi, 6 + c_custkey % 5 AS conc, 2 + c_custkey % 3 AS blocks, CASE WHEN c_custkey % 9 <> 4 THEN 55 + c_custkey % 30 END AS per, c_custkey % 6 AS warm FROM customer),
+s AS (SELECT *, blocks * per + warm AS req, CASE WHEN lo = hi THEN 8 ELSE greatest(lo, hi) END AS most FROM r)
+SELECT id, array_to_string(list_sort(list_filter([CASE WHEN lo = hi THEN 'golden_max_num_seqs_values_must_be_distinct' END, CASE WHEN conc < most THEN 'golden_concurrency_must_reach_both_max_num_seqs_values' END, CASE WHEN blocks < 3 THEN 'golden_requires_at_least_three_blocks' END, CASE WHEN per IS NULL THEN 'golden_orchestrator_requires_count_bounded_blocks' END,
+  CASE WHEN blocks * per < 200 THEN 'golden_requires_at_least_200_measured_requests_per_position' END, CASE WHEN warm = 0 THEN 'golden_requires_separate_warmup_requests' END, CASE WHEN id % 7 = 0 THEN 'golden_requires_native_backend' END, CASE WHEN id % 11 = 0 THEN 'max_num_seqs_must_use_baseline_and_candidate_config_flags' END, CASE WHEN id % 13 = 0 THEN 'golden_runtime_immutable_image_digest_required' END,
+  CASE WHEN per IS NULL THEN 'golden_session_request_count_must_be_exact' END, CASE WHEN 6 * req > 1500 THEN 'golden_session_requests_exceed_max_requests' END, CASE WHEN 6 * req * 128 > 180000 THEN 'golden_session_tokens_exceed_total_token_limit' END], lambda x: x IS NOT NULL)), ',') AS reasons,
+ CASE WHEN lo <> hi THEN 'B1=' || lo || ',C1=' || hi || ',B2=' || lo || ',C2=' || hi || ',B3=' || lo || ',C3=' || hi END AS positions, (6 * req)::BIGINT AS session_requests, (6 * req * 128)::BIGINT AS session_tokens FROM s""")
+def r18_protocol(spark, d):
+    k = F.col("c_custkey")
+    s = F.from_json(F.lit(json.dumps(SESSION)), protocol_plan.SESSION)
+    s = s.withField("baseline.value", (1 + k % 10).cast("string")).withField("candidate.value", (1 + F.col("c_nationkey") % 10).cast("string")).withField("blocks", (2 + k % 3).cast("int")).withField("requests_per_block", F.when(k % 9 != 4, 55 + k % 30).cast("int")).withField("warmup_requests", (k % 6).cast("int"))
+    load = F.array(F.struct(F.lit("closed_loop").alias("kind"), (6 + k % 5).cast("double").alias("value"), (6 + k % 5).cast("int").alias("max_in_flight")))
+    s = s.withField("conditions", load).withField("backend", F.when(k % 7 == 0, "other").otherwise("native")).withField("flags", F.when(k % 11 == 0, F.create_map(F.lit("max_num_seqs"), F.lit("9"))).otherwise(F.create_map(F.lit("dtype"), F.lit("auto"))))
+    s = s.withField("runtime.image_digest", F.when(k % 13 == 0, "repo/image:1").otherwise(s["runtime"]["image_digest"])).withField("limits.max_requests", F.lit(1500).cast("long")).withField("limits.max_total_requested_tokens", F.lit(180_000).cast("long"))
+    got = protocol_plan.plan(table(spark, d, "customer").select(k.alias("id"), s.alias("session")))
+    said = F.array_join(F.transform("positions", lambda p: F.concat(p["position"], F.lit("="), p["max_num_seqs"])), ",")
+    return got.select("id", F.array_join("reasons", ",").alias("reasons"), said.alias("positions"), "session_requests", F.col("session_requested_output_tokens").alias("session_tokens"))
