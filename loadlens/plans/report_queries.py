@@ -217,10 +217,15 @@ def u06(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_distinct(ordered), ",").alias("kinds"))
 
 
-@query("u07_json_keys", "SELECT event_id, event_id % 2 = 0 AS same FROM events")
+@query("u07_json_keys", "SELECT conv_id, turn, len(list_distinct(string_split(text, ' '))) AS n_keys, (conv_id + turn) % 3 <> 0 OR len(list_distinct(string_split(text, ' '))) = 0 AS same FROM conversations")
 def u07(spark, d):
-    body = F.when(F.col("event_id") % 2 == 0, '{"b":1,"a":{}}').otherwise('{"a":1,"c":2}')
-    return table(spark, d, "events").select("event_id", (F.array_sort(F.json_object_keys(body)) == F.array(F.lit("a"), F.lit("b"))).alias("same"))
+    """Objects with the words of a text as keys, in two orders, a third of them with a word left out."""
+    words = F.array_distinct(F.split("text", " "))
+    c = table(spark, d, "conversations").select("conv_id", "turn", words.alias("w"))
+    less = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.slice("w", 2, F.size("w"))).otherwise(F.col("w"))
+    body = lambda w: F.to_json(F.map_from_arrays(w, F.transform(w, lambda x: F.length(x))))
+    keys = lambda j: F.array_sort(F.json_object_keys(j))
+    return c.select("conv_id", "turn", F.size(keys(body(F.col("w")))).alias("n_keys"), (keys(body(F.col("w"))) == keys(body(F.reverse(less)))).alias("same"))
 
 
 @query("f02_jaccard", r"WITH p AS (SELECT conv_id, turn, list_distinct(regexp_split_to_array(lower(text), '\s+')) AS w FROM conversations), l AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM p) SELECT conv_id, turn, round(len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))), 6) AS j FROM l WHERE q IS NOT NULL")
@@ -243,7 +248,8 @@ def f14(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("k06_sorted_reasons", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a,b' ELSE 'b' END AS reasons FROM events")
+@query("k06_sorted_reasons", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN lang <> 'en' THEN 'other_language' END, CASE WHEN length(text) > 2000 THEN 'long_text' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'holds_digits' END, CASE WHEN length(text) > 5000 THEN 'long_text' END, CASE WHEN source IS NULL THEN 'absent_source' END, CASE WHEN contains(text, '@') THEN 'an_address' END], lambda x: x IS NOT NULL))), ',') AS reasons FROM documents")
 def k06(spark, d):
-    even = F.col("event_id") % 2 == 0
-    return table(spark, d, "events").select("event_id", F.array_join(stats.reasons((F.lit(True), "b"), (even, "a"), (even, "b")), ",").alias("reasons"))
+    n, t = F.length("text"), F.col("text")
+    why = stats.reasons((F.col("lang") != "en", "other_language"), (n > 2000, "long_text"), (t.rlike("[0-9]"), "holds_digits"), (n > 5000, "long_text"), (F.col("source").isNull(), "absent_source"), (t.contains("@"), "an_address"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(why, ",").alias("reasons"))
