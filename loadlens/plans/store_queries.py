@@ -12,7 +12,7 @@ from loadlens.operators import pilot, protocol_plan, reports
 from loadlens.plans import report_samples
 from loadlens.plans.more_queries import code_list, quoted
 from loadlens.plans.queries import query
-from loadlens.plans.views import table
+from loadlens.plans.views import spread, table
 from loadlens.sources import report_store
 from loadlens.streaming import polling, progress
 
@@ -114,7 +114,7 @@ def a08(spark, d):
     k = F.col("c_custkey")
     runtimes = F.array(*[F.from_json(F.lit(json.dumps(r)), reports.RUNTIME) for r in (_RUNTIME, {**_RUNTIME, "image_digest": "repo/image:1"})])
     odd = lambda n, a, b: F.when(k % n == 0, a).otherwise(b)
-    runs_: DataFrame = table(spark, d, "customer").select(
+    runs_: DataFrame = spread(table(spark, d, "customer").select("c_custkey")).select(
         k.alias("id"), odd(5, "smoke", "benchmark").alias("mode"), odd(7, "failed", "complete").alias("status"), F.when(k % 7 == 0, "max_errors").when(k % 71 == 1, "max_requests").alias("stop_reason"), (30 + k % 31).cast("double").alias("elapsed_seconds"), F.lit(60.0).alias("max_elapsed_seconds"), ((k % 13) / 2.0).alias("spend_estimate"), F.lit(6.0).alias("max_estimated_spend"),
         (1 + k % 3).alias("conditions"), (1 + k % 3 - odd(11, 1, 0)).alias("graded"), odd(17, "inconclusive", "supported").alias("best_state"), odd(19, "other", "native").alias("backend"), (k % 23 != 0).alias("stream"), odd(29, "replay", "live_inference").alias("evidence_source"), F.when(k % 3 == 1, "operator_attested").otherwise("runtime_verified").alias("flags_provenance"), odd(37, "unknown", "off").alias("cache_policy"),
         odd(41, "main", "a" * 40).alias("model_revision"), odd(43, "unknown", "1").alias("server_version"), (k % 47 != 0).alias("warmup_prompts_disjoint"), F.lit("1.1").alias("manifest_version"), runtimes[(k % 2).cast("int")].alias("runtime"), ((k % 13) / 2.0).alias("total_cost"), (k * 100).alias("completion_tokens"),
