@@ -177,6 +177,6 @@ def r18_protocol(spark, d):
     load = F.array(F.struct(F.lit("closed_loop").alias("kind"), (6 + k % 5).cast("double").alias("value"), (6 + k % 5).cast("int").alias("max_in_flight")))
     s = s.withField("conditions", load).withField("backend", F.when(k % 7 == 0, "other").otherwise("native")).withField("flags", F.when(k % 11 == 0, F.create_map(F.lit("max_num_seqs"), F.lit("9"))).otherwise(F.create_map(F.lit("dtype"), F.lit("auto"))))
     s = s.withField("runtime.image_digest", F.when(k % 13 == 0, "repo/image:1").otherwise(s["runtime"]["image_digest"])).withField("limits.max_requests", F.lit(1500).cast("long")).withField("limits.max_total_requested_tokens", F.lit(180_000).cast("long"))
-    got = protocol_plan.plan(table(spark, d, "customer").select(k.alias("id"), s.alias("session")))
+    got = protocol_plan.plan(spread(table(spark, d, "customer").select("c_custkey", "c_nationkey")).select(k.alias("id"), s.alias("session")))
     said = F.array_join(F.transform("positions", lambda p: F.concat(p["position"], F.lit("="), p["max_num_seqs"])), ",")
     return got.select("id", F.array_join("reasons", ",").alias("reasons"), said.alias("positions"), "session_requests", F.col("session_requested_output_tokens").alias("session_tokens"))

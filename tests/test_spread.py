@@ -6,6 +6,6 @@ from loadlens.plans import queries
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("name", ["a08_run_finalization"])
+@pytest.mark.parametrize("name", ["a08_run_finalization", "r18_protocol_plan"])
 def test_rows_are_dealt_to_all_cores(spark, name):
     assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
