@@ -55,7 +55,7 @@ _LINE = "chr(10)"
 @query("s11_report_files", f"""SELECT c_custkey AS id, md5('{{' || {_LINE} || '  "a": [' || {_LINE} || '    ' || c_nationkey || ',' || {_LINE} || '    null' || {_LINE} || '  ],' || {_LINE} || '  "b": {{' || {_LINE} || '    "x": ' || c_custkey || ',' || {_LINE} || '    "y": "' || c_mktsegment || '"' || {_LINE} || '  }}' || {_LINE} || '}}' || {_LINE}) AS body FROM customer""")
 def s11(spark, d):
     """Reports made of customers are saved, one file each, and read back as they lie."""
-    c = table(spark, d, "customer")
+    c = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
     body = F.concat(F.lit('{"b":{"y":'), quoted("c_mktsegment"), F.lit(',"x":'), F.col("c_custkey").cast("string"), F.lit('},"a":['), F.col("c_nationkey").cast("string"), F.lit(",null]}"))
     path = report_store.shared_folder(spark, "saved")
     report_store.save_reports(c.select(F.concat(F.lit("r"), "c_custkey").alias("name"), body.alias("report")), path)

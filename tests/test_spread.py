@@ -2,10 +2,19 @@
 
 import pytest
 
-from loadlens.plans import queries
+from loadlens.plans import queries, store_queries
+from loadlens.sources import report_store
 from tests.conftest import SF
 
 
 @pytest.mark.parametrize("name", ["a08_run_finalization", "r18_protocol_plan"])
 def test_rows_are_dealt_to_all_cores(spark, name):
     assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_reports_are_written_by_all_cores(spark, monkeypatch):
+    seen = []
+    save = report_store.save_reports
+    monkeypatch.setattr(store_queries.report_store, "save_reports", lambda df, *a, **k: (seen.append(df.rdd.getNumPartitions()), save(df, *a, **k)))
+    assert queries.QUERIES["s11_report_files"](spark, SF).count() > 0
+    assert seen[0] >= spark.sparkContext.defaultParallelism
