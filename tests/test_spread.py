@@ -2,7 +2,8 @@
 
 import pytest
 
-from loadlens.plans import queries, store_queries
+from loadlens.operators import contract
+from loadlens.plans import contract_queries, queries, store_queries
 from loadlens.sources import report_store
 from tests.conftest import SF
 
@@ -18,3 +19,11 @@ def test_reports_are_written_by_all_cores(spark, monkeypatch):
     monkeypatch.setattr(store_queries.report_store, "save_reports", lambda df, *a, **k: (seen.append(df.rdd.getNumPartitions()), save(df, *a, **k)))
     assert queries.QUERIES["s11_report_files"](spark, SF).count() > 0
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_reports_of_customers_are_checked_by_all_cores(spark, monkeypatch):
+    seen = []
+    check = contract.check_experimental
+    monkeypatch.setattr(contract_queries.contract, "check_experimental", lambda df, *a, **k: (seen.append(df.rdd.getNumPartitions()), check(df, *a, **k))[1])
+    queries.QUERIES["p13_experimental_contract"](spark, SF)
+    assert seen[0] >= spark.sparkContext.defaultParallelism
