@@ -27,3 +27,7 @@ def test_reports_of_customers_are_checked_by_all_cores(spark, monkeypatch):
     monkeypatch.setattr(contract_queries.contract, "check_experimental", lambda df, *a, **k: (seen.append(df.rdd.getNumPartitions()), check(df, *a, **k))[1])
     queries.QUERIES["p13_experimental_contract"](spark, SF)
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_envelopes_are_made_by_all_cores(spark):
+    assert contract_queries.envelopes(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
