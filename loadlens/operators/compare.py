@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,44 +125,58 @@ def _one_load(conditions: Column) -> Column:
 def protocol_reasons(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Sorted codes against each six-run sequence of ``runs`` (columns PROTOCOL_RUN); none says that the sequence follows the protocol.
 
-    One aggregation by sequence: what must be shared is compared by its least and greatest value, what the first run declares is taken
-    by position. As in the protocol, a wrong number of runs, then a run's own fault, then colliding flag names stand alone. Null flags or
-    conditions are malformed.
+    One sort by sequence and position, then one aggregation in that order: what the manifests must share is compared with the run
+    before, other shared values by their least and greatest, what the first run declares is taken by position. Only what is compared
+    is sorted, not the maps and conditions it is read from, and runs that already lie by ``keys`` are not shuffled. As in the protocol,
+    a wrong number of runs, then a run's own fault, then colliding flag names stand alone. Null flags or conditions are malformed.
     """
-    no, six = F.col("position_no"), len(POSITIONS)
-    w = Window.partitionBy(*keys).orderBy("position_no")
+    no, six, fixed = F.col("position_no"), len(POSITIONS), (*CONTROLLED, *CONTROLLED_NOW)
     names = F.when(F.col("flags").isNotNull(), F.map_from_entries(F.array_sort(F.map_entries(F.transform_keys("flags", lambda k, _: text.flag_name(k))))))
     collide = F.coalesce(text.has_alias_collision(F.map_keys("flags")), F.lit(False))
-    seen = runs.withColumns({
-        "_early": F.coalesce(F.col("started_at") < F.lag("completed_at").over(w), F.lit(False)), "_collide": collide, "_load": _one_load(F.col("conditions")),
-        "_ids": F.to_json(F.array_sort(F.array_distinct(F.transform("conditions", lambda c: c["id"])))), "_peak": F.array_max(F.transform("conditions", lambda c: c["peak"])),
-        "_least": F.when(F.forall("conditions", lambda c: (F.size(c["attempted"]) > 0) & F.forall(c["attempted"], lambda n: n.isNotNull())), F.array_min(F.flatten(F.transform("conditions", lambda c: c["attempted"])))),
-    })
-    seen = seen.withColumn("_flags", F.when(~F.col("_collide"), names)).withColumn("_flag_text", F.to_json("_flags")).withColumn("_chunked", F.try_element_at("_flags", F.lit("enable-chunked-prefill")))
+    seen = runs.withColumn("_collide", collide).withColumn("_flags", F.when(~F.col("_collide"), names)).withColumn("_flag_text", F.to_json("_flags"))
     base = (no % 2) == 1
     label = F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.least(no, F.lit(six)))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    first = lambda c: F.when(no == 1, c)
+    declared = (("manifest_version", "version"), ("model_immutable_revision", "revision"), ("engine_server_version", "server"), ("engine_backend", "backend"), ("workload_cache_policy", "policy"))
+    all_true = {
+        "variants": F.col("variant") == F.when(base, "baseline").otherwise("candidate"), "labels": F.col("position") == label, "verified": F.col("flags_provenance") == "runtime_verified", "live": F.col("evidence_source") == "live_inference",
+        "separate": F.col("warmup_separate"), "disjoint": F.col("warmup_disjoint"), "mapped": F.col("conditions").isNotNull(), "flagged": F.col("_flags").isNotNull(),
+    }
+    greatest = {
+        "collide": F.col("_collide"), "blank": F.col("started_at").isNull() | F.col("completed_at").isNull(), "back": F.col("started_at") > F.col("completed_at"), "stream": first(F.col("stream")), "warmups": first(F.col("warmup_requests")), "per_block": first(F.col("requests_per_block")),
+        **{a: first(F.try_element_at("controlled", F.lit(p))) for p, a in declared},
+    }
+    least = F.when(F.forall("conditions", lambda c: (F.size(c["attempted"]) > 0) & F.forall(c["attempted"], lambda n: n.isNotNull())), F.array_min(F.flatten(F.transform("conditions", lambda c: c["attempted"]))))
+    seen = seen.select(
+        *keys, "position_no", "started_at", "completed_at", F.when(no <= six, F.concat(F.lit("run_"), no.cast("string"), F.lit("_"), "preflight")).alias("_pre"), *[yes(c).alias(f"_{a}") for a, c in all_true.items()], *[c.alias(f"_{a}") for a, c in greatest.items()],
+        F.array(*[F.try_element_at("controlled", F.lit(p)) for p in fixed]).alias("_fixed"), _one_load(F.col("conditions")).alias("_load"), F.to_json(F.array_sort(F.array_distinct(F.transform("conditions", lambda c: c["id"])))).alias("_ids"),
+        F.array_max(F.transform("conditions", lambda c: c["peak"])).alias("_peak"), least.alias("_least"), F.try_element_at("_flags", F.lit("enable-chunked-prefill")).alias("_chunked"),
+        *[F.when(side, F.col("_flag_text")).alias(f"_text_{a}") for side, a in ((base, "b"), (~base, "c"))], *[F.when(no == at, F.col("_flags")).alias(f"_{a}") for at, a in ((1, "b"), (2, "c"))],
+    )
+    w = Window.partitionBy(*keys).orderBy("position_no")
+    early = F.coalesce(F.col("started_at") < F.lag("completed_at").over(w), F.lit(False))
+    seen = seen.withColumns({"_early": early, "_before": F.lag("_fixed").over(w), "_pres": F.collect_set("_pre").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    # One bit for each place of ``fixed`` that is null or not the value of the run before.
+    now, before = (lambda i: F.col("_fixed")[i]), (lambda i: F.col("_before")[i])
+    bits = [F.when(now(i).isNull() | (F.col("_before").isNotNull() & ~now(i).eqNullSafe(before(i))), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(len(fixed))]
+    seen = seen.withColumn("_moved", F.when(F.col("_fixed") == F.col("_before"), F.lit(0).cast("long")).otherwise(reduce(Column.bitwiseOR, bits)))
     same = lambda c: (F.count(c) == six) & (F.min(c) == F.max(c))
-    first = lambda c: F.max(F.when(no == 1, c))
-    every = lambda c: F.min(F.coalesce(c, F.lit(False)))
+    # No aggregate here collects: the extremes of strings are taken in the order of the sort, so nothing is sorted or held again.
     got = seen.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(no <= six, F.concat(F.lit("run_"), no.cast("string"), F.lit("_"), "preflight")))).alias("pre"), F.max("_collide").alias("collide"),
-        every(F.col("variant") == F.when(base, "baseline").otherwise("candidate")).alias("variants"), every(F.col("position") == label).alias("labels"),
-        F.max(F.col("started_at").isNull() | F.col("completed_at").isNull()).alias("blank"), F.max(F.col("started_at") > F.col("completed_at")).alias("back"), F.max("_early").alias("early"),
-        *[same(F.try_element_at("controlled", F.lit(p))).alias(f"c_{p}") for p in (*CONTROLLED, *CONTROLLED_NOW)], *[first(F.try_element_at("controlled", F.lit(p))).alias(a) for p, a in (("manifest_version", "version"), ("model_immutable_revision", "revision"), ("engine_server_version", "server"), ("engine_backend", "backend"), ("workload_cache_policy", "policy"))],
-        every(F.col("flags_provenance") == "runtime_verified").alias("verified"), every(F.col("evidence_source") == "live_inference").alias("live"), first(F.col("stream")).alias("stream"), first(F.col("warmup_requests")).alias("warmups"), every(F.col("warmup_separate")).alias("separate"), every(F.col("warmup_disjoint")).alias("disjoint"),
-        every(F.col("conditions").isNotNull()).alias("mapped"), same(F.col("_ids")).alias("sets"), F.when(same(F.col("_load")), F.max("_load")).alias("load"),
-        every(F.col("_flags").isNotNull()).alias("flagged"), *[(F.min(F.when(side, F.col("_flag_text"))) == F.max(F.when(side, F.col("_flag_text")))).alias(f"same_{a}") for side, a in ((base, "b"), (~base, "c"))],
-        F.first(F.when(no == 1, F.col("_flags")), ignorenulls=True).alias("b"), F.first(F.when(no == 2, F.col("_flags")), ignorenulls=True).alias("c"), ((F.count("_chunked") == 0) | same(F.col("_chunked"))).alias("chunked"),
-        first(F.col("requests_per_block")).alias("per_block"), F.min("_peak").alias("peak"), F.count("_peak").alias("peaks"), F.min("_least").alias("least"), F.count("_least").alias("leasts"),
+        F.count("*").alias("n"), F.array_sort(F.first("_pres")).alias("pre"), *[F.min(f"_{a}").alias(a) for a in all_true], *[F.max(f"_{a}").alias(a) for a in (*greatest, "early")],
+        F.bit_or("_moved").alias("moved"), same("_ids").alias("sets"), F.when(same("_load"), F.max("_load")).alias("load"), *[(F.min(f"_text_{a}") == F.max(f"_text_{a}")).alias(f"same_{a}") for a in "bc"],
+        *[F.first(f"_{a}", ignorenulls=True).alias(a) for a in "bc"], ((F.count("_chunked") == 0) | same("_chunked")).alias("chunked"), F.min("_peak").alias("peak"), F.count("_peak").alias("peaks"), F.min("_least").alias("least"), F.count("_least").alias("leasts"),
     )
     changed = F.array_sort(F.filter(F.array_union(F.map_keys("b"), F.map_keys("c")), lambda k: ~F.try_element_at(F.col("b"), k).eqNullSafe(F.try_element_at(F.col("c"), k))))
     limit_b, limit_c = (text.canonical_positive_int(F.try_element_at(F.col(x), F.lit("max-num-seqs"))) for x in "bc")
     limits = limit_b.isNotNull() & limit_c.isNotNull()
     load, no_ = F.col("load"), lambda c: ~F.coalesce(c, F.lit(False))
+    moved = lambda p: F.getbit("moved", F.lit(fixed.index(p))) == 1
     tests = [
         (no_(F.col("variants")), "sequence_must_be_baseline_candidate_baseline_then_candidate_baseline_candidate"), (no_(F.col("labels")), "sequence_position_labels_must_be_B1_C1_B2_C2_B3_C3"), (F.col("blank"), "missing_or_invalid_run_timestamps"),
         (~F.col("blank") & F.col("back"), "run_starts_after_its_completion"), (~F.col("blank") & F.col("early"), "runs_overlap_or_are_out_of_order"),
-        *[(no_(F.col(f"c_{p}")), f"uncontrolled_or_missing_{p}") for p in CONTROLLED], *[(no_(F.col(f"c_{p}")) & (F.col("version") == MANIFEST_NOW), f"uncontrolled_or_missing_{p}") for p in CONTROLLED_NOW],
+        *[(moved(p), f"uncontrolled_or_missing_{p}") for p in CONTROLLED], *[(moved(p) & (F.col("version") == MANIFEST_NOW), f"uncontrolled_or_missing_{p}") for p in CONTROLLED_NOW],
         (~text.immutable_revision(F.col("revision")), "model_revision_is_not_immutable"), (no_(F.col("server") != "unknown"), "server_version_missing"), (no_(F.col("backend") == "native"), "golden_protocol_requires_strict_native_completion_validation"),
         (~F.col("verified"), "effective_engine_flags_not_runtime_verified"), (~F.col("live"), "all_six_runs_must_be_live_inference"), (F.col("policy") == "unknown", "cache_policy_must_be_explicit"), (no_(F.col("stream")), "golden_protocol_requires_streaming"),
         (no_(F.col("warmups") > 0), "golden_protocol_requires_separate_warmup_requests"), (~F.col("separate"), "warmup_workload_not_proven_separate"), (~F.col("disjoint"), "warmup_prompts_not_disjoint_from_measured_workload"),

@@ -61,3 +61,30 @@ def test_malformed_runs_have_reasons(spark):
     rows = spark.range(1, 7).select(F.lit(1).alias("k"), *[F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) if c.split(" ", 1)[0] != "position_no" else F.col("id").cast("int").alias("position_no") for c in (x.strip() for x in compare.PROTOCOL_RUN.replace("map<string,string>", "map<string;string>").replace("id:string,kind:string,value:int,max_in_flight:int,peak:int,", "id:string;kind:string;value:int;max_in_flight:int;peak:int;").split(",")) for c in [c.replace(";", ",")]])
     why = set(compare.protocol_reasons(rows, ["k"]).first()["reasons"])
     assert {"engine_flags_malformed", "condition_maps_malformed", "missing_or_invalid_run_timestamps", "model_revision_is_not_immutable", "uncontrolled_or_missing_cost", "golden_protocol_requires_streaming", "warmup_workload_not_proven_separate"} <= why
+
+
+def _six(k, **changes):
+    """A sound sequence; ``changes`` give values by manifest path and position."""
+    paths = {**dict.fromkeys((*compare.CONTROLLED, *compare.CONTROLLED_NOW), "1"), "manifest_version": compare.MANIFEST_NOW, "model_immutable_revision": "a" * 40, "engine_backend": "native"}
+    load = [("closed_loop:8", "closed_loop", 8, 8, 8, [8, 9])]
+    for no, position in enumerate(compare.POSITIONS, 1):
+        fixed = {p: changes.get(p, {}).get(no, v) for p, v in paths.items()}
+        variant, seqs = ("baseline", "4") if no % 2 else ("candidate", "8")
+        yield (k, no, position, variant, no * 10.0, no * 10.0 + 8, None, fixed, "runtime_verified", "live_inference", True, 5, True, True, {"max_num_seqs": seqs}, 20, load)
+
+
+def test_shared_values_that_move_return_or_lack(spark):
+    """Every path in every position: another value in one run, the old one again after it, null in one run and in all."""
+    paths, old = (*compare.CONTROLLED, *compare.CONTROLLED_NOW), {"manifest_version": dict.fromkeys(range(1, 7), "1.0")}
+    usual = ("manifest_version", "model_immutable_revision", "engine_backend", "engine_server_version", "workload_cache_policy")  # their values have codes of their own
+    cases = [({}, [])] + [({p: {no: v}}, [p]) for p in paths if p not in usual for no, v in ((1, "x"), (3, "x"), (6, ""), (1, None), (4, None))] + [({p: dict.fromkeys(range(1, 7))}, [p]) for p in paths if p not in usual]
+    cases += [({p: {2: "x"}}, [p]) for p in usual] + [({**old, p: {3: "x"}}, []) for p in compare.CONTROLLED_NOW] + [({p: {2 + i % 5: "x"} for i, p in enumerate(paths)}, paths)]
+    runs = spark.createDataFrame([run for k, (changes, _) in enumerate(cases) for run in _six(k, **changes)], "k int, " + compare.PROTOCOL_RUN)
+    got = {r["k"]: r["reasons"] for r in compare.protocol_reasons(runs, ["k"]).collect()}
+    assert got == {k: sorted(f"uncontrolled_or_missing_{p}" for p in want) for k, (_, want) in enumerate(cases)}
+
+
+def test_a_sequence_is_sorted_once_and_not_held(spark):
+    runs = spark.createDataFrame(list(_six(1)), "k int, " + compare.PROTOCOL_RUN)
+    plan = compare.protocol_reasons(runs, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1 and "ObjectHashAggregate" not in plan

@@ -3,7 +3,7 @@
 import pytest
 
 from loadlens.operators import contract
-from loadlens.plans import contract_queries, queries, store_queries
+from loadlens.plans import contract_queries, more_queries, queries, store_queries
 from loadlens.sources import report_store
 from tests.conftest import SF
 
@@ -31,3 +31,11 @@ def test_reports_of_customers_are_checked_by_all_cores(spark, monkeypatch):
 
 def test_envelopes_are_made_by_all_cores(spark):
     assert contract_queries.envelopes(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_sequences_are_dealt_to_more_tasks_the_more_there_are(spark, monkeypatch):
+    """The runs of a sequence are made where it was dealt to: what is sorted in one task is so many sequences, and no run is shuffled."""
+    monkeypatch.setattr(more_queries, "SEQUENCES_A_TASK", 2)
+    got = queries.QUERIES["r08_protocol"](spark, SF)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert got.rdd.getNumPartitions() == -(-got.count() // 2) > 4 * spark.sparkContext.defaultParallelism
